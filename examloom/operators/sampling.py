@@ -1,8 +1,267 @@
-"""Placeholder, filled below."""
+"""Exam assembly for many users at once: quotas, interleaving, due-first picks.
+
+A per-user random pick must not pair every user with the whole bank. Instead the bank is put
+into one random ring per stratum, each user gets a random starting point on it, and reads on from
+there; `need + excluded` steps always hold `need` usable items, so the work per user is
+proportional to what the user gets.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import core as fx
+from . import slices
+from .topicstats import topic_rows
+
+# Items per area of a random exam, review cap.
+QUOTA = {"matematica": 20, "fundamentos": 30, "tecnologia": 20}
+DAILY_LIMIT = 20
+
+
+def truncation_label(prefix: str, shown, total) -> Column:
+    shown, total = fx.col(shown), fx.col(total)
+    suffix = F.when(total > shown, F.concat(F.lit(" de "), total.cast("string"))).otherwise(F.lit(""))
+    return F.concat(F.lit(prefix + " ("), shown.cast("string"), suffix, F.lit("q)"))
 
-def by_year(questions):
+
+def by_year(questions: DataFrame) -> DataFrame:
     w = W.partitionBy("year").orderBy("number", "bank_pos")
     return questions.select("year", "question_id", "number", F.row_number().over(w).alias("pos"))
+
+
+def ring(questions: DataFrame, strata: list[str], seed: str) -> DataFrame:
+    """Each stratum in one random order: 0-based position `_at` and stratum size `_n` per item.
+
+    Ranked per hash bucket, so a stratum holding most of the bank is not sorted by one task.
+    """
+    key = fx.hash_order(seed, "question_id")
+    df = questions.withColumn("_h", key).withColumn("_b", F.substring("_h", 1, 3))
+    ranked = slices.rank(df, strata, "_b", ["_h", "question_id"], out="_at", total="_n")
+    return ranked.withColumn("_at", F.col("_at") - 1).drop("_h", "_b")
+
+
+def walk(requests: DataFrame, bank_ring: DataFrame, strata: list[str], seed: str, request="user_id") -> DataFrame:
+    """Read `need + skip` items of the ring for every request row (request, strata, need, skip).
+
+    Result: request, strata, question_id, `_step` (0-based distance walked). An equi-join on
+    (stratum, position); no request meets more items than it may need.
+    """
+    sizes = bank_ring.groupBy(*strata).agg(F.max("_n").alias("_size"))
+    r = requests.join(sizes, strata)
+    start = F.pmod(fx.hash_int(seed, request, *strata), F.col("_size"))
+    steps = F.least(F.col("need") + F.col("skip"), F.col("_size"))
+    r = r.filter(steps > 0).withColumn("_start", start)
+    r = r.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("bigint"), (steps - 1).cast("bigint"))))
+    r = r.withColumn("_at", ((F.col("_start") + F.col("_step")) % F.col("_size")).cast("bigint"))
+    return r.drop("_start", "_size").join(bank_ring.drop("_n"), [*strata, "_at"]).drop("_at")
+
+
+def pick(requests: DataFrame, bank: DataFrame, strata: list[str], seed: str, excluded: DataFrame | None = None,
+         request="user_id") -> DataFrame:
+    """`need` random items per (request, stratum), none of them in `excluded` (request, question_id)."""
+    bank_ring = ring(bank.select("question_id", *strata), strata, seed)
+    if excluded is None:
+        return walk(requests.withColumn("skip", F.lit(0).cast("bigint")), bank_ring, strata, seed, request)
+    hits = excluded.join(bank.select("question_id", *strata), "question_id")
+    skips = hits.groupBy(request, *strata).agg(F.count("*").alias("skip"))
+    wanted = requests.join(skips, [request, *strata], "left").fillna(0, ["skip"])
+    walked = walk(wanted, bank_ring, strata, seed, request)
+    free = walked.join(excluded, [request, "question_id"], "left_anti")
+    w = W.partitionBy(request, *strata).orderBy("_step")
+    return free.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("need")).drop("_r")
+
+
+def shuffled(picked: DataFrame, seed: str, request="user_id") -> DataFrame:
+    """Final random order of each request's items as `pos`."""
+    w = W.partitionBy(request).orderBy(fx.hash_order(seed, request, "question_id"), "question_id")
+    return picked.withColumn("pos", F.row_number().over(w))
+
+
+def random_exam(users: DataFrame, questions: DataFrame, attempts: DataFrame, seed: str, quota: dict[str, int] | None = None,
+                exclude_annulled=True, exclude_correct=True) -> DataFrame:
+    """Area quotas per user without annulled or already-correct items, then shuffled."""
+    quota = QUOTA if quota is None else quota
+    bank = questions.filter("not annulled") if exclude_annulled else questions
+    asks = F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(n).cast("bigint").alias("need"))
+                               for a, n in quota.items()]))
+    requests = users.select("user_id", asks.alias("_q")).select("user_id", "_q.*")
+    excluded = correct_items(attempts) if exclude_correct else None
+    return shuffled(pick(requests, bank, ["area"], seed, excluded), seed).select("user_id", "pos", "question_id", "area")
+
+
+def correct_items(attempts: DataFrame) -> DataFrame:
+    return attempts.filter("correct").select("user_id", "question_id").distinct()
+
+
+def area_exam(users: DataFrame, questions: DataFrame, attempts: DataFrame, areas: list[str], count: int, seed: str) -> DataFrame:
+    """`count` random items of the given areas per user (one pooled stratum)."""
+    bank = questions.filter(~F.col("annulled") & F.col("area").isin(areas)).withColumn("pool", F.lit("all"))
+    requests = users.select("user_id", F.lit("all").alias("pool"), F.lit(count).cast("bigint").alias("need"))
+    return shuffled(pick(requests, bank, ["pool"], seed, correct_items(attempts)), seed).select(
+        "user_id", "pos", "question_id"
+    )
+
+
+def round_robin(ranked: DataFrame, limit: int, request="user_id") -> DataFrame:
+    """Interleave ranked groups: one item per group and pass, exhausted groups skipped.
+
+    Needs `group_pos` (order of the groups) and `rank` (1-based order inside the group). Taking
+    item `rank` of each group in group order is the queue loop; only the first `limit` of a group
+    can be served, so that bound is applied before the per-request ordering.
+    """
+    w = W.partitionBy(request).orderBy("rank", "group_pos")
+    return (
+        ranked.filter(F.col("rank") <= limit)
+        .withColumn("pos", F.row_number().over(w))
+        .filter(F.col("pos") <= limit)
+    )
+
+
+def topic_exam(selections: DataFrame, questions: DataFrame, count: int, seed: str, excluded: DataFrame | None = None) -> DataFrame:
+    """Interleaved practice over each user's selected topics (user_id, slug).
+
+    An item belongs to the first of its topics that the user selected; items met on the walk that
+    belong elsewhere are skipped. Their number is bounded by the topic co-occurrence counts, so the
+    walk is long enough to stay exact. The user's selection travels along as an array (it holds at
+    most the taxonomy), which keeps the bucket test a plain expression.
+    """
+    bank = questions.filter("not annulled").select("question_id", "topics", F.explode("topics").alias("slug"))
+    # items shared with each other topic, per topic (bounded by the taxonomy squared)
+    shared = (
+        bank.select("slug", F.explode("topics").alias("_other"))
+        .filter("slug <> _other")
+        .groupBy("slug", "_other")
+        .agg(F.count("*").alias("n"))
+        .groupBy("slug")
+        .agg(F.map_from_entries(F.collect_list(F.struct("_other", "n"))).alias("_shared"))
+    )
+    chosen = selections.groupBy("user_id").agg(F.collect_set("slug").alias("slugs"))
+    requests = chosen.select("user_id", "slugs", F.explode("slugs").alias("slug")).join(shared, "slug", "left")
+    overlap = F.aggregate(
+        "slugs",
+        F.lit(0).cast("bigint"),
+        lambda acc, s: acc + F.coalesce(F.try_element_at("_shared", s), F.lit(0).cast("bigint")),
+    )
+    hits = F.lit(0).cast("bigint")
+    if excluded is not None:
+        counts = excluded.join(bank.select("question_id", "slug"), "question_id")
+        counts = counts.groupBy("user_id", "slug").agg(F.count("*").alias("_hits"))
+        requests = requests.join(counts, ["user_id", "slug"], "left")
+        hits = F.coalesce("_hits", hits)
+    requests = requests.select(
+        "user_id", "slug", "slugs", F.lit(count).cast("bigint").alias("need"), (overlap + hits).alias("skip")
+    )
+    walked = walk(requests, ring(bank, ["slug"], seed), ["slug"], seed)
+    bucket = F.try_element_at(F.filter("topics", lambda t: F.array_contains("slugs", t)), F.lit(1))
+    walked = walked.filter(bucket == F.col("slug"))
+    if excluded is not None:
+        walked = walked.join(excluded, ["user_id", "question_id"], "left_anti")
+    w = W.partitionBy("user_id", "slug").orderBy("_step")
+    ranked = walked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count)
+    ranked = ranked.withColumn("group_pos", fx.hash_order(seed, "user_id", "slug"))
+    return round_robin(ranked, count).select("user_id", "pos", "question_id", "slug")
+
+
+def review_candidates(topics_due: DataFrame, questions: DataFrame, seen: DataFrame, seed: str, need: int = DAILY_LIMIT) -> DataFrame:
+    """Best `need` items to review per (user_id, slug, group_pos) row of `topics_due`.
+
+    Order: items where the topic is primary, then secondary; within each, unseen ones in random
+    order, then seen ones by oldest last sight; annulled items never.
+    """
+    rows = topic_rows(questions.filter("not annulled")).select(
+        "question_id", "slug", (F.col("tpos") > 0).alias("secondary")
+    )
+    due = topics_due.select("user_id", "slug", "group_pos")
+    met = (
+        seen.join(rows, "question_id")
+        .join(due, ["user_id", "slug"])
+        .select("user_id", "slug", "group_pos", "secondary", "question_id", "last_seen")
+    )
+    skips = met.groupBy("user_id", "slug", "secondary").agg(F.count("*").alias("skip"))
+    requests = (
+        due.withColumn("secondary", F.explode(F.array(F.lit(False), F.lit(True))))
+        .join(skips, ["user_id", "slug", "secondary"], "left")
+        .fillna(0, ["skip"])
+        .withColumn("need", F.lit(need).cast("bigint"))
+    )
+    strata = ["slug", "secondary"]
+    fresh = (
+        walk(requests, ring(rows, strata, seed), strata, seed)
+        .join(seen.select("user_id", "question_id"), ["user_id", "question_id"], "left_anti")
+        .withColumn("last_seen", F.lit(None).cast("bigint"))
+        .select(*met.columns, "_step")
+    )
+    old = met.withColumn("_step", F.lit(0).cast("bigint"))
+    w = W.partitionBy("user_id", "slug").orderBy(
+        "secondary", F.col("last_seen").isNotNull(), "last_seen", "_step", "question_id"
+    )
+    return (
+        fresh.unionByName(old)
+        .withColumn("rank", F.row_number().over(w))
+        .filter(F.col("rank") <= need)
+        .select("user_id", "slug", "group_pos", "rank", "question_id", "secondary", F.col("last_seen").isNull().alias("unseen"))
+    )
+
+
+def topic_review_exam(candidates: DataFrame, limit: int = DAILY_LIMIT, dedupe: bool = False) -> DataFrame:
+    """Interleave the due topics' candidates.
+
+    An item carrying two due topics may be served twice, as defined; `dedupe=True` keeps only its
+    first place and is applied before the cap.
+    """
+    ranked = candidates
+    if dedupe:
+        w = W.partitionBy("user_id", "question_id").orderBy("rank", "group_pos")
+        ranked = ranked.withColumn("_d", F.row_number().over(w)).filter("_d = 1").drop("_d")
+        g = W.partitionBy("user_id", "slug").orderBy("rank")
+        ranked = ranked.withColumn("rank", F.row_number().over(g))
+    return round_robin(ranked, limit).select("user_id", "pos", "question_id", "slug")
+
+
+def marked_exam(marks: DataFrame, questions: DataFrame, limit: int = DAILY_LIMIT) -> DataFrame:
+    """Open marks of known items, oldest first, capped per user with the uncapped count beside."""
+    open_ = marks.filter("resolved_at is null").join(questions.select("question_id"), "question_id", "left_semi")
+    w = W.partitionBy("user_id").orderBy("created_at", "question_id")
+    top = open_.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit)
+    totals = open_.groupBy("user_id").agg(F.count("*").alias("open_total"))
+    return top.select("user_id", "pos", "question_id").join(totals, "user_id")
+
+
+def create_sessions(picked: DataFrame, mode: str, label: Column, now: int, correction="exam", limit_seconds=None) -> DataFrame:
+    """Empty session rows for assembled exams (`user_id`, `pos`, `question_id`)."""
+    limit = F.lit(limit_seconds).cast("int")
+    return picked.groupBy("user_id").agg(
+        F.count("*").alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "question_id"))), lambda s: s["question_id"]).alias(
+            "question_ids"
+        ),
+    ).select(
+        "user_id",
+        F.md5(F.concat_ws(":", "user_id", F.lit(mode), F.lit(str(now)))).alias("session_id"),
+        F.lit(mode).alias("mode"),
+        label.alias("label"),
+        F.lit(now).cast("bigint").alias("created_at"),
+        F.lit(None).cast("bigint").alias("finished_at"),
+        F.lit(correction).alias("correction_mode"),
+        limit.alias("time_limit_seconds"),
+        "question_ids",
+        F.lit(0).cast("bigint").alias("elapsed_seconds"),
+    )
+
+
+def quota_sample(questions: DataFrame, seed: str, quota: dict[str, int] | None = None) -> DataFrame:
+    """One stratified sample of the bank: the first `quota[area]` of each area in random order."""
+    quota = QUOTA if quota is None else quota
+    limits = F.create_map(*[x for a, n in quota.items() for x in (F.lit(a), F.lit(n))])
+    w = W.partitionBy("area").orderBy(fx.hash_order(seed, "question_id"))
+    largest = max(quota.values())
+    return (
+        questions.filter(F.col("area").isin(list(quota)))
+        .withColumn("rank", F.row_number().over(w))
+        .filter(F.col("rank") <= largest)  # a literal bound lets Spark limit each group before the shuffle
+        .filter(F.col("rank") <= F.element_at(limits, F.col("area")))
+        .select("area", "question_id", "rank")
+    )

@@ -119,6 +119,15 @@ def rank_topics(stats: DataFrame, key: str, area: str | None = None) -> DataFram
     return shown.withColumn("rank", F.row_number().over(W.orderBy(*sort_keys(key))))
 
 
+def all_rankings(stats: DataFrame) -> DataFrame:
+    """Every sort order of the topic table in one pass over the statistics (long form)."""
+    keys = ["priority", "incidence", "recent", "trend", "accuracy"]
+    shown = stats.filter("total_count > 0").select(
+        "slug", *[F.row_number().over(W.orderBy(*sort_keys(k))).alias(k) for k in keys]
+    )
+    return shown.unpivot(["slug"], keys, "sort_key", "rank")
+
+
 def chart_rows(stats: DataFrame, key: str = "priority", n: int = 12) -> DataFrame:
     value = F.col("per_exam_recent" if key == "recent" else "per_exam")
     top = rank_topics(stats, key).filter(F.col("rank") <= n).withColumn("value", value)

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["history"]
+FAMILIES = ["history", "schedule", "sampling"]
 
 
 def load():

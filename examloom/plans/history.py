@@ -78,12 +78,7 @@ def _rank_sql(key: str, expr: str) -> str:
     _rank_sql("recent", "per_exam_recent DESC"), _rank_sql("trend", "trend DESC"),
     _rank_sql("accuracy", "accuracy ASC NULLS LAST")]))
 def topic_rank(spark, d):
-    stats = pooled_stats(spark, d)
-    out = None
-    for key in ("priority", "incidence", "recent", "trend", "accuracy"):
-        part = T.rank_topics(stats, key).select(F.lit(key).alias("sort_key"), "slug", "rank")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return T.all_rankings(pooled_stats(spark, d))
 
 
 @query("topic_chart", TOPIC_VIEWS, STATS_SQL + """, top AS (SELECT *, row_number() OVER (ORDER BY priority DESC, slug)::INT AS rank
@@ -445,11 +440,12 @@ def items_per_year(spark, d):
 
 
 @query("not_yet_correct", "v_questions v_attempts", """
-SELECT question_id, area, year FROM v_questions q
-WHERE NOT EXISTS (SELECT 1 FROM v_attempts a WHERE a.question_id = q.question_id AND a.correct)""")
+SELECT DISTINCT user_id, question_id FROM v_attempts SEMI JOIN v_questions USING (question_id)
+WHERE (user_id, question_id) NOT IN (SELECT (user_id, question_id) FROM v_attempts WHERE correct)""")
 def not_yet_correct(spark, d):
-    hit = A.attempts(spark, d).filter("correct").select("question_id").distinct()
-    return A.questions(spark, d).join(hit, "question_id", "left_anti").select("question_id", "area", "year")
+    a = A.attempts(spark, d)
+    met = a.groupBy("user_id", "question_id").agg(F.bool_or("correct").alias("hit"))
+    return met.filter("not hit").join(A.questions(spark, d).select("question_id"), "question_id", "left_semi").drop("hit")
 
 
 @query("scalar_suite", "v_graded v_sessions", f"""
