@@ -36,6 +36,15 @@ MAX_TOPICS = 3
 _BLANKS = " \t\n\r\x0b\x0c"
 
 
+def _candidates():
+    """Code points that may unfold to ASCII or be combining: skips ideographs, syllables, surrogates, private use."""
+    yield from range(0x80, 0x3400)
+    yield from range(0xA000, 0xAC00)
+    yield from range(0xF900, 0x11A00)
+    yield from range(0x16AF0, 0x16B40)
+    yield from range(0x1BC90, 0x20000)
+
+
 @lru_cache(maxsize=None)
 def fold_tables(strip_stray: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
     """(from, to, multi): compatibility decomposition without combining marks, restricted to ASCII results.
@@ -44,9 +53,7 @@ def fold_tables(strip_stray: bool) -> tuple[str, str, tuple[tuple[str, str], ...
     the characters that unfold to several, with non-ASCII parts as spaces.
     """
     src, dst, gone, multi = [], [], [], []
-    for cp in range(0x80, 0x110000):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
+    for cp in _candidates():
         c = chr(cp)
         if (strip_stray and c in STRAY_MARKS) or unicodedata.combining(c):
             gone.append(c)
@@ -88,10 +95,12 @@ def fold(text, strip_stray: bool = False) -> Column:
     """Accent-free text. Plain ASCII passes through; rare multi-character folds run only where present."""
     text = col(text)
     src, dst, multi = fold_tables(strip_stray)
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in multi])
+    # one literal, constant-folded to an array of (key, value)
+    listing = "\x02".join(f"{a}\x01{b}" for a, b in multi)
+    pairs = F.map_entries(F.str_to_map(F.lit(listing), F.lit("\x02"), F.lit("\x01")))
     expanded = F.when(
         F.rlike(text, F.lit(_class([a for a, _ in multi]))),
-        F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["a"], p["b"])),
+        F.aggregate(pairs, text, lambda acc, p: F.replace(acc, p["key"], p["value"])),
     ).otherwise(text)
     ascii_only = (F.octet_length(text) == F.length(text))
     if strip_stray:
@@ -104,15 +113,22 @@ def normalize(text) -> Column:
     return F.regexp_replace(F.lower(fold(text, strip_stray=True)), r"[^a-z0-9()*+\-\\/.,;:_]+", " ")
 
 
-def looks_usable(text, norm) -> Column:
-    """Whether extracted text is real prose; `norm` is its normalised form."""
-    stripped = F.btrim(col(text), F.lit(_BLANKS))
-    dense = F.regexp_replace(F.lower(fold(stripped)), r"\s", "")
-    n = F.length(dense)
-    printable = F.length(F.regexp_replace(dense, r"[^\x20-\x7e]", ""))
+def stripped(text) -> Column:
+    return F.btrim(col(text), F.lit(_BLANKS))
+
+
+def dense(strip) -> Column:
+    """Folded lower-case text without white space."""
+    return F.regexp_replace(F.lower(fold(strip)), r"\s", "")
+
+
+def looks_usable(strip, dense_, norm) -> Column:
+    """Whether extracted text is real prose, from its stripped, dense and normalised forms."""
+    n = F.length(col(dense_))
+    printable = F.length(F.regexp_replace(col(dense_), r"[^\x20-\x7e]", ""))
     stop = F.regexp_count(col(norm), F.lit(r"\b(?:" + "|".join(STOPWORDS) + r")\b"))
     return (
-        F.when(F.length(stripped) < MIN_CHARS, False)
+        F.when(F.length(col(strip)) < MIN_CHARS, False)
         .when(n == 0, False)
         .when(printable / n < MIN_ASCII_RATIO, False)
         .when(n < STOPWORD_MIN_CHARS, True)

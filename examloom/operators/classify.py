@@ -10,17 +10,37 @@ from ..functions import text as tx
 Rules = list[tuple[str, str, int]]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores; a large scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def normalized(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("norm", tx.normalize(text))
 
 
 def scored(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
-    """Adds `scores`: array of (slug, score) ordered by (-score, slug)."""
-    return normalized(docs, text).withColumn("scores", tx.ranked(tx.topic_scores("norm", rules))).drop("norm")
+    """Adds `scores`: array of (slug, score) ordered by (-score, slug).
+
+    Normalising, scoring and ranking are separate projections: each is used more than once by the
+    next, so the optimizer keeps them apart and every text is processed once.
+    """
+    d = normalized(docs, text).withColumn("_hits", tx.topic_scores("norm", rules))
+    return d.withColumn("scores", tx.ranked("_hits")).drop("norm", "_hits")
 
 
 def score_rows(docs: DataFrame, rules: Rules, key: str = "doc_id") -> DataFrame:
-    return scored(docs, rules).select(key, F.explode("scores").alias("s")).select(key, "s.slug", "s.score")
+    # explode_outer: a plain explode makes the optimizer filter on the exploded expression first,
+    # which would score every text a second time
+    rows = scored(docs, rules).select(key, F.explode_outer("scores").alias("s"))
+    return rows.select(key, "s.slug", "s.score").filter("slug is not null")
+
+
+def topic_rows(classified: DataFrame, key: str = "doc_id") -> DataFrame:
+    rows = classified.select(key, F.posexplode_outer("topics").alias("tpos", "slug"))
+    return rows.filter("slug is not null")
 
 
 def classify(docs: DataFrame, rules: Rules) -> DataFrame:
@@ -28,13 +48,19 @@ def classify(docs: DataFrame, rules: Rules) -> DataFrame:
     return scored(docs, rules).withColumn("topics", tx.pick_topics("scores"))
 
 
+def usable(docs: DataFrame, text: str) -> DataFrame:
+    """Adds `usable`: whether the text passes the quality gate."""
+    d = normalized(docs, text).withColumnRenamed("norm", "_n")
+    d = d.withColumn("_s", tx.stripped(text)).withColumn("_d", tx.dense("_s"))
+    return d.withColumn("usable", tx.looks_usable("_s", "_d", "_n")).drop("_n", "_s", "_d")
+
+
 def choose_text(docs: DataFrame, layer: str, fallback: str) -> DataFrame:
     """The text layer where it is usable, else the fallback text, with the source named."""
-    ok = tx.looks_usable(layer, "_n")
-    d = docs.withColumn("_n", tx.normalize(layer)).withColumn("_ok", ok)
-    return d.withColumn("text", F.when(F.col("_ok"), F.col(layer)).otherwise(F.col(fallback))).withColumn(
-        "source", F.when(F.col("_ok"), F.lit("pdf")).otherwise(F.lit("ocr"))
-    ).drop("_n", "_ok")
+    d = usable(docs, layer)
+    return d.withColumn("text", F.when(F.col("usable"), F.col(layer)).otherwise(F.col(fallback))).withColumn(
+        "source", F.when(F.col("usable"), F.lit("pdf")).otherwise(F.lit("ocr"))
+    )
 
 
 def tag_bank(bank: DataFrame, classified: DataFrame, key: str) -> DataFrame:

@@ -44,7 +44,7 @@ VIEWS["v_classified"] = ("v_ranked", """SELECT doc_id,
 
 
 def docs(spark, d):
-    return A.table(spark, d, "documents")
+    return C.spread(A.table(spark, d, "documents"))
 
 
 def classified(spark, d):
@@ -67,19 +67,18 @@ def _usable_sql(text: str, norm: str) -> str:
 
 @query("text_quality", "v_norm", f"SELECT doc_id, {_usable_sql('text', 'norm')} AS usable FROM v_norm")
 def text_quality(spark, d):
-    n = C.normalized(docs(spark, d))
-    return n.select("doc_id", tx.looks_usable("text", "norm").alias("usable"))
+    return C.usable(docs(spark, d), "text").select("doc_id", "usable")
 
 
-# conversation turns as the text layer (many are short), their upper-cased text as the fallback
-VIEWS["v_turns"] = ("", f"""SELECT conv_id, turn, CASE WHEN ok THEN text ELSE upper(text) END AS text,
+# conversation turns as the text layer (many are short), their marked text as the fallback
+VIEWS["v_turns"] = ("", f"""SELECT conv_id, turn, CASE WHEN ok THEN text ELSE 'ocr: ' || text END AS text,
     CASE WHEN ok THEN 'pdf' ELSE 'ocr' END AS source
   FROM (SELECT *, {_usable_sql('text', _norm_sql('text'))} AS ok FROM conversations)""")
 
 
 def turns(spark, d):
-    t = A.table(spark, d, "conversations").withColumnRenamed("text", "layer")
-    return C.choose_text(t.withColumn("fallback", F.upper("layer")), "layer", "fallback").select(
+    t = C.spread(A.table(spark, d, "conversations")).withColumnRenamed("text", "layer")
+    return C.choose_text(t.withColumn("fallback", F.concat(F.lit("ocr: "), "layer")), "layer", "fallback").select(
         "conv_id", "turn", "text", "source"
     )
 
@@ -99,9 +98,9 @@ def topic_scores(spark, d):
     return C.score_rows(docs(spark, d), RULES)
 
 
-def _flat(df):
+def _flat(df, *keep):
     scores = F.transform("scores", lambda s: F.concat(s["slug"], F.lit("="), s["score"].cast("string")))
-    return df.select("doc_id", F.concat_ws("+", "topics").alias("topics"), F.concat_ws(",", scores).alias("scores"))
+    return df.select("doc_id", *keep, F.concat_ws("+", "topics").alias("topics"), F.concat_ws(",", scores).alias("scores"))
 
 
 @query("classify_docs", "v_classified", "SELECT * FROM v_classified")
@@ -112,8 +111,7 @@ def classify_docs(spark, d):
 @query("classified_dump", "v_classified", """
 SELECT doc_id, source, text, topics, scores FROM documents JOIN v_classified USING (doc_id)""")
 def classified_dump(spark, d):
-    c = classified(spark, d)
-    return _flat(c).join(docs(spark, d).select("doc_id", "source", "text"), "doc_id")
+    return _flat(classified(spark, d), "source", "text")
 
 
 @query("tag_bank", "v_classified", """
@@ -136,7 +134,7 @@ WITH t AS (SELECT doc_id, unnest(string_split(topics, '+')) AS slug, unnest(rang
 SELECT slug, count(*) FILTER (tpos = 0) AS primary_count, count(*) AS any_count,
   100 * count(*) FILTER (tpos = 0) / (SELECT count(*) FROM documents) AS pct FROM t GROUP BY slug""")
 def topic_report_docs(spark, d):
-    rows = classified(spark, d).select("doc_id", F.posexplode("topics").alias("tpos", "slug"))
+    rows = C.topic_rows(classified(spark, d))
     total = docs(spark, d).agg(F.count("*")).scalar()
     counts = rows.groupBy("slug").agg(F.count_if(F.col("tpos") == 0).alias("primary_count"), F.count("*").alias("any_count"))
     return counts.withColumn("pct", 100 * F.col("primary_count") / total)
