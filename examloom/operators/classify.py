@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import core as fx
 from ..functions import text as tx
 
 Rules = list[tuple[str, str, int]]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores; a large scan is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+def once(c):
+    """Keep an expensive column from being copied into filters above it.
+
+    The optimizer does not move predicates through a projection with a random part; the value is
+    unchanged.
+    """
+    return F.when(F.rand(0) >= 0, fx.col(c))
 
 
 def normalized(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -27,7 +30,7 @@ def scored(docs: DataFrame, rules: Rules, text: str = "text") -> DataFrame:
     Normalising, scoring and ranking are separate projections: each is used more than once by the
     next, so the optimizer keeps them apart and every text is processed once.
     """
-    d = normalized(docs, text).withColumn("_hits", tx.topic_scores("norm", rules))
+    d = normalized(docs, text).withColumn("_hits", once(tx.topic_scores("norm", rules)))
     return d.withColumn("scores", tx.ranked("_hits")).drop("norm", "_hits")
 
 
@@ -52,7 +55,7 @@ def usable(docs: DataFrame, text: str) -> DataFrame:
     """Adds `usable`: whether the text passes the quality gate."""
     d = normalized(docs, text).withColumnRenamed("norm", "_n")
     d = d.withColumn("_s", tx.stripped(text)).withColumn("_d", tx.dense("_s"))
-    return d.withColumn("usable", tx.looks_usable("_s", "_d", "_n")).drop("_n", "_s", "_d")
+    return d.withColumn("usable", once(tx.looks_usable("_s", "_d", "_n"))).drop("_n", "_s", "_d")
 
 
 def choose_text(docs: DataFrame, layer: str, fallback: str) -> DataFrame:

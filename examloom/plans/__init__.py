@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["history", "schedule", "sampling", "marks", "merge", "sources", "text"]
+FAMILIES = ["history", "schedule", "sampling", "marks", "merge", "sources", "text", "segment"]
 
 
 def load():

@@ -44,7 +44,7 @@ VIEWS["v_classified"] = ("v_ranked", """SELECT doc_id,
 
 
 def docs(spark, d):
-    return C.spread(A.table(spark, d, "documents"))
+    return A.spread(A.table(spark, d, "documents"))
 
 
 def classified(spark, d):
@@ -77,7 +77,7 @@ VIEWS["v_turns"] = ("", f"""SELECT conv_id, turn, CASE WHEN ok THEN text ELSE 'o
 
 
 def turns(spark, d):
-    t = C.spread(A.table(spark, d, "conversations")).withColumnRenamed("text", "layer")
+    t = A.spread(A.table(spark, d, "conversations")).withColumnRenamed("text", "layer")
     return C.choose_text(t.withColumn("fallback", F.concat(F.lit("ocr: "), "layer")), "layer", "fallback").select(
         "conv_id", "turn", "text", "source"
     )

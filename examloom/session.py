@@ -46,3 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         base = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def materialize(df, name: str):
+    """Write an intermediate result that several branches read, and read it back.
+
+    Cuts the lineage through the shared folder, so a lost executor costs one task, not a recomputation
+    of every branch, and gives the planner real sizes.
+    """
+    path = shared_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

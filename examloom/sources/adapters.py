@@ -20,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan with fewer splits than cores; a large scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
+
+
 def micros(ts: str | Column) -> Column:
     """Epoch microseconds of a zone-less timestamp, independent of the session zone."""
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), fx.col(ts))
@@ -212,3 +219,105 @@ def events(spark, d) -> DataFrame:
         F.col("event_type").alias("type"),
         "value",
     )
+
+
+# ---------------------------------------------------------------- documents as words and keys
+
+LINES_PER_PAGE = 40
+
+
+def lines(spark, d) -> DataFrame:
+    docs = spread(table(spark, d, "documents"))
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+
+
+def words(spark, d) -> DataFrame:
+    """Every document as positioned words; each line starts with an item number in one of four styles.
+
+    `word_no` is the reading position in the document. Some numbers are struck twice.
+    """
+    docs = spread(table(spark, d, "documents"))
+    style = F.col("doc_id") % 4
+
+    def prefix(i):
+        n = (i + 1).cast("string")
+        twice = (i + 1) % 7 == 0
+        mark = F.when((F.col("doc_id") % 8 == 1) & (i < 10), F.lit(".")).otherwise(F.lit(")"))
+        dot = F.concat(n, F.when(style == 0, F.lit(".")).otherwise(mark))
+        return (
+            F.when(style == 2, F.array(n, F.lit("-")))
+            .when(style == 3, F.array(F.lit("▬QUESTÃO"), n))
+            .when(twice, F.array(dot, dot))
+            .otherwise(F.array(dot))
+        )
+
+    def tokens(line, i):
+        lead = prefix(i)
+        own = F.filter(F.split(line, " "), lambda w: w != "")
+        return F.transform(
+            F.concat(lead, own),
+            lambda w, j: F.struct(w.alias("text"), i.alias("i"), j.alias("j"), F.size(lead).alias("p")),
+        )
+
+    all_tokens = F.flatten(F.transform(F.split("text", "\n"), tokens))
+    w = docs.select("doc_id", F.posexplode_outer(all_tokens).alias("word_no", "w")).select("doc_id", "word_no", "w.*")
+    i, j, p = F.col("i"), F.col("j"), F.col("p")
+    margin = F.lit(50.0) + (i + 1) % 3 * 1.5
+    second = F.when(style == 2, F.lit(62.0)).when(style == 3, F.lit(110.0)).otherwise(margin)
+    x0 = F.when(j == 0, margin).when(j < p, second).otherwise(F.lit(130.0) + (j - p) * 20.0)
+    y0 = i % LINES_PER_PAGE * 18.0 + 50.0 + F.when((style <= 1) & (j == 1) & (p == 2), 0.4).otherwise(0.0)
+    return w.select(
+        "doc_id",
+        F.floor(i / LINES_PER_PAGE).cast("int").alias("page"),
+        "word_no",
+        "text",
+        x0.alias("x0"),
+        y0.alias("y0"),
+        (x0 + 12.0).alias("x1"),
+        (y0 + 12.0).alias("y1"),
+    )
+
+
+def ocr_tokens(spark, d) -> DataFrame:
+    """The words as scanner tokens: pixel boxes at double scale, one block per page, one text line per row."""
+    return words(spark, d).select(
+        "doc_id",
+        "page",
+        F.col("word_no").alias("pos"),
+        "text",
+        F.floor(F.col("x0") * 2).cast("int").alias("left"),
+        F.floor(F.col("y0") * 2).cast("int").alias("top"),
+        F.lit(18).alias("width"),
+        F.lit(24).alias("height"),
+        F.col("page").alias("block_num"),
+        F.floor((F.col("y0") - 50) / 18).cast("int").alias("line_num"),
+    )
+
+
+def key_text(spark, d) -> DataFrame:
+    """An answer key per document, one entry per line, in one of three layouts."""
+    docs = spread(table(spark, d, "documents")).select("doc_id", F.split("text", "\n").alias("ls"))
+    letter = F.transform(
+        "ls", lambda line: F.substring(F.lit("ABCDE*"), (F.length(line) % 6 + 1).cast("int"), F.lit(1))
+    )
+    one = F.transform(letter, lambda a, i: F.concat((i + 1).cast("string"), F.lit(". ("), a, F.lit(")")))
+    zero = F.when(F.col("doc_id") % 2 == 0, F.lit("0")).otherwise(F.lit("o"))
+    packed = F.transform(
+        letter,
+        lambda a, i: F.concat(F.when(i < 9, zero).otherwise(F.lit("")), (i + 1).cast("string"), F.lit(" - "), a),
+    )
+    starts = F.sequence(F.lit(1), F.size("ls"), F.lit(10))
+    pairs = F.transform(
+        starts,
+        lambda s: F.concat(
+            F.array_join(F.transform(F.sequence(s, F.least(s + 9, F.size("ls"))), lambda n: n.cast("string")), " "),
+            F.lit("\n"),
+            F.array_join(F.slice(letter, s, 10), " "),
+        ),
+    )
+    text = (
+        F.when(F.col("doc_id") % 3 == 0, F.array_join(one, "\n"))
+        .when(F.col("doc_id") % 3 == 1, F.array_join(packed, " "))
+        .otherwise(F.array_join(pairs, "\n"))
+    )
+    return docs.select("doc_id", text.alias("text"))
