@@ -14,10 +14,10 @@ Rules = list[tuple[str, str, int]]
 def once(c):
     """Keep an expensive column from being copied into filters above it.
 
-    The optimizer does not move predicates through a projection with a random part; the value is
-    unchanged.
+    The optimizer does not move predicates through a projection that looks at the running task;
+    the value is unchanged.
     """
-    return F.when(F.rand(0) >= 0, fx.col(c))
+    return F.when(F.spark_partition_id() >= 0, fx.col(c))
 
 
 def normalized(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -34,7 +34,7 @@ VIEWS["v_cand"] = ("v_words", rf"""SELECT doc_id, page, word_no, y0, x0, pattern
     CASE WHEN text LIKE '%)' THEN 1 ELSE 0 END FROM v_words WHERE regexp_full_match(text, '0*\d{{1,2}}[.)]')
   UNION ALL SELECT doc_id, page, word_no, y0, x0, 'questao', regexp_extract(nxt, '^0*(\d+)', 1)::BIGINT, 0
   FROM (SELECT *, lead(text) OVER (PARTITION BY doc_id, page ORDER BY word_no) AS nxt FROM v_words)
-  WHERE upper({_fold_sql('text')}) LIKE '%QUESTAO' AND regexp_matches(nxt, '^\d')""")
+  WHERE CASE WHEN length(text) >= 7 AND regexp_matches(nxt, '^\d') THEN upper({_fold_sql('text')}) LIKE '%QUESTAO' END""")
 VIEWS["v_clusters"] = ("v_cand", """SELECT * EXCLUDE (best_size, best_k),
     CASE WHEN cluster = best_k THEN size >= 3 ELSE size >= greatest(5, 0.5::DOUBLE * best_size) END AS kept
   FROM (SELECT *, first(size) OVER w AS best_size, first(cluster) OVER w AS best_k FROM (

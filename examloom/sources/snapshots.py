@@ -20,10 +20,9 @@ def parse(docs: DataFrame, column: str = "data") -> DataFrame:
     d = docs.withColumn("_d", raw)
     ok = F.col("_d.sessions").isNotNull() & F.col("_d.attempts").isNotNull()
     fields = [F.lit(VERSION).alias("version")]
-    for f in schemas.SNAPSHOT.fields[1:]:
-        ddl = f.dataType.simpleString()
-        empty = (F.array() if ddl.startswith("array") else F.create_map()).cast(f.dataType)
-        fields.append(F.coalesce(F.when(ok, F.col(f"_d.{f.name}")), empty).alias(f.name))
+    for name, ddl in schemas.SNAPSHOT_FIELDS.items():
+        empty = (F.array() if ddl.startswith("ARRAY") else F.create_map()).cast(ddl)
+        fields.append(F.coalesce(F.when(ok, F.col(f"_d.{name}")), empty).alias(name))
     return d.withColumn("valid", F.coalesce(ok, F.lit(False))).withColumn("doc", F.struct(*fields)).drop("_d")
 
 
