@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ["history", "schedule", "sampling", "marks", "merge", "sources", "text", "segment"]
+FAMILIES = ["history", "schedule", "sampling", "marks", "merge", "sources", "text", "segment", "events"]
 
 
 def load():
