@@ -42,12 +42,14 @@ def step(prev: Column, quality: Column, now: Column) -> Column:
         F.when(lapse | (prev["repetitions"] == 0), F.lit(1.0))
         .when(prev["repetitions"] == 1, F.lit(6.0))
         # round half up in floating point: the product may exceed BIGINT
-        .otherwise(_round(prev["interval_days"] * ease))
+        .otherwise(grow(prev["interval_days"], ease))
     )
     return state(reps, interval, ease, now.cast("bigint"))
 
 
-def _round(x: Column) -> Column:
+def grow(interval: Column, ease: Column) -> Column:
+    """The next interval of a run, rounded half up."""
+    x = interval * ease
     # beyond 2^52 doubles are whole numbers already, and floor() would leave the BIGINT range
     return F.when(x < 4.5e15, F.floor(x + F.lit(0.5)).cast("double")).otherwise(x)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import core as fx
+from . import slices
 from .scoring import primary
 
 MARK = ["reason", "note", "session_id", "created_at", "updated_at", "resolved_at", "times_marked"]
@@ -92,12 +93,16 @@ def suggestions(graded: DataFrame, sizes: DataFrame, pacing: DataFrame) -> DataF
 ACTIONS = ["mark", "resolve", "unresolve", "edit", "toggle"]
 
 
-def replay(log: DataFrame) -> DataFrame:
+def replay(log: DataFrame, max_group: int = 100_000) -> DataFrame:
     """Final mark per (user, item) after an action log (`action`, `reason`, `session_id`, `at`, `seq`).
 
     `toggle` is the notebook's switch: it resolves an open mark and re-marks a resolved one.
     Actions other than `mark` on an item that was never marked do nothing.
     """
+    return slices.by_group_size(log, ["user_id", "question_id"], max_group, replay_short, replay_long)
+
+
+def replay_short(log: DataFrame) -> DataFrame:
     kind = (
         "struct<reason:string,note:string,session_id:bigint,created_at:bigint,updated_at:bigint,"
         "resolved_at:bigint,times_marked:bigint>"
@@ -126,6 +131,39 @@ def replay(log: DataFrame) -> DataFrame:
     return folded.filter("_m is not null").select("user_id", "question_id", "_m.*")
 
 
+def replay_long(log: DataFrame, slice_ms: int = fx.DAY_MS) -> DataFrame:
+    """The same replay for items with very long logs, as running counts over time slices.
+
+    Every action but `toggle` sets the open/resolved state outright, so the state after an event is
+    the last setter's state flipped by the toggles since; everything else is a first, a last or a
+    count of events.
+    """
+    keys, order = ["user_id", "question_id"], ["at", "seq"]
+    when = F.struct(*order)
+    is_mark = F.col("action") == "mark"
+    born = log.filter(is_mark).groupBy(*keys).agg(F.min(when).alias("_born"))
+    e = log.join(born, keys).filter(when >= F.col("_born")).withColumn("_slice", F.floor(F.col("at") / slice_ms))
+    toggle = F.col("action") == "toggle"
+    e = slices.running_sum(e, keys, "_slice", order, {"_t": toggle.cast("bigint")})
+    setter = F.when(~toggle, F.struct((F.col("action") == "resolve").alias("resolved"), F.col("_t").alias("t")))
+    e = slices.carry_start(e.withColumn("_set", setter), keys, "_slice", order, ~toggle, "_set", "_last")
+    e = e.withColumn("_resolved", F.col("_last.resolved") != ((F.col("_t") - F.col("_last.t")) % 2 == 1))
+    e = slices.neighbours(e, keys, "_slice", order, lag={"_was": "_resolved"})
+    counts = (is_mark | toggle) & F.coalesce("_was", F.lit(True))
+    sets_reason = F.col("action").isin("mark", "edit")
+    out = e.groupBy(*keys).agg(
+        F.max_by("reason", F.when(sets_reason, when)).alias("reason"),
+        F.max_by("session_id", F.when(is_mark, when)).alias("session_id"),
+        F.min("at").alias("created_at"),
+        F.max("at").alias("updated_at"),
+        F.max_by("_resolved", when).alias("_end"),
+        F.count_if(counts).alias("times_marked"),
+    )
+    # whatever resolved the mark was its last event
+    resolved = F.when(F.col("_end"), F.col("updated_at"))
+    return out.withColumn("note", F.lit("")).withColumn("resolved_at", resolved).select(*keys, *MARK)
+
+
 def marks_by_reason(marks: DataFrame) -> DataFrame:
     """Open marks per user and reason, zero where a reason is absent."""
     counts = [F.count_if(F.col("reason") == r).alias(r) for r in fx.REASONS]

@@ -28,8 +28,10 @@ def truncation_label(prefix: str, shown, total) -> Column:
 
 
 def by_year(questions: DataFrame) -> DataFrame:
-    w = W.partitionBy("year").orderBy("number", "bank_pos")
-    return questions.select("year", "question_id", "number", F.row_number().over(w).alias("pos"))
+    """Items of every exam year by number, ranked per (year, number) slice."""
+    rows = questions.select("year", "question_id", "number", "bank_pos")
+    ranked = slices.rank(rows, ["year"], "number", ["bank_pos"], out="pos")
+    return ranked.select("year", "question_id", "number", F.col("pos").cast("int").alias("pos"))
 
 
 def ring(questions: DataFrame, strata: list[str], seed: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core as fx
 from ..functions import sm2
+from . import slices
 from .scoring import primary
 
 DAILY_LIMIT = 20
@@ -86,14 +87,70 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
     return both.groupBy(*keys).agg(F.max_by("_v", "_o").alias("_v")).select(*keys, "_v.*")
 
 
-def rebuild(outcomes: DataFrame, keys: list[str]) -> DataFrame:
-    """Replay all outcomes (`t`, `seq`, `q`) of each key in time order."""
+MAX_GROUP = 100_000
+DAY = fx.DAY_MS
+# an unbroken run multiplies its interval by 1.3 or more each time: past this many it is infinite
+MAX_RUN = 3_000
+
+
+def rebuild(outcomes: DataFrame, keys: list[str], max_group: int = MAX_GROUP) -> DataFrame:
+    """Replay all outcomes (`t`, `seq`, `q`) of each key in time order.
+
+    Keys of ordinary size fold their outcomes as one array; larger ones go through
+    :func:`rebuild_long`, which never gathers a key in one place.
+    """
+    return slices.by_group_size(
+        outcomes, keys, max_group, lambda df: rebuild_short(df, keys), lambda df: rebuild_long(df, keys)
+    )
+
+
+def rebuild_short(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     folded = outcomes.groupBy(*keys).agg(
         sm2.fold(F.collect_list(F.struct("t", "seq", "q"))).alias("_s"), F.count("*").alias("reviews")
     )
     return _expand(folded, [*keys, "reviews"])
 
 
+def rebuild_long(outcomes: DataFrame, keys: list[str], slice_ms: int = DAY) -> DataFrame:
+    """The same replay as running sums and minima over time slices.
+
+    Ease is a sum of steps reflected at its floor, so in whole hundredths
+    ``ease(n) = D(n) + max(start, floor - min(D))`` with D the running sum of the steps. Intervals
+    depend only on the run of successes after the last lapse, and only its first MAX_RUN rows can
+    matter; those are the only rows gathered.
+    """
+    q = F.least(F.lit(5), F.greatest(F.lit(0), F.col("q")))
+    gap = F.lit(5) - q
+    change = (F.lit(10) - gap * (F.lit(8) + gap * F.lit(2))).cast("bigint")
+    floor, start = int(sm2.MIN_EASE * 100), int(sm2.START_EASE * 100)
+    order = ["t", "seq"]
+    rows = outcomes.select(*keys, *order, q.alias("q")).withColumn("_slice", F.floor(F.col("t") / slice_ms))
+    rows = slices.running_sum(rows, keys, "_slice", order, {"_d": change})
+    rows = slices.running_min(rows, keys, "_slice", order, {"_low": F.col("_d")})
+    rows = rows.withColumn("_ease", (F.col("_d") + F.greatest(F.lit(start), floor - F.col("_low"))) / 100)
+    at = F.struct(*order)
+    ends = rows.groupBy(*keys).agg(
+        F.count("*").alias("reviews"),
+        F.max_by(F.struct(F.col("t").alias("last_reviewed_at"), "_ease"), at).alias("_end"),
+        F.max(F.when(F.col("q") < 3, at)).alias("_lapse"),
+    )
+    run = rows.join(ends.select(*keys, "_lapse"), keys).filter(F.col("_lapse").isNull() | (at > F.col("_lapse")))
+    run = slices.rank(run, keys, "_slice", order, out="_r", total="repetitions").filter(F.col("_r") <= MAX_RUN)
+    grown = run.groupBy(*keys).agg(
+        F.max("repetitions").alias("repetitions"),
+        F.aggregate(
+            F.array_sort(F.collect_list(F.struct("_r", "_ease"))),
+            F.lit(1.0),
+            lambda acc, e: F.when(e["_r"] == 1, F.lit(1.0)).when(e["_r"] == 2, F.lit(6.0)).otherwise(sm2.grow(acc, e["_ease"])),
+        ).alias("_interval"),
+    )
+    interval = F.when(F.col("repetitions") > MAX_RUN, F.lit(float("inf"))).otherwise(F.coalesce("_interval", F.lit(1.0)))
+    state = sm2.state(
+        F.coalesce("repetitions", F.lit(0).cast("bigint")), interval, F.col("_end._ease"), F.col("_end.last_reviewed_at")
+    )
+    return _expand(ends.join(grown, keys, "left").withColumn("_s", state), [*keys, "reviews"])
+
+
 def due(srs: DataFrame, now: int, keys=("user_id",), limit: int = DAILY_LIMIT, item="question_id") -> DataFrame:
     """Due rows, most overdue first, capped per user; `due_total` is the uncapped count.
 

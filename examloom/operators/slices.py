@@ -34,20 +34,26 @@ def rank(df: DataFrame, keys: list[str], slice_col: str, order: list, out: str =
     return joined.withColumn(out, F.col("_rn") + F.col("_before")).drop("_rn", "_before")
 
 
-def running_sum(df: DataFrame, keys: list[str], slice_col: str, order: list, values: dict[str, Column]) -> DataFrame:
-    """Inclusive running sums per group, one output column per entry of `values`."""
+def _running(df, keys, slice_col, order, values, fn, combine):
     tmp = {f"_v_{k}": v for k, v in values.items()}
     base = df.select("*", *[v.alias(k) for k, v in tmp.items()])
-    sums = base.groupBy(*keys, slice_col).agg(*[F.sum(k).alias(f"_s{k}") for k in tmp])
-    w = _w(keys, [slice_col]).rowsBetween(W.unboundedPreceding, W.currentRow)
-    offsets = sums.select(
-        *keys, slice_col, *[(F.sum(f"_s{k}").over(w) - F.col(f"_s{k}")).alias(f"_o{k}") for k in tmp]
-    )
+    per = base.groupBy(*keys, slice_col).agg(*[fn(k).alias(f"_s{k}") for k in tmp])
+    before = _w(keys, [slice_col]).rowsBetween(W.unboundedPreceding, -1)
+    offsets = per.select(*keys, slice_col, *[fn(f"_s{k}").over(before).alias(f"_o{k}") for k in tmp])
     lw = _w([*keys, slice_col], order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    local = base.select("*", *[F.sum(k).over(lw).alias(f"_l{k}") for k in tmp])
+    local = base.select("*", *[fn(k).over(lw).alias(f"_l{k}") for k in tmp])
     joined = local.join(offsets, [*keys, slice_col])
-    out = joined.select(*df.columns, *[(F.col(f"_l_v_{k}") + F.col(f"_o_v_{k}")).alias(k) for k in values])
-    return out
+    return joined.select(*df.columns, *[combine(F.col(f"_l_v_{k}"), F.col(f"_o_v_{k}")).alias(k) for k in values])
+
+
+def running_sum(df: DataFrame, keys: list[str], slice_col: str, order: list, values: dict[str, Column]) -> DataFrame:
+    """Inclusive running sums per group, one output column per entry of `values`."""
+    return _running(df, keys, slice_col, order, values, F.sum, lambda here, before: here + F.coalesce(before, F.lit(0)))
+
+
+def running_min(df: DataFrame, keys: list[str], slice_col: str, order: list, values: dict[str, Column]) -> DataFrame:
+    """Inclusive running minima per group."""
+    return _running(df, keys, slice_col, order, values, F.min, lambda here, before: F.least(here, before))
 
 
 def neighbours(
@@ -110,3 +116,13 @@ def carry_start(df: DataFrame, keys: list[str], slice_col: str, order: list[str]
     local = flagged.withColumn("_cur", F.last("_m", ignorenulls=True).over(lw))
     joined = local.join(last, [*keys, slice_col])
     return joined.select(*df.columns, F.coalesce("_cur", "_carry").alias(out))
+
+
+def by_group_size(df: DataFrame, keys: list[str], limit: int, small, large) -> DataFrame:
+    """Apply `small` to groups of up to `limit` rows and `large` to the others.
+
+    Sizes come from a map-side combined count. Where no group is that large, the second branch is
+    empty and is dropped at run time.
+    """
+    big = df.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > limit).select(*keys)
+    return small(df.join(big, keys, "left_anti")).unionByName(large(df.join(big, keys, "left_semi")))
