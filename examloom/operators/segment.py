@@ -199,35 +199,38 @@ def outliers(segs: DataFrame, page_height: float = 842.0, dpi: float = 150.0) ->
     return s.withColumn("flag", flag).filter("flag is not null").select("doc_id", "number", "page", "height_px", "flag")
 
 
+def regions(anchors: DataFrame) -> DataFrame:
+    """Item regions per page, as one array of (seg, number, top, bottom) per (doc, page).
+
+    From four points above the anchor to the next anchor: the rest of the first page, whole pages
+    in between, the top of the last one. The last item of a document ends with its page. The arrays
+    hold the items printed on one page.
+    """
+    numbered = slices.rank(anchors, ["doc_id"], "page", ["y0", "word_no"], out="seg")
+    segs = segments(anchors).join(numbered.select("doc_id", "word_no", "seg"), ["doc_id", "word_no"])
+    last = F.coalesce("end_page", "page")
+    parts = segs.withColumn("_p", F.explode(F.sequence("page", last)))
+    top = F.when(F.col("_p") == F.col("page"), F.col("y0") - 4).otherwise(F.lit(float("-inf")))
+    bottom = F.when(F.col("_p") == F.col("end_page"), F.col("end_y")).otherwise(F.lit(float("inf")))
+    rect = F.struct("seg", "number", top.alias("top"), bottom.alias("bottom"))
+    return parts.groupBy("doc_id", F.col("_p").alias("page")).agg(F.collect_list(rect).alias("rects"))
+
+
 def segment_text(words: DataFrame, anchors: DataFrame) -> DataFrame:
     """The words of each item's region, in reading order.
 
-    A region runs from four points above its anchor to the next anchor. Instead of a range join,
-    anchors and words of a page are put in one order and counted: a word belongs to the anchors
-    numbered from the last one starting at or above it to the last one whose early start lies
-    above it. Page offsets carry the count over page breaks. After the last anchor only its own
-    page counts.
+    The regions of a page ride along with its words (an equi-join on the page), so there is no
+    range join and words are shuffled once more only for the final grouping by item.
     """
-    anchors = materialize(anchors, "anchors")
-    starts = anchors.select("doc_id", "page", F.col("y0").alias("y"), F.lit(0).alias("kind"))
-    early = anchors.select("doc_id", "page", (F.col("y0") - 4).alias("y"), F.lit(1).alias("kind"))
-    toks = words.select("doc_id", "page", F.col("y0").alias("y"), F.lit(2).alias("kind"), "word_no", "text")
-    none = [F.lit(None).cast("int").alias("word_no"), F.lit(None).cast("string").alias("text")]
-    rows = toks.unionByName(starts.select("*", *none)).unionByName(early.select("*", *none))
-    counted = slices.running_sum(
-        rows, ["doc_id"], "page", ["y", "kind"],
-        {"_from": (F.col("kind") == 0).cast("int"), "_to": (F.col("kind") == 1).cast("int")},
-    )
-    placed = counted.filter("kind = 2 and _to >= 1")
-    placed = placed.withColumn("seg", F.explode(F.sequence(F.greatest("_from", F.lit(1).cast("bigint")), F.col("_to"))))
-    numbered = slices.rank(anchors, ["doc_id"], "page", ["y0", "word_no"], out="seg", total="_n").select(
-        "doc_id", "seg", "number", F.col("page").alias("_page"), "_n"
-    )
-    inside = placed.join(numbered, ["doc_id", "seg"]).filter("seg < _n or page = _page")
+    rects = materialize(regions(materialize(anchors, "anchors")), "regions")
+    y = F.col("y0")
+    j = words.select("doc_id", "page", "word_no", "text", "y0").join(rects, ["doc_id", "page"])
+    hit = F.filter("rects", lambda r: (y >= r["top"]) & (y < r["bottom"]))
+    inside = j.select("doc_id", "word_no", "text", F.explode_outer(hit).alias("r")).filter("r is not null")
     text = F.array_join(
         F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), " "
     )
-    return inside.groupBy("doc_id", "seg", "number").agg(text.alias("text"))
+    return inside.groupBy("doc_id", F.col("r.seg").alias("seg"), F.col("r.number").alias("number")).agg(text.alias("text"))
 
 
 def sequence_gaps(anchors: DataFrame) -> DataFrame:
