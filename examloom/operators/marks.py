@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import core as fx
+from ..session import materialize
 from . import slices
 from .scoring import primary
 
@@ -148,6 +149,7 @@ def replay_long(log: DataFrame, slice_ms: int = fx.DAY_MS) -> DataFrame:
     setter = F.when(~toggle, F.struct((F.col("action") == "resolve").alias("resolved"), F.col("_t").alias("t")))
     e = slices.carry_start(e.withColumn("_set", setter), keys, "_slice", order, ~toggle, "_set", "_last")
     e = e.withColumn("_resolved", F.col("_last.resolved") != ((F.col("_t") - F.col("_last.t")) % 2 == 1))
+    e = materialize(e.drop("_t", "_set", "_last"), "long-mark-logs")
     e = slices.neighbours(e, keys, "_slice", order, lag={"_was": "_resolved"})
     counts = (is_mark | toggle) & F.coalesce("_was", F.lit(True))
     sets_reason = F.col("action").isin("mark", "edit")

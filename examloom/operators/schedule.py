@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core as fx
 from ..functions import sm2
+from ..session import materialize
 from . import slices
 from .scoring import primary
 
@@ -128,6 +129,7 @@ def rebuild_long(outcomes: DataFrame, keys: list[str], slice_ms: int = DAY) -> D
     rows = slices.running_sum(rows, keys, "_slice", order, {"_d": change})
     rows = slices.running_min(rows, keys, "_slice", order, {"_low": F.col("_d")})
     rows = rows.withColumn("_ease", (F.col("_d") + F.greatest(F.lit(start), floor - F.col("_low"))) / 100)
+    rows = materialize(rows.drop("_d", "_low"), "long-histories")
     at = F.struct(*order)
     ends = rows.groupBy(*keys).agg(
         F.count("*").alias("reviews"),

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _w(keys, order):
     return W.partitionBy(*keys).orderBy(*order)
@@ -121,8 +123,13 @@ def carry_start(df: DataFrame, keys: list[str], slice_col: str, order: list[str]
 def by_group_size(df: DataFrame, keys: list[str], limit: int, small, large) -> DataFrame:
     """Apply `small` to groups of up to `limit` rows and `large` to the others.
 
-    Sizes come from a map-side combined count. Where no group is that large, the second branch is
-    empty and is dropped at run time.
+    A map-side combined count finds the large groups first. Usually there are none and `small` runs
+    on the input as it is; otherwise the rows of the large groups are written out once, because
+    `large` reads them several times.
     """
-    big = df.groupBy(*keys).agg(F.count("*").alias("_size")).filter(F.col("_size") > limit).select(*keys)
-    return small(df.join(big, keys, "left_anti")).unionByName(large(df.join(big, keys, "left_semi")))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_size"))
+    big = materialize(counts.filter(F.col("_size") > limit).select(*keys), "large-groups")
+    if big.isEmpty():
+        return small(df)
+    rest = small(df.join(big, keys, "left_anti"))
+    return rest.unionByName(large(materialize(df.join(big, keys, "left_semi"), "large-group-rows")))
