@@ -78,3 +78,13 @@ def delete_sessions(sessions: DataFrame, tombstones: DataFrame, doomed: DataFram
     d = doomed.select(*keys).distinct()
     graves = tombstones.unionByName(d.withColumn("deleted_at", F.lit(now).cast("bigint")))
     return sessions.join(d, keys, "left_anti"), merge_tombstones(graves)
+
+
+def append_attempts(attempts: DataFrame, new: DataFrame) -> DataFrame:
+    """New attempts after the stored ones; `seq` keeps counting from what the caller assigned."""
+    return attempts.unionByName(new)
+
+
+def session(sessions: DataFrame, session_id) -> DataFrame:
+    """One session by id."""
+    return sessions.filter(F.col("session_id") == F.lit(session_id))

@@ -47,5 +47,10 @@ def carry_over(items: DataFrame, previous: DataFrame, key: str = "id") -> DataFr
     return out.withColumn("topics", F.coalesce("_t", F.array().cast("array<string>"))).drop("_t")
 
 
+def restrict_years(items: DataFrame, years: list[int]) -> DataFrame:
+    """Items of the requested exam years (a partition filter on tables laid out by year)."""
+    return items.filter(F.col("year").isin(years))
+
+
 def missing_years(requested: DataFrame, configured: DataFrame) -> DataFrame:
     return requested.select("year").distinct().join(configured.select("year"), "year", "left_anti")
