@@ -36,21 +36,22 @@ def suggest_reason(spark, d):
 @query("seed_marks", "v_graded v_raw_items v_marks", f"""
 WITH {REF_SQL}
 SELECT g.user_id, g.question_id, g.pos, suggested AS reason, coalesce(m.note, '') AS note, g.session_id,
-  coalesce(m.created_at, g.finished_at) AS created_at, g.finished_at AS updated_at, NULL::BIGINT AS resolved_at,
+  coalesce(m.created_at, g.finished_at) AS created_at, g.finished_at AS updated_at,
   coalesce(m.times_marked, 0) + CASE WHEN m.user_id IS NULL OR m.resolved_at IS NOT NULL THEN 1 ELSE 0 END AS times_marked
 FROM ref g LEFT JOIN v_marks m USING (user_id, question_id)
 WHERE g.finished_at IS NOT NULL AND flagged
   AND NOT (m.user_id IS NOT NULL AND (m.resolved_at IS NULL OR m.updated_at >= g.finished_at))""")
 def seed_marks(spark, d):
     g = graded(spark, d)
-    return R.seed_marks(g, A.marks(spark, d), S.pacing(g), sizes(spark, d))
+    # a fresh mark is open: resolved_at is always null here
+    return R.seed_marks(g, A.marks(spark, d), S.pacing(g), sizes(spark, d)).drop("resolved_at")
 
 
 @query("mark_apply", "v_attempts v_marks", """
 WITH i AS (SELECT user_id, question_id, arg_max(session_id, (timestamp, seq)) AS session_id, max(timestamp) AS now
   FROM v_attempts WHERE NOT correct GROUP BY ALL)
 SELECT i.user_id, i.question_id, 'erro' AS reason, coalesce(m.note, '') AS note, i.session_id,
-  coalesce(m.created_at, now) AS created_at, now AS updated_at, NULL::BIGINT AS resolved_at,
+  coalesce(m.created_at, now) AS created_at, now AS updated_at,
   coalesce(m.times_marked, 0) + CASE WHEN m.user_id IS NULL OR m.resolved_at IS NOT NULL THEN 1 ELSE 0 END AS times_marked
 FROM i LEFT JOIN v_marks m USING (user_id, question_id)""")
 def mark_apply(spark, d):
@@ -58,7 +59,7 @@ def mark_apply(spark, d):
     inputs = wrong.groupBy("user_id", "question_id").agg(
         F.max_by("session_id", F.struct("timestamp", "seq")).alias("session_id"), F.max("timestamp").alias("at")
     )
-    return R.apply_marks(A.marks(spark, d), inputs.withColumn("reason", F.lit("erro")))
+    return R.apply_marks(A.marks(spark, d), inputs.withColumn("reason", F.lit("erro"))).drop("resolved_at")
 
 
 LOG_SQL = """SELECT user_id, item AS question_id, ts_us // 1000 AS t, event_id AS seq, event_id AS session_id,

@@ -203,11 +203,13 @@ def exam_marked(spark, d):
 WITH m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, question_id) AS pos, question_id
   FROM v_marks SEMI JOIN v_questions USING (question_id) WHERE resolved_at IS NULL QUALIFY pos <= 20)
 SELECT user_id, md5(concat_ws(':', user_id, 'marked', '946684800000')) AS session_id, 'marked' AS mode,
-  'Marcadas (' || count(*) || 'q)' AS label, 946684800000::BIGINT AS created_at, NULL::BIGINT AS finished_at,
-  'study' AS correction_mode, NULL::INT AS time_limit_seconds, 0::BIGINT AS elapsed_seconds,
+  'Marcadas (' || count(*) || 'q)' AS label, 946684800000::BIGINT AS created_at,
+  'study' AS correction_mode, 0::BIGINT AS elapsed_seconds,
   string_agg(question_id::VARCHAR, ',' ORDER BY pos) AS question_ids FROM m GROUP BY user_id""")
 def exam_session_rows(spark, d):
     picked = K.marked_exam(A.marks(spark, d), A.questions(spark, d))
     label = F.concat(F.lit("Marcadas ("), F.col("n").cast("string"), F.lit("q)"))
     s = K.create_sessions(picked, "marked", label, A.NOW, correction="study")
+    # new sessions are unfinished and reviews untimed: both columns are always null here
+    s = s.drop("finished_at", "time_limit_seconds")
     return s.withColumn("question_ids", F.concat_ws(",", F.col("question_ids").cast("array<string>")))

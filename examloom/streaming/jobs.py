@@ -19,10 +19,14 @@ from ..session import shared_dir
 from ..sources import adapters as A
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
-    """The events as a stream with the instant as a zoned timestamp (watermarks need one)."""
+def event_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet", max_files: int = 64) -> DataFrame:
+    """The events as a stream with the instant as a zoned timestamp (watermarks need one).
+
+    `max_files` bounds a micro-batch, and with it what one key can bring into one task.
+    """
     schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files)
+    raw = reader.parquet(folder)
     return raw.select(
         "event_id",
         "user_id",
