@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,24 +32,18 @@ def get_spark(cores: int | str = 8, app: str = "examloom", shuffle_partitions: i
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    Only where the session names none (tests on one machine) is a temporary folder made.
+    Only a local session may lack one: it gets a temporary folder for all its work. On a cluster a folder of one
+    machine would lose rows, so a missing setting is an error there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        return tempfile.mkdtemp(prefix=f"spark-{name}-")
-    import uuid
-
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point Dataset.checkpoint() at the shared folder before first use."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
 def materialize(df, name: str):
     """Write an intermediate result that several branches read, and read it back.
 
