@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -96,3 +98,12 @@ def remainder(doc_id: str | Column, m: int) -> Column:
     """crc32(doc_id as text) mod m; null for a null id."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(c.cast("string").cast("binary")) % m
+
+
+def share(spark, value):
+    """Broadcast a value of bounded size together with the classes it needs."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shared(broadcast):
+    return pickle.loads(broadcast.value)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import decontam, mixing, sharding, urlfilter
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -52,3 +52,26 @@ FROM (SELECT *, octet_length(encode(text)) AS n, hex(encode(text)) AS h FROM doc
 @query
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(table(spark, sf_dir, "documents"), ["doc_id"], "source", "text")
+
+
+#: The contract's rules: host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.createDataFrame(urlfilter.labelled_rows(), "url string, blocked int")
+    return urlfilter.judge(table(spark, sf_dir, "pages"), ["page_id"], "url", URL_RULES, labelled)
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(
+        table(spark, sf_dir, "documents"), ["doc_id"], "text", table(spark, sf_dir, "benchmark"), window=10
+    )
