@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, mixing, sharding, urlfilter
+from . import ann, decontam, mixing, quality, sharding, urlfilter
+from .common import remainder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -80,3 +81,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 100 == 0)
+
+
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "quality", remainder("doc_id", 3) != 1)
+    return quality.score(docs, "text", model, keep=["doc_id"]).select(
+        "doc_id",
+        F.coalesce(remainder("doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
