@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, mixing, quality, sharding, urlfilter
+from . import ann, decontam, mixing, ngramjoin, quality, sharding, urlfilter
 from .common import remainder
 
 QUERIES: dict = {}
@@ -93,3 +93,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
+
+
+@query
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.report(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=90)
