@@ -181,8 +181,9 @@ def draws(h: np.ndarray, seed: int, turn: int) -> np.ndarray:
 def mixed(df: DataFrame, source: str, size: Column, order: list[str], **options) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns of `df`."""
     rows = keyed(df, "mix-input")
-    taken = mix(rows, source, size, order, **options).where("copies > 0").select(*KEY, "copies")
-    out = rows.join(taken, KEY).withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    taken = mix(rows, source, size, order, **options).where("copies > 0")
+    taken = taken.select(*KEY, F.col("copies").alias("_copies"))
+    out = rows.join(taken, KEY).withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return out.select(*df.columns)
 
 
