@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, mixing, ngramjoin, quality, sharding, urlfilter
+from . import ann, decontam, lm, mixing, ngramjoin, quality, sharding, urlfilter
 from .common import remainder
 
 QUERIES: dict = {}
@@ -98,3 +98,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.report(table(spark, sf_dir, "documents"), "doc_id", "text", k=3, percent=90)
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    got = lm.score(docs, ["doc_id"], "text", remainder("doc_id", 5) != 1)
+    return got.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)))
