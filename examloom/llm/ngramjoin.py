@@ -20,19 +20,23 @@ shingle; repeated rows and equal texts are one component; null ids are ignored f
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .common import KEY, chunks, keyed, share, shared
 from .graph import components
 
-SKETCH_BITS, SKETCH_ROWS = 18, 64
+SKETCH_BITS, SKETCH_ROWS = 20, 256
+#: Groups of up to so many sets are searched for partners that could link before any text is sent around.
+PRUNE_ROWS = 1024
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -228,15 +232,86 @@ def blocks(it, k: int):
         yield rows, sets
 
 
+def could_link(n: np.ndarray, pos: np.ndarray, before: np.ndarray, group: np.ndarray, percent: int) -> np.ndarray:
+    """Rows, sorted by group, with a partner in their group that could link.
+
+    A partner's size must be near enough, and the overlap in reach must be: this shingle, the shingles before it that
+    other sets have too, and all shingles behind it. Groups of over PRUNE_ROWS rows are kept whole.
+    """
+    size = np.bincount(group)[group] if len(group) else group
+    ok = size > PRUNE_ROWS
+    i, d = np.flatnonzero(~ok), 1
+    while True:
+        i = i[i + d < len(group)]
+        i = i[group[i + d] == group[i]]
+        if not len(i):
+            return ok
+        a, b = n[i], n[i + d]
+        most = 1 + np.minimum(before[i], before[i + d]) + np.minimum(a - pos[i], b - pos[i + d]) - 1
+        fits = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (most >= -(-percent * (a + b) // (100 + percent)))
+        ok[i[fits]] = True
+        ok[i[fits] + d] = True
+        d += 1
+
+
+def pruned(live: DataFrame, percent: int) -> DataFrame:
+    """The rows (token, sid, n, pos, m) that could link; no pair is written.
+
+    Sets with a very common token meet in groups of near sizes only.
+    """
+    order = W.partitionBy("sid").orderBy("pos")
+    rows = live.withColumn("before", F.row_number().over(order).cast("long") - 1)
+    band = F.floor(F.log("n") / F.lit(1.0001 * math.log(100 / percent)))
+    bands = F.when(F.col("m") > PRUNE_ROWS, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
+    rows = rows.withColumn("band", F.explode(bands))
+
+    def run(it):
+        rest, large = None, None
+        for batch in it:
+            now = pa.Table.from_batches([batch])
+            if large and now.num_rows:  # goes on with a group that is kept whole
+                first = starts(now)
+                end = int(first[1]) if len(first) > 1 else now.num_rows
+                if (now["token"][0].as_py(), now["band"][0].as_py()) == large:
+                    yield from now.slice(0, end).to_batches()
+                    now = now.slice(end)
+            rest = now if rest is None else pa.concat_tables([rest, now])
+            if not rest.num_rows:
+                continue
+            start, large = int(starts(rest)[-1]), None
+            if rest.num_rows - start > PRUNE_ROWS:
+                large = rest["token"][start].as_py(), rest["band"][start].as_py()
+                start = rest.num_rows
+            yield from keep(rest.slice(0, start))
+            rest = rest.slice(start)
+        if rest is not None:
+            yield from keep(rest)
+
+    def starts(rows):
+        token, band = rows["token"].to_numpy(), rows["band"].to_numpy()
+        return np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])]))
+
+    def keep(rows):
+        if rows.num_rows:
+            first = np.zeros(rows.num_rows, np.int64)
+            first[starts(rows)] = 1
+            n, pos, before = (rows[c].to_numpy() for c in ("n", "pos", "before"))
+            yield from rows.filter(pa.array(could_link(n, pos, before, np.cumsum(first) - 1, percent))).to_batches()
+
+    rows = rows.repartition("token", "band").sortWithinPartitions("token", "band").mapInArrow(run, rows.schema)
+    plain, twice = rows.where("band = -1"), rows.where("band >= 0").dropDuplicates(["token", "sid"])
+    return materialize(plain.unionByName(twice).select(live.columns), "live")
+
+
 def sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """Counts of all shingles of the corpus in 2 ** 18 counters, summed in the tasks and then by slice."""
+    """Counts of all shingles of the corpus in 2 ** 20 counters, summed in the tasks and then by slice."""
     width = (1 << SKETCH_BITS) // SKETCH_ROWS
 
     def count(it):
         hashes, total = Hashes(), np.zeros(1 << SKETCH_BITS, np.int64)
         for _, texts in chunks(it, "_text", 2 << 20):
-            for s in shingle_sets(texts, k, hashes):
-                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            every = np.concatenate(shingle_sets(texts, k, hashes))
+            np.add.at(total, (every >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         rows = total.reshape(SKETCH_ROWS, width)
         cols = [pa.array(range(SKETCH_ROWS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())]
         yield pa.RecordBatch.from_arrays(cols, ["slice", "counts"])
@@ -294,7 +369,9 @@ def link(docs: DataFrame, text: str, keep: list[str], k: int, percent: int, bloc
 
     heads = nodes.select("sid", "n", F.posexplode("_head").alias("pos", "token"))
     common = heads.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-    live = materialize(heads.join(common, "token"), "live")
+    live = heads.join(common, "token").select("token", "sid", "n", "pos", "m")
+    for _ in range(2):  # what the first turn drops no longer counts as shared in the second
+        live = pruned(live, percent)
 
     # home blocks
     home = live.groupBy("sid").agg(F.max(F.struct("m", "token")).alias("h")).select("sid", "h.token", "h.m")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, lm, mixing, ngramjoin, quality, sharding, urlfilter
+from . import ann, decontam, licenses, lm, mixing, ngramjoin, quality, sharding, urlfilter
 from .common import remainder
+from .templates import TEMPLATES
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -105,3 +106,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     got = lm.score(docs, ["doc_id"], "text", remainder("doc_id", 5) != 1)
     return got.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"), ["doc_id"], "text", TEMPLATES)
