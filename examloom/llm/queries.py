@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, licenses, lm, mixing, ngramjoin, quality, sharding, urlfilter
+from . import ann, decontam, licenses, linededup, lm, mixing, ngramjoin, quality, sharding, urlfilter
 from .common import remainder
 from .templates import TEMPLATES
 
@@ -111,3 +111,8 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"), ["doc_id"], "text", TEMPLATES)
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"), "doc_id", "text")
