@@ -1,7 +1,8 @@
 """The SM-2 step and its ordered fold as native expressions.
 
 The state struct is (repetitions, interval_days, ease_factor, last_reviewed_at). Intervals are
-DOUBLE: a long streak multiplies them past any integer type.
+DOUBLE: a long streak multiplies them past any integer type. The ease moves in whole hundredths, so
+every path (fold, running sums, stream) gets the same number.
 """
 
 from __future__ import annotations
@@ -33,9 +34,9 @@ def state(repetitions, interval, ease, last) -> Column:
 
 def step(prev: Column, quality: Column, now: Column) -> Column:
     """One review: quality 0..5 applied to the previous state."""
-    q = F.least(F.lit(5), F.greatest(F.lit(0), quality)).cast("double")
-    gap = F.lit(5.0) - q
-    ease = F.greatest(F.lit(MIN_EASE), prev["ease_factor"] + (F.lit(0.1) - gap * (F.lit(0.08) + gap * F.lit(0.02))))
+    q = F.least(F.lit(5), F.greatest(F.lit(0), quality)).cast("bigint")
+    hundredths = F.round(prev["ease_factor"] * 100).cast("bigint") + ease_change(q)
+    ease = F.greatest(F.lit(round(MIN_EASE * 100)), hundredths) / 100
     lapse = q < 3
     reps = F.when(lapse, F.lit(0).cast("bigint")).otherwise(prev["repetitions"] + 1)
     interval = (
@@ -47,6 +48,12 @@ def step(prev: Column, quality: Column, now: Column) -> Column:
     return state(reps, interval, ease, now.cast("bigint"))
 
 
+def ease_change(q: Column) -> Column:
+    """What a quality adds to the ease, in whole hundredths: sums are exact in any order."""
+    gap = F.lit(5) - q
+    return (F.lit(10) - gap * (F.lit(8) + gap * F.lit(2))).cast("bigint")
+
+
 def grow(interval: Column, ease: Column) -> Column:
     """The next interval of a run, rounded half up."""
     x = interval * ease

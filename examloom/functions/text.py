@@ -150,16 +150,37 @@ def hits(norm: Column, pattern: str) -> Column:
 
 
 def mandatory_literal(pattern: str) -> str:
-    """Longest run of plain characters every match must contain ("" when unsure)."""
-    if "|" in pattern:
-        return ""
-    flat = re.sub(r"\[[^\]]*\][?*+]?(\{[^}]*\})?", "\0", pattern)
-    flat = re.sub(r"\((?:\?:)?[^()]*\)[?*]?", "\0", flat)
-    flat = re.sub(r"\\[a-zA-Z][?*+]?(\{[^}]*\})?", "\0", flat)
-    flat = re.sub(r"\\(.)", "\0", flat)
-    flat = re.sub(r".[?*]|.\{[^}]*\}", "\0", flat)
-    flat = re.sub(r"[.+^$]", "\0", flat)
-    return max(re.findall(r"[a-z0-9 ]+", flat), key=len, default="")
+    """Longest run of plain characters every match must contain ("" when unsure).
+
+    Only characters outside all groups and classes count, and only those without a quantifier that allows none.
+    """
+    runs, run, depth, k = [], "", 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            runs, run, k = [*runs, run], "", k + 2
+            continue
+        if c == "[":  # to the end of the class; a bracket may be its first member
+            end = pattern.find("]", k + 2 + (pattern[k + 1 : k + 2] == "^"))
+            if end < 0:
+                return ""
+            runs, run, k = [*runs, run], "", end + 1
+            continue
+        depth += (c == "(") - (c == ")")
+        if c == "|" and depth == 0:
+            return ""
+        if c in "?*{" and depth == 0:
+            run = run[:-1]
+        if depth == 0 and re.match(r"[a-z0-9 ]", c):
+            run += c
+        else:
+            runs, run = [*runs, run], ""
+            if c == "{":
+                k = pattern.find("}", k)
+                if k < 0:
+                    return ""
+        k += 1
+    return max([*runs, run], key=len)
 
 
 def topic_scores(norm, rules: list[tuple[str, str, int]]) -> Column:

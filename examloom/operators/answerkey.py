@@ -85,9 +85,11 @@ def parse_best(keys: DataFrame, expected: DataFrame) -> DataFrame:
         .groupBy("doc_id", "method", "_i")
         .agg(F.count("_hit").alias("overlap"))
     )
+    # layouts without any entry take part with overlap 0; only the first of them can win
+    first = F.lit(METHODS[0]).alias("method")
+    score = score.unionByName(score.select("doc_id", first, F.lit(0).alias("_i"), F.lit(0).cast("bigint").alias("overlap")).distinct())
     best = score.groupBy("doc_id").agg(F.max_by(F.struct("method", "overlap"), F.struct("overlap", "_i")).alias("_b"))
-    # a layout without any entry still wins a tie at zero overlap, leaving no entries
-    best = best.filter(F.col("_b.overlap") > 0).select("doc_id", "_b.method", "_b.overlap")
+    best = best.select("doc_id", "_b.method", "_b.overlap")
     return parsed.drop("_i").join(best, ["doc_id", "method"])
 
 

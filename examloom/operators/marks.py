@@ -152,7 +152,8 @@ def replay_long(log: DataFrame, slice_ms: int = fx.DAY_MS) -> DataFrame:
     e = materialize(e.drop("_t", "_set", "_last"), "long-mark-logs")
     e = slices.neighbours(e, keys, "_slice", order, lag={"_was": "_resolved"})
     counts = (is_mark | toggle) & F.coalesce("_was", F.lit(True))
-    sets_reason = F.col("action").isin("mark", "edit")
+    # an edit without a reason keeps the one before
+    sets_reason = is_mark | ((F.col("action") == "edit") & F.col("reason").isNotNull())
     out = e.groupBy(*keys).agg(
         F.max_by("reason", F.when(sets_reason, when)).alias("reason"),
         F.max_by("session_id", F.when(is_mark, when)).alias("session_id"),

@@ -39,8 +39,35 @@ def _expand(df: DataFrame, keep: list[str], s: str = "_s") -> DataFrame:
     )
 
 
+def item_outcomes(graded: DataFrame) -> DataFrame:
+    """Outcomes (t, seq, q) of the answered items of finished sessions."""
+    answered = graded.filter("finished_at is not null and response is not null")
+    return answered.select(
+        "user_id", "question_id", F.col("finished_at").alias("t"), F.struct("session_id", "pos").alias("seq"),
+        sm2.quality_from_outcome("correct", "flagged").alias("q"),
+    )
+
+
+def apply_outcomes(old: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
+    """The schedule after a batch: each key's new outcomes (t, seq, q) folded in order from its stored state.
+
+    Several sessions of one batch step from the state that the one before left. One row per key; keys
+    without new outcomes keep their row.
+    """
+    new = outcomes.groupBy(*keys).agg(F.collect_list(F.struct("t", "seq", "q")).alias("_new"))
+    both = old.select(*keys, *STATE).join(new, keys, "full_outer")
+    stepped = both.withColumn("_s", sm2.fold(F.coalesce("_new", F.array().cast(new.schema["_new"].dataType)), _prior()))
+    due = F.when(F.col("_new").isNull(), F.col("due_at")).otherwise(sm2.due_at(F.col("_s.interval_days"), F.col("_s.last_reviewed_at")))
+    return stepped.select(
+        *keys, "_s.repetitions", "_s.interval_days", "_s.ease_factor", due.alias("due_at"), "_s.last_reviewed_at"
+    )
+
+
 def srs_updates(graded: DataFrame, srs: DataFrame) -> DataFrame:
-    """Next item schedule for every answered item of every finished session, from the prior state."""
+    """Next item schedule for every answered item of a finished session, from the stored state.
+
+    For sessions that are applied one at a time; :func:`apply_outcomes` applies several at once.
+    """
     answered = graded.filter("finished_at is not null and response is not null").select(
         "user_id", "session_id", "pos", "question_id", "correct", "flagged", "finished_at"
     )
@@ -90,7 +117,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) ->
 
 MAX_GROUP = 100_000
 DAY = fx.DAY_MS
-# an unbroken run multiplies its interval by 1.3 or more each time: past this many it is infinite
+# An unbroken run multiplies its interval by 1.3 or more each time: after 2,710 steps it is past the
+# largest double, so the first rows of a run decide its interval whatever follows.
 MAX_RUN = 3_000
 
 
@@ -121,9 +149,8 @@ def rebuild_long(outcomes: DataFrame, keys: list[str], slice_ms: int = DAY) -> D
     matter; those are the only rows gathered.
     """
     q = F.least(F.lit(5), F.greatest(F.lit(0), F.col("q")))
-    gap = F.lit(5) - q
-    change = (F.lit(10) - gap * (F.lit(8) + gap * F.lit(2))).cast("bigint")
-    floor, start = int(sm2.MIN_EASE * 100), int(sm2.START_EASE * 100)
+    change = sm2.ease_change(q)
+    floor, start = round(sm2.MIN_EASE * 100), round(sm2.START_EASE * 100)
     order = ["t", "seq"]
     rows = outcomes.select(*keys, *order, q.alias("q")).withColumn("_slice", F.floor(F.col("t") / slice_ms))
     rows = slices.running_sum(rows, keys, "_slice", order, {"_d": change})
@@ -153,13 +180,17 @@ def rebuild_long(outcomes: DataFrame, keys: list[str], slice_ms: int = DAY) -> D
     return _expand(ends.join(grown, keys, "left").withColumn("_s", state), [*keys, "reviews"])
 
 
-def due(srs: DataFrame, now: int, keys=("user_id",), limit: int = DAILY_LIMIT, item="question_id") -> DataFrame:
+def due(
+    srs: DataFrame, now: int, keys=("user_id",), limit: int = DAILY_LIMIT, item="question_id", bank: DataFrame | None = None
+) -> DataFrame:
     """Due rows, most overdue first, capped per user; `due_total` is the uncapped count.
 
-    The cap is a per-user rank, which Spark turns into a group limit before the shuffle.
+    With a bank, items that it lacks are neither served nor counted, and ties follow its order. The cap is a per-user rank, which Spark turns into a group limit before the shuffle.
     """
     d = srs.filter(F.col("due_at") <= now)
-    w = W.partitionBy(*keys).orderBy("due_at", item)
+    if bank is not None:
+        d = d.join(bank.select(item, "bank_pos"), item)
+    w = W.partitionBy(*keys).orderBy("due_at", *([] if bank is None else ["bank_pos"]), item)
     top = d.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)
     totals = d.groupBy(*keys).agg(F.count("*").alias("due_total"))
     return top.select(*keys, item, "due_at", "rank").join(totals, list(keys))

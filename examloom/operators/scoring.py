@@ -36,17 +36,19 @@ def grade(items: DataFrame, questions: DataFrame, how: str = "inner") -> DataFra
     )
 
 
-def score_sessions(graded: DataFrame, by=("user_id", "session_id")) -> DataFrame:
-    """Totals per session.
+def score_sessions(graded: DataFrame, by=("user_id", "session_id"), sessions: DataFrame | None = None) -> DataFrame:
+    """Totals per session; with `sessions`, those without any item have zeros.
 
     `incorrect = answered - correct` and `blank = total - answered` are kept as defined even
     where annulled blanks make `incorrect` negative; `total` counts ids missing from the bank.
     """
     known = F.coalesce(F.col("known"), F.lit(False))
+    if sessions is not None:
+        graded = sessions.select(*by).join(graded, list(by), "left")
     return (
         graded.groupBy(*by)
         .agg(
-            F.count("*").alias("total"),
+            F.count("question_id").alias("total"),
             F.count_if(known & F.col("response").isNotNull()).alias("answered"),
             F.count_if(known & F.col("correct")).alias("correct"),
         )
@@ -132,7 +134,8 @@ def session_counters(sessions: DataFrame, items: DataFrame) -> DataFrame:
         F.count("response").alias("answered"),
         F.count_if("flagged").alias("flagged"),
     )
-    return counts.join(sessions.select("user_id", "session_id", "time_limit_seconds", "elapsed_seconds"), "session_id").select(
+    all_sessions = sessions.select("user_id", "session_id", "time_limit_seconds", "elapsed_seconds")
+    return all_sessions.join(counts, "session_id", "left").na.fill(0, ["total", "answered", "flagged"]).select(
         "user_id",
         "session_id",
         "answered",
@@ -144,7 +147,8 @@ def session_counters(sessions: DataFrame, items: DataFrame) -> DataFrame:
 
 def pace_deltas(sessions: DataFrame, items: DataFrame) -> DataFrame:
     counts = items.groupBy("session_id").agg(F.count("*").alias("total"), F.count("response").alias("answered"))
-    j = sessions.join(counts, "session_id").withColumn("target", fx.target_seconds("time_limit_seconds", "total"))
+    # sessions without items have no pace: null target, delta and label
+    j = sessions.join(counts, "session_id", "left").withColumn("target", fx.target_seconds("time_limit_seconds", "total"))
     j = j.withColumn("delta", fx.pace_delta("elapsed_seconds", "answered", "target"))
     return j.select("user_id", "session_id", "target", "delta", fx.pace_label("delta").alias("label"))
 

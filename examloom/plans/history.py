@@ -176,10 +176,13 @@ SCORE_SQL = """SELECT user_id, session_id, count(*) AS total, count(response) AS
   count(*) FILTER (correct) AS correct FROM v_graded GROUP BY ALL"""
 
 
-@query("score_session", "v_graded", f"""
-SELECT *, answered - correct AS incorrect, total - answered AS blank FROM ({SCORE_SQL})""")
+@query("score_session", "v_graded v_sessions", f"""
+SELECT *, answered - correct AS incorrect, total - answered AS blank FROM (SELECT s.user_id, session_id,
+  coalesce(total, 0) AS total, coalesce(answered, 0) AS answered, coalesce(correct, 0) AS correct
+  FROM v_sessions s LEFT JOIN ({SCORE_SQL}) USING (session_id))""")
 def score_session(spark, d):
-    return S.score_sessions(S.grade(A.items(spark, d), A.questions(spark, d), "left"))
+    graded_items = S.grade(A.items(spark, d), A.questions(spark, d), "left")
+    return S.score_sessions(graded_items, sessions=A.sessions(spark, d))
 
 
 @query("score_by_area", "v_graded", """
@@ -285,17 +288,17 @@ def absences(spark, d):
 
 
 @query("session_counters", "v_items v_sessions", """
-SELECT s.user_id, session_id, count(response) AS answered, count(*) - count(response) AS blank,
+SELECT s.user_id, session_id, count(response) AS answered, count(pos) - count(response) AS blank,
   count(*) FILTER (flagged) AS flagged, any_value(s.time_limit_seconds) - any_value(elapsed_seconds) AS remaining
-FROM v_items i JOIN v_sessions s USING (session_id) GROUP BY ALL""")
+FROM v_sessions s LEFT JOIN v_raw_items i USING (session_id) GROUP BY ALL""")
 def session_counters(spark, d):
     return S.session_counters(A.sessions(spark, d), A.raw_items(spark, d))
 
 
 @query("pace_delta", "v_items v_sessions", """
-WITH t AS (SELECT s.user_id, session_id, any_value(s.time_limit_seconds) / count(*) AS target,
+WITH t AS (SELECT s.user_id, session_id, any_value(s.time_limit_seconds) / nullif(count(pos), 0) AS target,
     any_value(elapsed_seconds) AS el, count(response) AS ans
-  FROM v_items i JOIN v_sessions s USING (session_id) GROUP BY ALL),
+  FROM v_sessions s LEFT JOIN v_raw_items i USING (session_id) GROUP BY ALL),
   x AS (SELECT *, el - ans * target AS delta, floor(abs(el - ans * target) / 60 + 0.5::DOUBLE)::BIGINT AS m FROM t)
 SELECT user_id, session_id, target, delta, CASE WHEN abs(delta) < 120 THEN 'no ritmo'
   WHEN delta > 0 THEN CASE WHEN m < 1 THEN 'menos de 1 min' ELSE m || ' min' END || ' atrasado'

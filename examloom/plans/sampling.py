@@ -147,7 +147,7 @@ SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY due_at, questio
   || CASE WHEN count(*) OVER (PARTITION BY user_id) > 20 THEN ' de ' || count(*) OVER (PARTITION BY user_id) ELSE '' END
   || 'q)' AS label FROM v_srs WHERE due_at <= {NOW} QUALIFY pos <= 20""")
 def exam_srs(spark, d):
-    due = N.due(A.srs(spark, d), A.NOW)
+    due = N.due(A.srs(spark, d), A.NOW, bank=A.questions(spark, d))
     shown = F.least(F.lit(20).cast("bigint"), "due_total")
     return due.select(
         "user_id", F.col("rank").alias("pos"), "question_id",

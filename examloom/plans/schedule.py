@@ -14,8 +14,9 @@ from .views import NOW
 
 def step_sql(q: str, reps: str, interval: str, ease: str, t: str) -> str:
     """Select-list text of one SM-2 step."""
-    e = f"""greatest(1.3::DOUBLE, {ease} + (0.1::DOUBLE - (5.0::DOUBLE - least(5, greatest(0, {q})))
-      * (0.08::DOUBLE + (5.0::DOUBLE - least(5, greatest(0, {q}))) * 0.02::DOUBLE)))"""
+    # the ease moves in whole hundredths
+    gap = f"(5 - least(5, greatest(0, {q})))"
+    e = f"(greatest(130, round({ease} * 100)::BIGINT + 10 - {gap} * (8 + {gap} * 2)) / 100.0::DOUBLE)"
     return f"""CASE WHEN {q} < 3 THEN 0 ELSE {reps} + 1 END::BIGINT AS repetitions,
       CASE WHEN {q} < 3 OR {reps} = 0 THEN 1.0::DOUBLE WHEN {reps} = 1 THEN 6.0::DOUBLE
         ELSE floor({interval} * {e} + 0.5::DOUBLE) END AS interval_days,
@@ -110,18 +111,38 @@ def srs_updates(spark, d):
     return N.srs_updates(graded(spark, d), A.srs(spark, d))
 
 
-@query("srs_upsert", "v_graded v_srs", f"""
-SELECT user_id, question_id, repetitions, interval_days, ease_factor, due_at, last_reviewed_at FROM (
-  SELECT 0 AS src, 0 AS session_id, 0 AS pos, user_id, question_id, repetitions, interval_days::DOUBLE AS interval_days,
-    ease_factor, due_at, last_reviewed_at FROM v_srs
-  UNION ALL SELECT 1, session_id, pos, user_id, question_id, repetitions, interval_days, ease_factor, due_at,
-    last_reviewed_at FROM ({UPDATES_SQL}))
-QUALIFY row_number() OVER (PARTITION BY user_id, question_id ORDER BY src DESC,
-  CASE WHEN src = 1 THEN last_reviewed_at END DESC, session_id DESC, pos DESC) = 1""")
+def applied_sql(stored: str, src: str, keys: str) -> str:
+    """CTEs `ev`, `f`, `applied`: `src` (keys, t, seq, q) stepped one by one from the stored rows, one row per key."""
+    ks = keys.split(", ")
+    on = " AND ".join(f"ev.{k} = f.{k}" for k in ks)
+    evk = ", ".join(f"ev.{k}" for k in ks)
+    return f"""ev AS (SELECT {keys}, t, q, row_number() OVER (PARTITION BY {keys} ORDER BY t, seq) AS rn FROM ({src})),
+  f AS (SELECT {evk}, rn, {step_sql("ev.q", "coalesce(s.repetitions, 0)", "coalesce(s.interval_days, 1)::DOUBLE",
+                                    "coalesce(s.ease_factor, 2.5::DOUBLE)", "ev.t")}
+    FROM ev LEFT JOIN {stored} s USING ({keys}) WHERE rn = 1
+    UNION ALL SELECT {evk}, ev.rn, {step_sql("ev.q", "f.repetitions", "f.interval_days", "f.ease_factor", "ev.t")}
+    FROM f JOIN ev ON {on} AND ev.rn = f.rn + 1),
+  applied AS (SELECT {keys}, repetitions, interval_days, ease_factor, {DUE_SQL}, last_reviewed_at FROM f
+    QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY rn DESC) = 1
+    UNION ALL SELECT {keys}, repetitions, interval_days::DOUBLE, ease_factor, due_at, last_reviewed_at
+    FROM {stored} ANTI JOIN ev USING ({keys}))"""
+
+
+@query("srs_upsert", "v_graded v_srs", f"""WITH {applied_sql("v_srs", """SELECT user_id, question_id, finished_at AS t,
+  (session_id, pos) AS seq, CASE WHEN NOT correct THEN 1 WHEN flagged THEN 3 ELSE 4 END AS q FROM v_graded
+  WHERE finished_at IS NOT NULL AND response IS NOT NULL""", "user_id, question_id")} SELECT * FROM applied""")
 def srs_upsert(spark, d):
-    old = A.srs(spark, d).withColumn("interval_days", F.col("interval_days").cast("double"))
-    new = N.srs_updates(graded(spark, d), A.srs(spark, d))
-    return N.upsert(old, new, ["user_id", "question_id"], ["last_reviewed_at", "session_id", "pos"])
+    return N.apply_outcomes(A.srs(spark, d), N.item_outcomes(graded(spark, d)), ["user_id", "question_id"])
+
+
+@query("topic_srs_upsert", "v_graded v_topic_srs", f"""WITH {applied_sql("v_topic_srs", f"""SELECT user_id, slug,
+  finished_at AS t, session_id AS seq, {TALLY_Q} AS q FROM ({TALLY_SQL})""", "user_id, slug")} SELECT * FROM applied""")
+def topic_srs_upsert(spark, d):
+    outcomes = N.topic_tally(graded(spark, d)).select(
+        "user_id", "slug", F.col("finished_at").alias("t"), F.col("session_id").alias("seq"),
+        sm2.quality_from_accuracy("correct", "total").alias("q"),
+    )
+    return N.apply_outcomes(A.topic_srs(spark, d), outcomes, ["user_id", "slug"])
 
 
 @query("topic_srs_updates", "v_graded v_topic_srs", f"""
@@ -141,7 +162,7 @@ def _due_sql(view, item):
 
 @query("due_questions", "v_srs", _due_sql("v_srs", "question_id"))
 def due_questions(spark, d):
-    return N.due(A.srs(spark, d), A.NOW)
+    return N.due(A.srs(spark, d), A.NOW, bank=A.questions(spark, d))
 
 
 @query("due_topics", "v_topic_srs", _due_sql("v_topic_srs", "slug"))
@@ -156,7 +177,8 @@ FROM v_srs WHERE due_at <= {NOW} GROUP BY user_id""")
 def due_truncation(spark, d):
     from ..operators.sampling import truncation_label
 
-    counts = A.srs(spark, d).filter(F.col("due_at") <= A.NOW).groupBy("user_id").agg(F.count("*").alias("due_total"))
+    known = A.srs(spark, d).join(A.questions(spark, d).select("question_id"), "question_id", "left_semi")
+    counts = known.filter(F.col("due_at") <= A.NOW).groupBy("user_id").agg(F.count("*").alias("due_total"))
     shown = F.least("due_total", F.lit(20).cast("bigint"))
     return counts.select(
         "user_id", shown.alias("shown"), "due_total", truncation_label("Revisao de questoes", shown, "due_total").alias("label")

@@ -205,8 +205,10 @@ VIEWS["v_key"] = ("v_key_lines v_key_pairs v_key_inline v_expected", """SELECT d
   JOIN (SELECT doc_id, i, overlap FROM (
       SELECT doc_id, i, count(e.number) AS overlap FROM (SELECT doc_id, number, 0 AS i FROM v_key_lines
         UNION ALL SELECT doc_id, number, 1 FROM v_key_pairs UNION ALL SELECT doc_id, number, 2 FROM v_key_inline) k
-      LEFT JOIN v_expected e USING (doc_id, number) GROUP BY doc_id, i)
-    WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, i) = 1) USING (doc_id, i)""")
+      LEFT JOIN v_expected e USING (doc_id, number) GROUP BY doc_id, i
+      UNION ALL SELECT DISTINCT doc_id, 0, 0 FROM (SELECT doc_id FROM v_key_lines UNION ALL SELECT doc_id FROM v_key_pairs
+        UNION ALL SELECT doc_id FROM v_key_inline))
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY overlap DESC, i) = 1) USING (doc_id, i)""")
 
 
 def keys(spark, d):

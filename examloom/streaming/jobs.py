@@ -83,12 +83,12 @@ def _review(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     rows = pd.concat(list(batches)).sort_values(["t", "seq"])  # one key's rows of one micro-batch
     for t, q in zip(rows["t"], rows["q"]):
         q = min(5, max(0, int(q)))
-        ease = max(sm2.MIN_EASE, ease + (0.1 - (5.0 - q) * (0.08 + (5.0 - q) * 0.02)))
+        ease = max(round(sm2.MIN_EASE * 100), round(ease * 100) + 10 - (5 - q) * (8 + (5 - q) * 2)) / 100
         if q < 3:
             reps, interval = 0, 1.0
         else:
             reps += 1
-            interval = 1.0 if reps == 1 else 6.0 if reps == 2 else float(int(interval * ease + 0.5)) if interval < 1e15 else interval * ease
+            interval = 1.0 if reps == 1 else 6.0 if reps == 2 else float(int(interval * ease + 0.5)) if interval * ease < 4.5e15 else interval * ease
         last = int(t)
     n += len(rows)
     state.update((reps, interval, ease, last, n))
