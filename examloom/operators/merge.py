@@ -1,8 +1,8 @@
 """Last-write-wins merge of any number of device copies, table by table.
 
 Every input row carries `device_rank`; the higher rank is the "incoming" side and wins ties. Each
-merge is one hash aggregate (`max_by` over the stamp), so a key with very many copies is reduced
-on the map side, and merging a result with itself changes nothing.
+merge is one aggregate (`max_by` over the stamp; Spark sorts for it), so a key with very many copies
+is reduced on the map side, and merging a result with itself changes nothing.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from ..functions import core as fx
 SNAPSHOT_VERSION = 5
 
 
-def lww(rows: DataFrame, keys: list[str], stamp: Column | None = None) -> DataFrame:
-    """Latest row per key; without a stamp the highest device rank wins."""
+def lww(rows: DataFrame, keys: list[str], stamp: Column | None = None, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Latest row per key; without a stamp the highest device rank wins. Columns `tie` settle what is still equal."""
     rest = [c for c in rows.columns if c not in keys and c != "device_rank"]
-    order = F.col("device_rank") if stamp is None else F.struct(stamp, F.col("device_rank"))
+    order = F.struct(*([] if stamp is None else [stamp]), "device_rank", *tie)
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v"))
     return best.select(*keys, "_v.*")
 

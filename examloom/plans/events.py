@@ -93,6 +93,6 @@ def stream_sm2(spark, d):
 SELECT user_id, item, type, value, ts_us FROM v_events
 QUALIFY row_number() OVER (PARTITION BY user_id, item ORDER BY ts_us DESC, event_id DESC) = 1""")
 def stream_merge(spark, d):
-    s = jobs.event_stream(spark, d).select("user_id", "item", "type", "value", "ts_us")
-    out = jobs.merge_log(s, ["user_id", "item"], "ts_us")
-    return jobs.latest_versions(spark, out, ["user_id", "item"], "ts_us")
+    s = jobs.event_stream(spark, d).select("user_id", "item", "type", "value", "ts_us", "event_id")
+    out = jobs.merge_log(s, ["user_id", "item"], "ts_us", tie=("event_id",))
+    return jobs.latest_versions(spark, out, ["user_id", "item"], "ts_us", ("event_id",)).drop("event_id")

@@ -113,20 +113,23 @@ def running_sm2(stream: DataFrame) -> DataFrame:
     )
 
 
-def latest_versions(spark: SparkSession, folder: str, keys: list[str], stamp: str) -> DataFrame:
-    """Merge-on-read over all batches: the row with the greatest stamp per key, later batch on ties."""
+def latest_versions(spark: SparkSession, folder: str, keys: list[str], stamp: str, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Merge-on-read over all batches: the row with the greatest stamp per key, the greatest `tie` on equal ones.
+
+    Without `tie` the later batch wins.
+    """
     rows = spark.read.parquet(folder).withColumnRenamed("batch", "device_rank")
-    return M.lww(rows, keys, F.col(stamp))
+    return M.lww(rows, keys, F.struct(stamp, *tie))
 
 
-def merge_log(stream: DataFrame, keys: list[str], stamp: str, name: str = "merge") -> str:
+def merge_log(stream: DataFrame, keys: list[str], stamp: str, name: str = "merge", tie: tuple[str, ...] = ()) -> str:
     """Continuous last-write-wins merge: every batch appends its own winners, readers merge.
 
     The cost of a batch is the size of the batch, an older stamp can never beat a newer one, and
     replaying a batch changes nothing.
     """
     return run_to_folder(
-        stream, name, "append", lambda b: M.lww(b.withColumn("device_rank", F.lit(0)), keys, F.col(stamp))
+        stream, name, "append", lambda b: M.lww(b.withColumn("device_rank", F.lit(0)), keys, F.struct(stamp, *tie))
     )
 
 
