@@ -427,9 +427,9 @@ def item_ids(spark, d):
 SELECT question_id, slug, coalesce(t.label, slug) AS topic_label,
   CASE q.area WHEN 'matematica' THEN 'Matematica' WHEN 'fundamentos' THEN 'Fundamentos'
     WHEN 'tecnologia' THEN 'Tecnologia' ELSE '-' END AS area_label
-FROM v_qtopics q LEFT JOIN (SELECT * FROM v_topics WHERE slug <> 'PROMO') t USING (slug)""")
+FROM v_qtopics q LEFT JOIN v_topics t USING (slug)""")
 def labels_join(spark, d):
-    labels = A.topics(spark, d).filter("slug <> 'PROMO'").select("slug", "label")
+    labels = A.topics(spark, d).select("slug", "label")
     rows = T.topic_rows(A.questions(spark, d))
     return rows.join(labels, "slug", "left").select(
         "question_id", "slug", F.coalesce("label", "slug").alias("topic_label"),

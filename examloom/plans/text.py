@@ -116,9 +116,9 @@ def classified_dump(spark, d):
 
 @query("tag_bank", "v_classified", """
 SELECT doc_id, quality, coalesce(topics, '') AS topics FROM labels LEFT JOIN (
-  SELECT * FROM v_classified SEMI JOIN (SELECT doc_id FROM documents WHERE lang <> 'de') USING (doc_id)) USING (doc_id)""")
+  SELECT * FROM v_classified) USING (doc_id)""")
 def tag_bank(spark, d):
-    c = C.classify(docs(spark, d).filter("lang <> 'de'"), RULES)
+    c = C.classify(docs(spark, d), RULES)
     bank = A.table(spark, d, "labels").select("doc_id", "quality")
     return C.tag_bank(bank, c, "doc_id").withColumn("topics", F.concat_ws("+", "topics"))
 
