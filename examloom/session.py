@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -44,12 +45,44 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders made inside each open `scratch`, innermost last.
+_scopes: list[list[str]] = []
+
+
 def materialize(df, name: str):
     """Write an intermediate result that several branches read, and read it back.
 
     Cuts the lineage through the shared folder, so a lost executor costs one task, not a recomputation
-    of every branch, and gives the planner real sizes.
+    of every branch, and gives the planner real sizes. Inside `scratch` the folder goes with the others.
     """
     path = shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Remove at the end all folders that `materialize` makes inside.
+
+    Yields a function like `materialize` for the result: its folder stays (for an outer `scratch`, if any).
+    """
+    made: list[str] = []
+    _scopes.append(made)
+
+    def keep(df, name: str):
+        out = materialize(df, name)
+        path = made.pop()
+        if len(_scopes) > 1:
+            _scopes[_scopes.index(made) - 1].append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
