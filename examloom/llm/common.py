@@ -107,3 +107,8 @@ def share(spark, value):
 
 def shared(broadcast):
     return pickle.loads(broadcast.value)
+
+
+def small(rows, most: int = 1_000_000):
+    """A written table marked for broadcast if it has at most `most` (narrow) rows; else it is joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= most else rows

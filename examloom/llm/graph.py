@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -14,6 +14,11 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Each round gives a node the smallest label among its neighbours and then the label of that label, so chains
     shrink by halves; rounds are written to the shared folder and end when no label changes.
     """
+    with scratch(edges.sparkSession) as keep:
+        return keep(_components(edges, a, b), "components")
+
+
+def _components(edges: DataFrame, a: str, b: str) -> DataFrame:
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node != other")
     both = both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     both = materialize(both, "edges")

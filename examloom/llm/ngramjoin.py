@@ -30,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import KEY, chunks, keyed, share, shared
+from ..session import materialize, scratch
+from .common import KEY, chunks, keyed, share, shared, small
 from .graph import components
 
 SKETCH_BITS, SKETCH_ROWS = 20, 256
 #: Groups of up to so many sets are searched for partners that could link before any text is sent around.
 PRUNE_ROWS = 1024
+#: So many sets visit one copy of a block.
+PROBES = 1000
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -232,11 +234,14 @@ def blocks(it, k: int):
         yield rows, sets
 
 
-def could_link(n: np.ndarray, pos: np.ndarray, before: np.ndarray, group: np.ndarray, percent: int) -> np.ndarray:
+def could_link(
+    n: np.ndarray, pos: np.ndarray, before: np.ndarray, every: np.ndarray, group: np.ndarray, percent: int
+) -> np.ndarray:
     """Rows, sorted by group, with a partner in their group that could link.
 
-    A partner's size must be near enough, and the overlap in reach must be: this shingle, the shingles before it that
-    other sets have too, and all shingles behind it. Groups of over PRUNE_ROWS rows are kept whole.
+    A partner's size must be near enough, and the overlap must be in reach: this shingle, the shingles before it that
+    other sets have too, and all shingles behind it; and as well all shared shingles of the prefix (`every`) and all
+    shingles behind the prefix. Groups of over PRUNE_ROWS rows are kept whole.
     """
     size = np.bincount(group)[group] if len(group) else group
     ok = size > PRUNE_ROWS
@@ -248,6 +253,7 @@ def could_link(n: np.ndarray, pos: np.ndarray, before: np.ndarray, group: np.nda
             return ok
         a, b = n[i], n[i + d]
         most = 1 + np.minimum(before[i], before[i + d]) + np.minimum(a - pos[i], b - pos[i + d]) - 1
+        most = np.minimum(most, np.minimum(every[i], every[i + d]) - (-percent * np.maximum(a, b) // 100) - 1)
         fits = (100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (most >= -(-percent * (a + b) // (100 + percent)))
         ok[i[fits]] = True
         ok[i[fits] + d] = True
@@ -255,12 +261,15 @@ def could_link(n: np.ndarray, pos: np.ndarray, before: np.ndarray, group: np.nda
 
 
 def pruned(live: DataFrame, percent: int) -> DataFrame:
-    """The rows (token, sid, n, pos, m) that could link; no pair is written.
+    """The rows (token, sid, n, pos, m) that could link, with the shared shingles `before` and of the whole prefix
+    (`every`); no pair is written.
 
-    Sets with a very common token meet in groups of near sizes only.
+    m counts the sets of a token. Sets with a very common token meet in groups of near sizes only.
     """
     order = W.partitionBy("sid").orderBy("pos")
-    rows = live.withColumn("before", F.row_number().over(order).cast("long") - 1)
+    rows = live.drop("before", "every").withColumns(
+        {"before": F.row_number().over(order).cast("long") - 1, "every": F.count("*").over(W.partitionBy("sid"))}
+    )
     band = F.floor(F.log("n") / F.lit(1.0001 * math.log(100 / percent)))
     bands = F.when(F.col("m") > PRUNE_ROWS, F.array(band, band + 1)).otherwise(F.array(F.lit(-1).cast("long")))
     rows = rows.withColumn("band", F.explode(bands))
@@ -295,12 +304,16 @@ def pruned(live: DataFrame, percent: int) -> DataFrame:
         if rows.num_rows:
             first = np.zeros(rows.num_rows, np.int64)
             first[starts(rows)] = 1
-            n, pos, before = (rows[c].to_numpy() for c in ("n", "pos", "before"))
-            yield from rows.filter(pa.array(could_link(n, pos, before, np.cumsum(first) - 1, percent))).to_batches()
+            n, pos, before, every = (rows[c].to_numpy() for c in ("n", "pos", "before", "every"))
+            ok = could_link(n, pos, before, every, np.cumsum(first) - 1, percent)
+            yield from rows.filter(pa.array(ok)).to_batches()
 
     rows = rows.repartition("token", "band").sortWithinPartitions("token", "band").mapInArrow(run, rows.schema)
     plain, twice = rows.where("band = -1"), rows.where("band >= 0").dropDuplicates(["token", "sid"])
-    return materialize(plain.unionByName(twice).select(live.columns), "live")
+    left = materialize(plain.unionByName(twice).drop("m", "band"), "live")
+    # tokens of a single set are of no more use
+    common = left.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    return materialize(left.join(common, "token"), "live")
 
 
 def sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
@@ -370,16 +383,18 @@ def link(docs: DataFrame, text: str, keep: list[str], k: int, percent: int, bloc
     heads = nodes.select("sid", "n", F.posexplode("_head").alias("pos", "token"))
     common = heads.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     live = heads.join(common, "token").select("token", "sid", "n", "pos", "m")
-    for _ in range(2):  # what the first turn drops no longer counts as shared in the second
+    for _ in range(3):  # what a turn drops no longer counts as shared in the next
         live = pruned(live, percent)
 
-    # home blocks
-    home = live.groupBy("sid").agg(F.max(F.struct("m", "token")).alias("h")).select("sid", "h.token", "h.m")
+    # home blocks: the commonest shingle of a set, but for those far commoner than most of its own, which join families
+    ranks = live.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("m", "token"))).alias("r"))
+    middle = F.element_at("r", F.floor((F.size("r") + 1) / 2).cast("int"))["m"]
+    home = ranks.select("sid", F.array_max(F.filter("r", lambda x: x["m"] <= 2 * middle)).alias("h")).select("sid", "h.*")
     parts = F.ceil(F.col("m") / block_rows)
     home = home.select("sid", "token", F.pmod(F.xxhash64("sid"), parts).alias("part"), parts.alias("parts"))
     home = home.withColumn("block", F.xxhash64("token", "part"))
-    places = nodes.select("sid", "_at.*").join(home, "sid")
-    texts = docs.select(*KEY, F.col(text).alias("text")).join(places, KEY)
+    places = materialize(nodes.select("sid", "_at.*").join(home, "sid"), "places")
+    texts = docs.select(*KEY, F.col(text).alias("text")).join(small(places), KEY)
     texts = materialize(texts.select("sid", "token", "part", "parts", "block", "text"), "texts")
 
     def join(it):
@@ -394,6 +409,9 @@ def link(docs: DataFrame, text: str, keep: list[str], k: int, percent: int, bloc
         rows = rows.repartition("block").sortWithinPartitions("block")
         return materialize(rows.mapInArrow(join, "sid long, root long, weight double"), "roots")
 
+    def with_texts(rows: DataFrame) -> DataFrame:
+        return joined(texts.select("sid", "text").join(small(rows), "sid"))
+
     at_home = joined(texts.select("block", "sid", F.col("sid").alias("known"), F.lit(False).alias("probe"), "text"))
     edges = [at_home.select("sid", "root")]
 
@@ -410,10 +428,8 @@ def link(docs: DataFrame, text: str, keep: list[str], k: int, percent: int, bloc
         fan *= block_rows
         near = reps.where(F.col("part") % max(1, fan // block_rows) == 0)
         near = near.select("sid", F.xxhash64("token", F.floor(F.col("part") / fan)).alias("block"))
-        near = near.join(texts.select("sid", "text"), "sid").select(
-            "block", "sid", F.col("sid").alias("known"), F.lit(False).alias("probe"), "text"
-        )
-        edges.append(joined(near).select("sid", "root"))
+        near = near.withColumns({"known": F.col("sid"), "probe": F.lit(False)})
+        edges.append(with_texts(materialize(near, "near")).select("sid", "root"))
         most = -(-most // block_rows)
 
     def roots(edges: list[DataFrame]) -> DataFrame:
@@ -428,26 +444,45 @@ def link(docs: DataFrame, text: str, keep: list[str], k: int, percent: int, bloc
     # sets that share a prefix shingle with another block's set of another component visit that block
     known = live.join(home.select("sid", "block"), "sid").join(comp, "sid")
     there = known.groupBy("token", "block").agg(
-        F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("pos").alias("far"),
+        F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("before").alias("b_high"),
+        F.max(F.col("n") - F.col("pos")).alias("rest_high"), F.max("every").alias("e_high"),
         F.min("comp").alias("c_low"), F.max("comp").alias("c_high"),
     )
     several = there.groupBy("token").agg(F.min("c_low").alias("x"), F.max("c_high").alias("y"), F.count("*").alias("z"))
     open_tokens = several.where("z > 1 and x != y").select("token")
     there = there.join(open_tokens, "token").withColumnRenamed("block", "visit")
+    # the least overlap that a partner in the block asks for, and the most that is in reach
+    least = F.greatest("n_low", F.ceil(F.col("n") * percent / 100))
+    most = F.least("n_high", F.floor(F.col("n") * 100 / percent))
+    asks = lambda m: F.ceil(percent * (F.col("n") + m) / (100 + percent))
+    behind = lambda m: F.ceil(percent * F.greatest("n", m) / 100) - 1
+    asked = asks(least)
+    shared_asked = F.least(asks(least) - behind(least), asks(most) - behind(most))
+    reach = F.least("before", "b_high") + F.least(F.col("n") - F.col("pos"), "rest_high")
     visits = known.join(there, "token").where(
-        (F.col("visit") < F.col("block"))
+        (reach >= asked)
+        & (F.least("every", "e_high") >= shared_asked)
+        & (F.col("visit") < F.col("block"))
         & ((F.col("c_low") != F.col("comp")) | (F.col("c_high") != F.col("comp")))
         & (F.col("n") * percent <= F.col("n_high") * 100)
         & (F.col("n_low") * percent <= F.col("n") * 100)
     )
-    visits = materialize(visits.select("sid", "visit").distinct(), "visits")
-    visited = visits.select(F.col("visit").alias("block")).distinct()
-    inside = texts.join(visited, "block").select("block", "sid", F.lit(False).alias("probe"), "text")
-    probes = visits.join(texts.select("sid", "text"), "sid").select(
-        F.col("visit").alias("block"), "sid", F.lit(True).alias("probe"), "text"
+    visits = materialize(visits.select("sid", "visit", "token"), "visits")
+    met = visits.select("token", F.col("visit").alias("block")).distinct()
+    inside = known.join(met, ["token", "block"]).select("block", "sid").distinct()
+    probes = visits.select(F.col("visit").alias("block"), "sid").distinct()
+    # a block that very many sets visit is copied, so that no task holds more than PROBES of them
+    turns = probes.groupBy("block").agg(F.ceil(F.count("*") / PROBES).alias("turns"))
+    inside = inside.join(turns, "block").select(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), "sid", F.lit(False).alias("probe")
+    )
+    probes = probes.join(turns, "block").select(
+        "block", F.pmod(F.xxhash64("sid"), "turns").alias("turn"), "sid", F.lit(True).alias("probe")
+    )
+    both = inside.unionByName(probes).join(comp, "sid").select(
+        F.xxhash64("block", "turn").alias("block"), "sid", "probe", F.col("comp").alias("known")
     )
-    both = inside.unionByName(probes).join(comp, "sid").withColumnRenamed("comp", "known")
-    edges.append(joined(both.select("block", "sid", "known", "probe", "text")).select("sid", "root"))
+    edges.append(with_texts(materialize(both, "both")).select("sid", "root"))
     edges.append(comp.select("sid", F.col("comp").alias("root")))
     comp = roots(edges)
 
@@ -459,7 +494,8 @@ def link(docs: DataFrame, text: str, keep: list[str], k: int, percent: int, bloc
 
 def report(docs: DataFrame, doc_id: str, text: str, k: int = 3, percent: int = 90) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the smallest id of its component."""
-    rows = materialize(link(keyed(docs.select(doc_id, text), "join-input"), text, [doc_id], k, percent), "linked")
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(link(keyed(docs.select(doc_id, text), "join-input"), text, [doc_id], k, percent), "linked")
     least = rows.where("_root is not null").groupBy("_root").agg(F.min(doc_id).alias("component_id"))
     return rows.join(least, "_root", "left").select(
         doc_id, "n_shingles", F.when(F.col("_root").isNull(), F.col(doc_id)).otherwise(F.col("component_id")).alias("component_id")
@@ -469,7 +505,8 @@ def report(docs: DataFrame, doc_id: str, text: str, k: int = 3, percent: int = 9
 def distinct(docs: DataFrame, doc_id: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id (then the first row); empty texts all stay."""
     rows = keyed(docs, "join-input")
-    linked = materialize(link(rows, text, [doc_id], k, percent), "linked")
+    with scratch(docs.sparkSession) as stay:
+        linked = stay(link(rows, text, [doc_id], k, percent), "linked")
     order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), *KEY)
     first = linked.where("_root is not null").groupBy("_root").agg(F.min(order).alias("_first"))
     gone = linked.join(first, "_root").where(

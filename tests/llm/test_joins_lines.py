@@ -128,7 +128,7 @@ NOT_WORD = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
 def normal(line):
-    return NOT_WORD.sub(" ", "".join(c.lower() if "A" <= c <= "Z" else c for c in line)).strip(" ")
+    return NOT_WORD.sub(" ", line.lower()).strip(" ")
 
 
 def simhash(norm):
