@@ -1,6 +1,6 @@
 """Fuzzy line de-duplication over the whole corpus, with DataFrame operations only.
 
-A line is normalised (A-Z lower-cased, anything but letters, digits and characters beyond ASCII to single blanks) and
+A line is normalised (lower-cased, anything but letters, digits and characters beyond ASCII to single blanks) and
 summed up by a 64-bit SimHash of its words. Two different normalised lines are linked if their SimHashes differ in at
 most `bits` places and their edit distance is at most (100 - percent) % of the longer one. Of every connected group of
 lines one occurrence stays, the first by document id, row and line number; blank lines (nothing left after
@@ -23,8 +23,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import KEY, ascii_lower, keyed
+from ..session import materialize, scratch
+from .common import KEY, keyed
 from .graph import components
 
 #: Words are counted in 8-bit lanes of a long, so many at a time that none overflows.
@@ -34,19 +34,31 @@ LANES = 0x0101010101010101
 BROADCAST_ROWS = 1_000_000
 
 
-def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(ascii_lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-
-
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def normal_lines(text: Column) -> Column:
+    """The lines of a text, normalised but for blanks at their ends. The text is rewritten once, not line by line."""
+    return lines_of(F.regexp_replace(F.lower(text), r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+
+
 def occurrences(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """One row per line with words: keep, at, norm, h1, h2 (two hashes that stand for the normalised line)."""
-    rows = docs.select(*keep, F.posexplode(lines_of(F.col(text))).alias("at", "line"))
-    rows = rows.select(*keep, "at", normal(F.col("line")).alias("norm")).where("norm != ''")
-    return rows.withColumns({"h1": F.xxhash64("norm"), "h2": F.xxhash64(F.lit("second"), "norm")})
+    """One row per line with words: keep, at, norm, words, h1, h2 (two hashes that stand for the normalised line).
+
+    The line's columns are made inside the array that is exploded: columns computed behind it would be computed again
+    for every word of the line.
+    """
+
+    def parts(line: Column) -> Column:
+        norm = F.trim(line)
+        return F.struct(
+            norm.alias("norm"), F.split(norm, " ").alias("words"), F.xxhash64(norm).alias("h1"), F.xxhash64(F.lit("second"), norm).alias("h2")
+        )
+
+    # outer, as the optimizer would otherwise rewrite the text once more for a filter of its own
+    rows = docs.select(*keep, F.posexplode_outer(F.transform(normal_lines(F.col(text)), parts)).alias("at", "line"))
+    return rows.select(*keep, "at", "line.*").where("norm != ''")
 
 
 def majority(ones: list[list[Column]], n: Column) -> Column:
@@ -63,8 +75,7 @@ def simhashes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """keep, at, h1, h2 and sim per line. Words are counted in the scanning task, 8 counters to a long."""
     by = [*keep, "at", "h1", "h2"]
     rows = occurrences(docs, text, keep)
-    words = F.split("norm", " ")
-    rows = rows.select(*by, F.size(words).alias("_all"), F.posexplode(words).alias("_k", "_word"))
+    rows = rows.select(*by, F.size("words").alias("_all"), F.posexplode_outer("words").alias("_k", "_word"))
     rows = rows.select(*by, "_all", F.floor(F.col("_k") / LANE_WORDS).alias("_part"), F.xxhash64(F.lit("word"), "_word").alias("_h"))
     lane = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(LANES))
     rows = rows.groupBy(*by, "_part").agg(F.max("_all").alias("_all"), *(F.sum(lane(i)).alias(f"_s{i}") for i in range(8)))
@@ -163,10 +174,12 @@ def groups(docs: DataFrame, doc_id: str, text: str, percent: int, bits: int) ->
 
 def decide(docs: DataFrame, doc_id: str, text: str, percent: int = 90, bits: int = 3) -> DataFrame:
     """Per row of `docs` (with row keys): doc_id, row key, n_lines, n_blank and kept (numbers of the lines that stay)."""
-    stay = groups(docs, doc_id, text, percent, bits).groupBy("root").agg(F.min("first").alias("x"))
-    stay = stay.groupBy(*(F.col(f"x.{c}").alias(c) for c in KEY)).agg(F.collect_list("x.at").alias("_stay"))
+    with scratch(docs.sparkSession) as keep:
+        stay = groups(docs, doc_id, text, percent, bits).groupBy("root").agg(F.min("first").alias("x"))
+        stay = stay.groupBy(*(F.col(f"x.{c}").alias(c) for c in KEY)).agg(F.collect_list("x.at").alias("_stay"))
+        stay = keep(stay, "stay")
     lines = lines_of(F.col(text))
-    blank = F.transform(lines, lambda x, i: F.when(normal(x) == "", i))
+    blank = F.transform(normal_lines(F.col(text)), lambda x, i: F.when(F.trim(x) == "", i))
     rows = docs.select(
         doc_id,
         *KEY,
