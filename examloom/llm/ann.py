@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import share, shared
 
 
@@ -129,6 +129,15 @@ def search(
     block_rows: int = 1024,
 ) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest found for each row of which `is_query` (of vec_id) holds."""
+    with scratch(df.sparkSession) as keep:
+        sizes = (k, sample_rows, calibration_rows, target, chunk_rows, block_rows)
+        return keep(_search(df, ident, vector, is_query, *sizes), "nearest")
+
+
+def _search(
+    df: DataFrame, ident: str, vector: str, is_query: Column, k: int, sample_rows: int, calibration_rows: int,
+    target: float, chunk_rows: int, block_rows: int,
+) -> DataFrame:
     spark = df.sparkSession
     rows = materialize(valid(df, ident, vector), "ann-valid")
     copies = F.row_number().over(W.partitionBy("v").orderBy("vec_id"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, scratch
 from .common import KEY, keyed, numbered
 
 SALTS = 64
@@ -31,9 +31,7 @@ SALTS = 64
 
 def words(text: Column) -> Column:
     """Number of words; a word is a run of characters other than blanks, tabs and line ends."""
-    t = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    # a word starts at a character after a blank
-    return F.coalesce(F.regexp_count(t, F.lit("[^ ]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_key(c: str) -> Column:
@@ -118,7 +116,15 @@ def mix(
 
     `df` must be the result of `keyed`. `order` names the columns whose hash orders rows and drives the draws.
     """
-    keep = [*KEY, *keep]
+    with scratch(df.sparkSession) as stay:
+        options = (list(weights), budget, cap, seed, bucket_rows, fan_in)
+        return stay(_mix(df, source, size, order, [*KEY, *keep], *options), "mixed")
+
+
+def _mix(
+    df: DataFrame, source: str, size: Column, order: list[str], keep: list[str], weights: list[float], budget: float,
+    cap: float, seed: int, bucket_rows: int, fan_in: int,
+) -> DataFrame:
     rows = df.select(
         *keep,
         F.col(source).cast("string").alias("source"),
@@ -126,7 +132,7 @@ def mix(
         F.xxhash64(F.lit(seed), *order).alias("_h"),
     ).withColumn("_src", source_key("source"))
     rows = materialize(rows, "mix-rows")
-    want = targets(rows, list(weights), budget, cap)
+    want = targets(rows, weights, budget, cap)
     # one source may hold most rows: its rows meet its target under many keys
     salted = want.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = rows.withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int")).join(salted, ["_src", "_salt"])

@@ -84,11 +84,13 @@ def test_pruning_keeps_every_link():
     group = np.sort(rng.integers(0, 60, 300))
     pos = (rng.random(300) * n * 0.2).astype(int)
     before = (rng.random(300) * (pos + 1)).astype(int)
-    ok = ngramjoin.could_link(n, pos, before, group, 80)
+    every = before + rng.integers(1, 9, 300)
+    ok = ngramjoin.could_link(n, pos, before, every, group, 80)
     for i in range(300):
         fits = any(
             i != j and group[i] == group[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j])
             and min(before[i], before[j]) + min(n[i] - pos[i], n[j] - pos[j]) >= ngramjoin.needed(n[i], n[j], 80)
+            and min(every[i], every[j]) + -(-80 * max(n[i], n[j]) // 100) - 1 >= ngramjoin.needed(n[i], n[j], 80)
             for j in range(300)
         )
         assert ok[i] == fits
