@@ -11,8 +11,9 @@ put into blocks of near ones. Only pairs of a chunk and a block that visits it m
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or non-finite components
 take no part, nor do null ids; rows with equal id and vector count once; of equal vectors only the k + 1 smallest ids
-can be among the k nearest, so only these are kept; a query with fewer than k candidates gets them all; ties go to the
-smaller id; no valid vector gives an empty table.
+can be among the k nearest, so only these are entries; a query that is a further copy is answered by the k smallest of
+them, at distance 0, without a search; a query with fewer than k candidates gets them all; ties go to the smaller id; no
+valid vector gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import share, shared
+from .common import share, shared, small
 
 
 def valid(df: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -116,6 +117,16 @@ def best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def of_copies(rows: DataFrame, entries: DataFrame, is_query: Column, k: int) -> DataFrame:
+    """query_id, vec_id, score for the queries among `rows` that are no entries, as k + 1 smaller ids have their vector."""
+    name = [F.xxhash64("v").alias("_h1"), F.xxhash64(F.lit("second"), "v").alias("_h2")]
+    full = entries.select("vec_id", *name).groupBy("_h1", "_h2").agg(F.array_sort(F.collect_list("vec_id")).alias("_ids"))
+    full = materialize(full.where(F.size("_ids") == k + 1), "ann-full")
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), *name).distinct()
+    lost = queries.join(small(full, 100_000), ["_h1", "_h2"]).where(F.col("query_id") > F.element_at("_ids", -1))
+    return lost.select("query_id", F.explode(F.slice("_ids", 1, k)).alias("vec_id"), F.lit(0.0).alias("score"))
+
+
 def search(
     df: DataFrame,
     ident: str,
@@ -255,4 +266,5 @@ def _search(
 
     left, right = asked.groupBy("chunk", "salt", "block"), placed.groupBy("chunk", "salt", "_block")
     found = left.cogroup(right).applyInPandas(rerank, "query_id long, vec_id long, score double")
+    found = found.unionByName(of_copies(rows, entries, is_query, k))
     return best(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -91,6 +91,20 @@ def test_search_recall_and_order(spark):
     assert [by[700][k][0] for k in range(1, 11)] == list(range(701, 711))
 
 
+def test_every_copy_of_a_vector_is_asked(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(900, 8))
+    x[200:700] = x[200]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.search(df, "vec_id", "embedding", F.col("vec_id") % 50 == 0, chunk_rows=100, block_rows=5).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    assert sorted(by) == list(range(0, 900, 50)) and all(sorted(f) == list(range(1, 11)) for f in by.values())
+    for q in range(200, 700, 50):
+        assert [by[q][k] for k in range(1, 11)] == [(v, 0.0) for v in range(200, 212) if v != q][:10]
+
+
 def test_search_of_few_rows(spark):
     kind = "vec_id long, embedding array<float>"
     every = F.lit(True)
