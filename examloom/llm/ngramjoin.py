@@ -26,7 +26,7 @@ from bisect import bisect_right
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -234,6 +234,18 @@ def blocks(it, k: int):
         yield rows, sets
 
 
+def shared_least(n: Column, low: Column, high: Column, percent: int) -> Column:
+    """Least number of shared prefix shingles of linked sets, one of size n and one of a size from low to high.
+
+    A partner of size m asks for an overlap, of which all but the shingles behind the larger set's prefix are in both
+    prefixes. That grows with m up to n. Beyond n it falls by p^2 / 100 (100 + p) a step, up to the two ceilings, so it is
+    least at one of the last sizes.
+    """
+    asks = lambda m: F.ceil(percent * (n + m) / (100 + percent)) - F.ceil(percent * F.greatest(n, m) / 100) + 1
+    last = range(100 * (100 + percent) // percent**2 + 1)
+    return F.least(asks(low), *(asks(F.greatest(high - j, low)) for j in last))
+
+
 def could_link(
     n: np.ndarray, pos: np.ndarray, before: np.ndarray, every: np.ndarray, group: np.ndarray, percent: int
 ) -> np.ndarray:
@@ -455,9 +467,8 @@ def link(docs: DataFrame, text: str, keep: list[str], k: int, percent: int, bloc
     least = F.greatest("n_low", F.ceil(F.col("n") * percent / 100))
     most = F.least("n_high", F.floor(F.col("n") * 100 / percent))
     asks = lambda m: F.ceil(percent * (F.col("n") + m) / (100 + percent))
-    behind = lambda m: F.ceil(percent * F.greatest("n", m) / 100) - 1
     asked = asks(least)
-    shared_asked = F.least(asks(least) - behind(least), asks(most) - behind(most))
+    shared_asked = shared_least(F.col("n"), least, most, percent)
     reach = F.least("before", "b_high") + F.least(F.col("n") - F.col("pos"), "rest_high")
     visits = known.join(there, "token").where(
         (reach >= asked)

@@ -96,6 +96,38 @@ def test_pruning_keeps_every_link():
         assert ok[i] == fits
 
 
+@pytest.mark.parametrize("percent", [60, 80, 90, 99])
+def test_least_shared_prefix_over_all_sizes(spark, percent):
+    def shared(n, m):
+        return ngramjoin.needed(n, m, percent) + percent * -max(n, m) // 100 + 1
+
+    rows = [(n, a, b) for n in range(1, 45) for a in range(1, 60) for b in range(a, 60)]
+    rows = [(n, a, b) for n, a, b in rows if 100 * a >= percent * n and 100 * n >= percent * b]
+    df = spark.createDataFrame(rows, "n long, low long, high long")
+    got = df.select("n", "low", "high", ngramjoin.shared_least(F.col("n"), F.col("low"), F.col("high"), percent)).collect()
+    assert [tuple(r) for r in got] == [(n, a, b, min(shared(n, m) for m in range(a, b + 1))) for n, a, b in rows]
+
+
+@pytest.mark.parametrize(("k", "percent", "small"), [(5, 80, 13), (3, 90, 28)])
+def test_pairs_at_the_threshold(frame, monkeypatch, k, percent, small):
+    plain = ngramjoin.link
+    monkeypatch.setattr(ngramjoin, "link", lambda *a, **b: plain(*a, **b, block_rows=2))
+    texts, filler, rng = [], [], random.Random(k)
+    for family in range(120):
+        new = lambda n: [f"u{rng.randrange(1 << 40)}" for _ in range(n)]
+        # a pair just at the threshold: all but one of the smaller's shingles, all but two of the larger's
+        base = new(small - 1 + k - 1)
+        # a linked pair of sizes on both sides of these, with half of its shingles from there
+        other = base[: small // 2 + k - 1]
+        other += new(small + 2 + k - 1 - len(other))
+        texts += [" ".join(t) for t in (new(1) + base, base + new(2), other, other[: len(other) - 3 + family % 2])]
+        filler += base + other
+    texts += [" ".join(filler)] * 8  # so that these shingles are equally common, and prefixes hold few of them
+    docs = [(i, t, None) for i, t in enumerate(texts)]
+    got = ngramjoin.report(frame(docs), "doc_id", "text", k, percent).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == expected(docs, k, percent)
+
+
 def test_join_of_odd_tables(frame):
     assert ngramjoin.report(frame([]), "doc_id", "text").count() == 0
     docs = frame([(1, None, None), (2, "", None)])
