@@ -58,6 +58,11 @@ def running_min(df: DataFrame, keys: list[str], slice_col: str, order: list, val
     return _running(df, keys, slice_col, order, values, F.min, lambda here, before: F.least(here, before))
 
 
+def running_xor(df: DataFrame, keys: list[str], slice_col: str, order: list, values: dict[str, Column]) -> DataFrame:
+    """Inclusive running bitwise XORs per group, as for hashes of prefixes."""
+    return _running(df, keys, slice_col, order, values, F.bit_xor, lambda here, before: here.bitwiseXOR(F.coalesce(before, F.lit(0))))
+
+
 def neighbours(
     df: DataFrame,
     keys: list[str],
