@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, licenses, linededup, lm, mixing, ngramjoin, quality, sharding, urlfilter
+from . import ann, convtrie, decontam, licenses, linededup, lm, mixing, ngramjoin, quality, sharding, urlfilter, whiten
 from .common import remainder
 from .templates import TEMPLATES
 
@@ -116,3 +116,51 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.report(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+
+
+#: Prefixes as lists of turn digests; crc32 byte by byte from its table; subtree sums by meeting every ancestor.
+SQL["op11_conversation_trie"] = r"""
+WITH RECURSIVE step(n, v, k) AS (
+  SELECT n, n::BIGINT, 0 FROM range(256) t(n)
+  UNION ALL
+  SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM step WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM step WHERE k = 8),
+turns AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+named AS (
+  SELECT c, turn, md5(length(r)::VARCHAR || ':' || r || x) AS t, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM turns),
+own AS (SELECT c, list({'t': t, 'w': w} ORDER BY turn NULLS FIRST, t) AS s FROM named GROUP BY c),
+h AS (
+  SELECT c, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(length(c::VARCHAR)), lambda i: ascii(substr(c::VARCHAR, i::INT + 1, 1))::BIGINT)),
+    lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) % 4 AS h
+  FROM own, crc),
+seq AS (
+  SELECT o.c, list_concat(coalesce(b.s, [])[1:h.h], o.s[h.h + 1:]) AS s
+  FROM own o JOIN h USING (c) LEFT JOIN own b ON b.c = o.c - o.c % 20),
+path AS (
+  SELECT c, len(s) AS m, d, list_transform(s[1:d], lambda x: x.t) AS k, CASE WHEN d > 0 THEN s[d].w ELSE 0 END AS w
+  FROM (SELECT *, unnest(range(len(s) + 1)) AS d FROM seq)),
+node AS (
+  SELECT k, d, min(c) AS conv_id, count(*) AS n, max(w) AS w,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE m = d), '')) AS ends
+  FROM path GROUP BY k, d),
+child AS (SELECT k[1:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(child.n, 0) AS kids FROM node LEFT JOIN child USING (k)),
+below AS (
+  SELECT k[1:a] AS k, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum((n - 1) * w) AS saved
+  FROM (SELECT *, unnest(range(d + 1)) AS a FROM full_node) GROUP BY 1)
+SELECT f.conv_id, f.d::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.kids::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, f.ends AS ends_sha256
+FROM full_node f JOIN below USING (k) LEFT JOIN node p ON f.d > 0 AND p.k = f.k[1:f.d - 1]
+"""
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.report(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
