@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, convtrie, decontam, licenses, linededup, lm, mixing, ngramjoin, quality, sharding, urlfilter, whiten
+from . import ann, convtrie, decontam, licenses, linededup, lm, mixing, ngramjoin, packing, quality, sharding, urlfilter, whiten
 from .common import remainder
 from .templates import TEMPLATES
 
@@ -164,3 +164,14 @@ FROM full_node f JOIN below USING (k) LEFT JOIN node p ON f.d > 0 AND p.k = f.k[
 @query
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten.report(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+#: The vocabulary file of the packing query.
+TOKENIZER = "byte_bpe_50k.json"
+
+
+@query
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.report(table(spark, sf_dir, "documents"), ["doc_id"], "text", public_tokenizers.path(TOKENIZER))
