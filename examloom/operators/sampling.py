@@ -1,9 +1,8 @@
 """Exam assembly for many users at once: quotas, interleaving, due-first picks.
 
-A per-user random pick must not pair every user with the whole bank. Instead the bank is put
-into one random ring per stratum, each user gets a random starting point on it, and reads on from
-there; `need + excluded` steps always hold `need` usable items, so the work per user is
-proportional to what the user gets.
+A per-user random pick must not pair every user with the whole bank. The items of a stratum are numbered once, and each
+request draws places from a permutation of its own (`permute`), which costs only the steps it takes. How many steps that
+needs depends on what is excluded, so requests draw what they should need, and those still short draw more.
 """
 
 from __future__ import annotations
@@ -13,12 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import core as fx
-from . import slices
+from ..session import materialize
+from . import permute, slices
 from .topicstats import topic_rows
 
 # Items per area of a random exam, review cap.
 QUOTA = {"matematica": 20, "fundamentos": 30, "tecnologia": 20}
 DAILY_LIMIT = 20
+RANDOM_LABEL = "Simulado aleatorio (70q)"
 
 
 def truncation_label(prefix: str, shown, total) -> Column:
@@ -35,7 +36,7 @@ def by_year(questions: DataFrame) -> DataFrame:
 
 
 def ring(questions: DataFrame, strata: list[str], seed: str) -> DataFrame:
-    """Each stratum in one random order: 0-based position `_at` and stratum size `_n` per item.
+    """The items of each stratum numbered from 0 in hash order (`_at`), with the stratum's size (`_n`).
 
     Ranked per hash bucket, so a stratum holding most of the bank is not sorted by one task.
     """
@@ -45,20 +46,48 @@ def ring(questions: DataFrame, strata: list[str], seed: str) -> DataFrame:
     return ranked.withColumn("_at", F.col("_at") - 1).drop("_h", "_b")
 
 
-def walk(requests: DataFrame, bank_ring: DataFrame, strata: list[str], seed: str, request="user_id") -> DataFrame:
-    """Read `need + skip` items of the ring for every request row (request, strata, need, skip).
+def draw(requests: DataFrame, bank_ring: DataFrame, strata: list[str], seed: str, accept=None, request="user_id") -> DataFrame:
+    """`need` random items per request row (request, strata, need, optionally skip), in the order drawn (`_r`, from 1).
 
-    Result: request, strata, question_id, `_step` (0-based distance walked). An equi-join on
-    (stratum, position); no request meets more items than it may need.
+    Every request shuffles the stratum for itself. `accept` filters drawn rows (all columns of the request and the item);
+    `skip` is how many items of the stratum it is expected to refuse. Requests draw in passes: first what should do, with
+    three deviations to spare, then three times as many steps if they are still short, up to the whole stratum, so the
+    result is exact and the steps stay in proportion to what is served and refused.
     """
-    sizes = bank_ring.groupBy(*strata).agg(F.max("_n").alias("_size"))
-    r = requests.join(sizes, strata)
-    start = F.pmod(fx.hash_int(seed, request, *strata), F.col("_size"))
-    steps = F.least(F.col("need") + F.col("skip"), F.col("_size"))
-    r = r.filter(steps > 0).withColumn("_start", start)
-    r = r.withColumn("_step", F.explode(F.sequence(F.lit(0).cast("bigint"), (steps - 1).cast("bigint"))))
-    r = r.withColumn("_at", ((F.col("_start") + F.col("_step")) % F.col("_size")).cast("bigint"))
-    return r.drop("_start", "_size").join(bank_ring.drop("_n"), [*strata, "_at"]).drop("_at")
+    bank_ring = materialize(bank_ring, "ring")
+    sizes = bank_ring.groupBy(*strata).agg(F.max("_n").alias("_n"))
+    r = permute.with_keys(requests.filter("need > 0").join(sizes, strata), "_n", seed, request, *strata)
+    zero = F.lit(0).cast("bigint")
+    if accept is None:  # only places beyond the end are refused, fewer than a row of digits
+        first = F.col("need") + F.col("_steps") - F.col("_n")
+    else:
+        skip = F.col("skip") if "skip" in requests.columns else zero
+        rate = F.greatest(F.col("_n") - skip, F.lit(1)) / F.col("_steps")
+        first = F.ceil(F.col("need") / rate + 3 * F.sqrt(F.col("need") * (1 - rate)) / rate)
+    r = r.withColumn("_from", zero).withColumn("_to", F.least(first, F.col("_steps")).cast("bigint"))
+    helpers = ["_key", "_a", "_b", "_steps", "_from", "_to", "_n"]
+
+    def walked(r: DataFrame) -> DataFrame:
+        rows = r.withColumn("_step", F.explode(F.sequence("_from", F.col("_to") - 1)))
+        rows = permute.place(rows, "_step", "_at").drop(*helpers)  # places beyond the end meet no item
+        return rows.join(bank_ring.drop("_n"), [*strata, "_at"]).drop("_at")
+
+    def served(rows: DataFrame) -> DataFrame:
+        w = W.partitionBy(request, *strata).orderBy("_step")
+        return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("need"))
+
+    if accept is None:
+        return served(walked(r))
+    r, out = materialize(r.withColumn("_have", zero), "requests"), None
+    while True:
+        got = materialize(accept(walked(r)).select(request, *strata, "need", "question_id", "_step"), "drawn")
+        out = got if out is None else out.unionByName(got)
+        found = got.groupBy(request, *strata).agg(F.count("*").alias("_got"))
+        r = r.join(found, [request, *strata], "left").withColumn("_have", F.col("_have") + F.coalesce("_got", zero)).drop("_got")
+        r = r.filter("_have < need and _to < _steps").withColumn("_from", F.col("_to"))
+        r = materialize(r.withColumn("_to", F.least(3 * F.col("_to"), F.col("_steps"))), "requests")
+        if r.isEmpty():
+            return served(out)
 
 
 def pick(requests: DataFrame, bank: DataFrame, strata: list[str], seed: str, excluded: DataFrame | None = None,
@@ -66,14 +95,13 @@ def pick(requests: DataFrame, bank: DataFrame, strata: list[str], seed: str, exc
     """`need` random items per (request, stratum), none of them in `excluded` (request, question_id)."""
     bank_ring = ring(bank.select("question_id", *strata), strata, seed)
     if excluded is None:
-        return walk(requests.withColumn("skip", F.lit(0).cast("bigint")), bank_ring, strata, seed, request)
-    hits = excluded.join(bank.select("question_id", *strata), "question_id")
-    skips = hits.groupBy(request, *strata).agg(F.count("*").alias("skip"))
+        return draw(requests, bank_ring, strata, seed, request=request)
+    # only what concerns the drawn strata: it is counted once and met in every pass
+    excluded = materialize(excluded.join(bank.select("question_id", *strata), "question_id"), "excluded")
+    skips = excluded.groupBy(request, *strata).agg(F.count("*").alias("skip"))
     wanted = requests.join(skips, [request, *strata], "left").fillna(0, ["skip"])
-    walked = walk(wanted, bank_ring, strata, seed, request)
-    free = walked.join(excluded, [request, "question_id"], "left_anti")
-    w = W.partitionBy(request, *strata).orderBy("_step")
-    return free.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= F.col("need")).drop("_r")
+    accept = lambda rows: rows.join(excluded, [request, "question_id"], "left_anti")
+    return draw(wanted, bank_ring, strata, seed, accept, request)
 
 
 def shuffled(picked: DataFrame, seed: str, request="user_id") -> DataFrame:
@@ -82,29 +110,41 @@ def shuffled(picked: DataFrame, seed: str, request="user_id") -> DataFrame:
     return picked.withColumn("pos", F.row_number().over(w))
 
 
+def correct_items(attempts: DataFrame) -> DataFrame:
+    return attempts.filter("correct").select("user_id", "question_id").distinct()
+
+
+def filters(questions: DataFrame, attempts: DataFrame | None, exclude_annulled: bool, exclude_correct: bool):
+    """The two switches of every random exam: the usable bank, and what each user has answered correctly (or None)."""
+    bank = questions.filter("not annulled") if exclude_annulled else questions
+    return bank, correct_items(attempts) if exclude_correct else None
+
+
 def random_exam(users: DataFrame, questions: DataFrame, attempts: DataFrame, seed: str, quota: dict[str, int] | None = None,
                 exclude_annulled=True, exclude_correct=True) -> DataFrame:
-    """Area quotas per user without annulled or already-correct items, then shuffled."""
+    """Area quotas per user, then shuffled."""
     quota = QUOTA if quota is None else quota
-    bank = questions.filter("not annulled") if exclude_annulled else questions
+    bank, excluded = filters(questions, attempts, exclude_annulled, exclude_correct)
     asks = F.explode(F.array(*[F.struct(F.lit(a).alias("area"), F.lit(n).cast("bigint").alias("need"))
                                for a, n in quota.items()]))
     requests = users.select("user_id", asks.alias("_q")).select("user_id", "_q.*")
-    excluded = correct_items(attempts) if exclude_correct else None
-    return shuffled(pick(requests, bank, ["area"], seed, excluded), seed).select("user_id", "pos", "question_id", "area")
+    picked = shuffled(pick(requests, bank, ["area"], seed, excluded), seed)
+    return picked.select("user_id", "pos", "question_id", "area", F.lit(RANDOM_LABEL).alias("label"))
 
 
-def correct_items(attempts: DataFrame) -> DataFrame:
-    return attempts.filter("correct").select("user_id", "question_id").distinct()
+def with_served(picked: DataFrame) -> DataFrame:
+    """Add how many items the request got (`served`), which labels state."""
+    return picked.withColumn("served", F.count("*").over(W.partitionBy("user_id")))
 
 
-def area_exam(users: DataFrame, questions: DataFrame, attempts: DataFrame, areas: list[str], count: int, seed: str) -> DataFrame:
+def area_exam(users: DataFrame, questions: DataFrame, attempts: DataFrame, areas: list[str], count: int, seed: str,
+              exclude_annulled=True, exclude_correct=True) -> DataFrame:
     """`count` random items of the given areas per user (one pooled stratum)."""
-    bank = questions.filter(~F.col("annulled") & F.col("area").isin(areas)).withColumn("pool", F.lit("all"))
+    bank, excluded = filters(questions.filter(F.col("area").isin(areas)), attempts, exclude_annulled, exclude_correct)
     requests = users.select("user_id", F.lit("all").alias("pool"), F.lit(count).cast("bigint").alias("need"))
-    return shuffled(pick(requests, bank, ["pool"], seed, correct_items(attempts)), seed).select(
-        "user_id", "pos", "question_id"
-    )
+    picked = with_served(shuffled(pick(requests, bank.withColumn("pool", F.lit("all")), ["pool"], seed, excluded), seed))
+    label = F.concat(F.lit(f"Pratica: {', '.join(areas)} ("), F.col("served").cast("string"), F.lit("q)"))
+    return picked.select("user_id", "pos", "question_id", label.alias("label"))
 
 
 def round_robin(ranked: DataFrame, limit: int, request="user_id") -> DataFrame:
@@ -122,53 +162,44 @@ def round_robin(ranked: DataFrame, limit: int, request="user_id") -> DataFrame:
     )
 
 
-def topic_exam(selections: DataFrame, questions: DataFrame, count: int, seed: str, excluded: DataFrame | None = None) -> DataFrame:
+def topic_exam(selections: DataFrame, questions: DataFrame, count: int, seed: str, attempts: DataFrame | None = None,
+               topics: DataFrame | None = None, exclude_annulled=True, exclude_correct=False) -> DataFrame:
     """Interleaved practice over each user's selected topics (user_id, slug).
 
-    An item belongs to the first of its topics that the user selected; items met on the walk that
-    belong elsewhere are skipped. Their number is bounded by the topic co-occurrence counts, so the
-    walk is long enough to stay exact. The user's selection travels along as an array (it holds at
-    most the taxonomy), which keeps the bucket test a plain expression.
+    An item belongs to the first of its topics that the user selected; drawn items that belong elsewhere are refused. The
+    user's selection travels along as an array (it holds at most the taxonomy), which keeps the bucket test a plain
+    expression. `topics` gives the names for the label (else slugs), which are listed by slug.
     """
-    bank = questions.filter("not annulled").select("question_id", "topics", F.explode("topics").alias("slug"))
-    # items shared with each other topic, per topic (bounded by the taxonomy squared)
-    shared = (
-        bank.select("slug", F.explode("topics").alias("_other"))
-        .filter("slug <> _other")
-        .groupBy("slug", "_other")
-        .agg(F.count("*").alias("n"))
-        .groupBy("slug")
-        .agg(F.map_from_entries(F.collect_list(F.struct("_other", "n"))).alias("_shared"))
-    )
-    chosen = selections.groupBy("user_id").agg(F.collect_set("slug").alias("slugs"))
-    requests = chosen.select("user_id", "slugs", F.explode("slugs").alias("slug")).join(shared, "slug", "left")
-    overlap = F.aggregate(
-        "slugs",
-        F.lit(0).cast("bigint"),
-        lambda acc, s: acc + F.coalesce(F.try_element_at("_shared", s), F.lit(0).cast("bigint")),
-    )
-    hits = F.lit(0).cast("bigint")
+    bank, excluded = filters(questions, attempts, exclude_annulled, exclude_correct)
+    bank = bank.select("question_id", "topics", F.explode("topics").alias("slug"))
+    selections = materialize(selections.select("user_id", "slug").distinct(), "selections")
+    chosen = selections.groupBy("user_id").agg(F.sort_array(F.collect_set("slug")).alias("slugs"))
+    requests = chosen.select("user_id", "slugs", F.explode("slugs").alias("slug"), F.lit(count).cast("bigint").alias("need"))
     if excluded is not None:
-        counts = excluded.join(bank.select("question_id", "slug"), "question_id")
-        counts = counts.groupBy("user_id", "slug").agg(F.count("*").alias("_hits"))
-        requests = requests.join(counts, ["user_id", "slug"], "left")
-        hits = F.coalesce("_hits", hits)
-    requests = requests.select(
-        "user_id", "slug", "slugs", F.lit(count).cast("bigint").alias("need"), (overlap + hits).alias("skip")
-    )
-    walked = walk(requests, ring(bank, ["slug"], seed), ["slug"], seed)
+        excluded = materialize(excluded.join(bank.select("question_id", "slug"), "question_id"), "excluded")
+        hits = excluded.groupBy("user_id", "slug").agg(F.count("*").alias("skip"))
+        requests = requests.join(hits, ["user_id", "slug"], "left").fillna(0, ["skip"])
     bucket = F.try_element_at(F.filter("topics", lambda t: F.array_contains("slugs", t)), F.lit(1))
-    walked = walked.filter(bucket == F.col("slug"))
-    if excluded is not None:
-        walked = walked.join(excluded, ["user_id", "question_id"], "left_anti")
-    w = W.partitionBy("user_id", "slug").orderBy("_step")
-    ranked = walked.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count)
+
+    def accept(rows: DataFrame) -> DataFrame:
+        rows = rows.filter(bucket == F.col("slug"))
+        return rows if excluded is None else rows.join(excluded, ["user_id", "question_id"], "left_anti")
+
+    ranked = draw(requests, ring(bank, ["slug"], seed), ["slug"], seed, accept).withColumnRenamed("_r", "rank")
     ranked = ranked.withColumn("group_pos", fx.hash_order(seed, "user_id", "slug"))
-    return round_robin(ranked, count).select("user_id", "pos", "question_id", "slug")
+    picked = with_served(round_robin(ranked, count))
+    named = selections.join(topics.select("slug", "label"), "slug", "left") if topics is not None else selections.withColumn("label", F.lit(None))
+    pair = F.struct("slug", F.coalesce("label", "slug").alias("name"))
+    named = named.groupBy("user_id").agg(F.sort_array(F.collect_list(pair))["name"].alias("_names"))
+    label = F.concat(
+        F.when(F.size("_names") > 1, "Intercalado: ").otherwise("Topico: "),
+        F.array_join("_names", ", "), F.lit(" ("), F.col("served").cast("string"), F.lit("q)"),
+    )
+    return picked.join(named, "user_id").select("user_id", "pos", "question_id", "slug", label.alias("label"))
 
 
-def review_candidates(topics_due: DataFrame, questions: DataFrame, seen: DataFrame, seed: str, need: int = DAILY_LIMIT) -> DataFrame:
-    """Best `need` items to review per (user_id, slug, group_pos) row of `topics_due`.
+def review_candidates(topics_due: DataFrame, questions: DataFrame, seen: DataFrame, seed: str, need: int | None = None) -> DataFrame:
+    """The items to review per (user_id, slug, group_pos) row of `topics_due`, best first; the best `need` if it is given.
 
     Order: items where the topic is primary, then secondary; within each, unseen ones in random
     order, then seen ones by oldest last sight; annulled items never.
@@ -182,30 +213,47 @@ def review_candidates(topics_due: DataFrame, questions: DataFrame, seen: DataFra
         .join(due, ["user_id", "slug"])
         .select("user_id", "slug", "group_pos", "secondary", "question_id", "last_seen")
     )
+    met = materialize(met, "met")
     skips = met.groupBy("user_id", "slug", "secondary").agg(F.count("*").alias("skip"))
     requests = (
         due.withColumn("secondary", F.explode(F.array(F.lit(False), F.lit(True))))
         .join(skips, ["user_id", "slug", "secondary"], "left")
         .fillna(0, ["skip"])
-        .withColumn("need", F.lit(need).cast("bigint"))
+        .withColumn("need", F.lit(need or (1 << 60)).cast("bigint"))
     )
+    if need is None:
+        requests = requests.drop("skip")  # all steps in one pass
     strata = ["slug", "secondary"]
-    fresh = (
-        walk(requests, ring(rows, strata, seed), strata, seed)
-        .join(seen.select("user_id", "question_id"), ["user_id", "question_id"], "left_anti")
-        .withColumn("last_seen", F.lit(None).cast("bigint"))
-        .select(*met.columns, "_step")
-    )
+    accept = lambda r: r.join(met.select("user_id", "slug", "question_id"), ["user_id", "slug", "question_id"], "left_anti")
+    fresh = draw(requests, ring(rows, strata, seed), strata, seed, accept)
+    fresh = fresh.join(due, ["user_id", "slug"]).withColumn("last_seen", F.lit(None).cast("bigint")).select(*met.columns, "_step")
     old = met.withColumn("_step", F.lit(0).cast("bigint"))
     w = W.partitionBy("user_id", "slug").orderBy(
         "secondary", F.col("last_seen").isNotNull(), "last_seen", "_step", "question_id"
     )
-    return (
-        fresh.unionByName(old)
-        .withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= need)
-        .select("user_id", "slug", "group_pos", "rank", "question_id", "secondary", F.col("last_seen").isNull().alias("unseen"))
-    )
+    out = fresh.unionByName(old).withColumn("rank", F.row_number().over(w))
+    if need is not None:
+        out = out.filter(F.col("rank") <= need)
+    return out.select("user_id", "slug", "group_pos", "rank", "question_id", "secondary", F.col("last_seen").isNull().alias("unseen"))
+
+
+def topic_review(topics_due: DataFrame, questions: DataFrame, seen: DataFrame, seed: str, limit: int = DAILY_LIMIT,
+                 topics: DataFrame | None = None, dedupe: bool = False) -> DataFrame:
+    """Review exam over the due topics (user_id, slug, due_at), interleaved in a random order of topics, with its label.
+
+    The label names up to two topics in due order, else their number. As many candidates of a topic as the exam has
+    places are drawn, or all of them with `dedupe`, which may refuse any number.
+    """
+    due = materialize(topics_due.withColumn("group_pos", fx.hash_order(seed, "user_id", "slug")), "due-topics")
+    ranked = review_candidates(due, questions, seen, seed, None if dedupe else limit)
+    picked = with_served(topic_review_exam(ranked, limit, dedupe))
+    named = due.join(topics.select("slug", "label"), "slug", "left") if topics is not None else due.withColumn("label", F.lit(None))
+    entry = F.struct("due_at", "slug", F.coalesce("label", "slug").alias("name"))
+    # a user's due topics are at most the taxonomy
+    named = named.groupBy("user_id").agg(F.sort_array(F.collect_list(entry))["name"].alias("_names"))
+    what = F.when(F.size("_names") <= 2, F.array_join("_names", " e ")).otherwise(F.concat(F.size("_names").cast("string"), F.lit(" temas")))
+    label = F.concat(F.lit("Revisao: "), what, F.lit(" ("), F.col("served").cast("string"), F.lit("q)"))
+    return picked.join(named, "user_id").select("user_id", "pos", "question_id", "slug", label.alias("label"))
 
 
 def topic_review_exam(candidates: DataFrame, limit: int = DAILY_LIMIT, dedupe: bool = False) -> DataFrame:
@@ -233,10 +281,10 @@ def marked_exam(marks: DataFrame, questions: DataFrame, limit: int = DAILY_LIMIT
 
 
 def create_sessions(picked: DataFrame, mode: str, label: Column, now: int, correction="exam", limit_seconds=None) -> DataFrame:
-    """Empty session rows for assembled exams (`user_id`, `pos`, `question_id`)."""
+    """Empty session rows for assembled exams (`user_id`, `pos`, `question_id`). `label` may aggregate a user's rows."""
     limit = F.lit(limit_seconds).cast("int")
     return picked.groupBy("user_id").agg(
-        F.count("*").alias("n"),
+        label.alias("label"),
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "question_id"))), lambda s: s["question_id"]).alias(
             "question_ids"
         ),
@@ -244,7 +292,7 @@ def create_sessions(picked: DataFrame, mode: str, label: Column, now: int, corre
         "user_id",
         F.md5(F.concat_ws(":", "user_id", F.lit(mode), F.lit(str(now)))).alias("session_id"),
         F.lit(mode).alias("mode"),
-        label.alias("label"),
+        "label",
         F.lit(now).cast("bigint").alias("created_at"),
         F.lit(None).cast("bigint").alias("finished_at"),
         F.lit(correction).alias("correction_mode"),

@@ -24,13 +24,17 @@ def users(spark, d):
 USERS_SQL = "users AS (SELECT DISTINCT user_id FROM v_sessions)"
 
 
-def _rand(*parts):
-    return "('0x' || substr(md5(concat_ws(':', '{}', {})), 1, 8))::BIGINT".format(SEED, ", ".join(parts))
-
-
-def _dist(strata: str, start_keys: str) -> str:
-    """Distance walked from the user's starting point on the stratum's ring."""
-    return f"((place - {start_keys} % n + n) % n)"
+def _perm(name: str, src: str, *keys: str) -> str:
+    """CTE `name`: every row of `src` (with a column n) and each place of its own permutation: step, place below n."""
+    digest = f"sha256(concat_ws(':', '{SEED}', {', '.join(keys)}))"
+    ks = "[" + ", ".join(f"(('0x' || substr(h, {8 * r + 1}, 8))::BIGINT & 1073741823)" for r in range(8)) + "]"
+    sql = f"""SELECT *, step // b AS x, step % b AS y FROM (SELECT *, unnest(range(a * b)) AS step FROM (
+      SELECT *, {ks} AS ks, ceil(n / a)::BIGINT AS b FROM (SELECT *, {digest} AS h, ceil(sqrt(n::DOUBLE))::BIGINT AS a FROM ({src}))))"""
+    for r in range(8):
+        to, by, size = ("x", "y", "a") if r % 2 == 0 else ("y", "x", "b")
+        mixed = f"(({by} + ks[{r + 1}]) * ({by} + ks[{r + 1}]) % 2147483647 * 48271 % 2147483647)"
+        sql = f"SELECT * REPLACE (({to} + {mixed}) % {size} AS {to}) FROM ({sql})"
+    return f"{name} AS (SELECT * EXCLUDE (h, a, b, ks, x, y), x * b + y AS place FROM ({sql}) WHERE x * b + y < n)"
 
 
 @query("exam_year", "v_questions", """
@@ -54,11 +58,11 @@ def _shuffle(alias="pos"):
 @query("exam_random", "v_questions v_attempts v_sessions", f"""
 WITH {USERS_SQL}, hit AS (SELECT DISTINCT user_id, question_id FROM v_attempts WHERE correct),
   rng AS ({_ring_sql("SELECT question_id, area FROM v_questions WHERE NOT annulled", "area")}),
-  c AS (SELECT user_id, question_id, area, row_number() OVER (PARTITION BY user_id, area
-      ORDER BY {_dist("area", _rand("user_id", "area"))}) AS r
-    FROM users CROSS JOIN rng ANTI JOIN hit USING (user_id, question_id)
+  {_perm("perm", "SELECT user_id, area, n FROM users CROSS JOIN (SELECT DISTINCT area, n FROM rng)", "user_id", "area")},
+  c AS (SELECT user_id, question_id, area, row_number() OVER (PARTITION BY user_id, area ORDER BY step) AS r
+    FROM perm JOIN rng USING (area, place) ANTI JOIN hit USING (user_id, question_id)
     QUALIFY r <= CASE area WHEN 'matematica' THEN 20 WHEN 'fundamentos' THEN 30 WHEN 'tecnologia' THEN 20 ELSE 0 END)
-SELECT user_id, {_shuffle()}, question_id, area FROM c""")
+SELECT user_id, {_shuffle()}, question_id, area, 'Simulado aleatorio (70q)' AS label FROM c""")
 def exam_random(spark, d):
     return K.random_exam(users(spark, d), A.questions(spark, d), A.attempts(spark, d), SEED)
 
@@ -66,16 +70,28 @@ def exam_random(spark, d):
 AREAS = ["matematica", "tecnologia"]
 
 
-@query("exam_area", "v_questions v_attempts v_sessions", f"""
+def _area_sql(annulled: str, anti: str) -> str:
+    return f"""
 WITH {USERS_SQL}, hit AS (SELECT DISTINCT user_id, question_id FROM v_attempts WHERE correct),
-  rng AS ({_ring_sql("SELECT question_id, 'all' AS pool FROM v_questions WHERE NOT annulled AND area IN ('matematica', 'tecnologia')", "pool")}),
-  c AS (SELECT user_id, question_id, row_number() OVER (PARTITION BY user_id ORDER BY {_dist("pool", _rand("user_id", "pool"))}) AS r
-    FROM users CROSS JOIN rng ANTI JOIN hit USING (user_id, question_id) QUALIFY r <= 20)
-SELECT user_id, {_shuffle()}, question_id FROM c""")
+  rng AS ({_ring_sql(f"SELECT question_id, 'all' AS pool FROM v_questions WHERE {annulled} area IN ('matematica', 'tecnologia')", "pool")}),
+  {_perm("perm", "SELECT user_id, pool, n FROM users CROSS JOIN (SELECT DISTINCT pool, n FROM rng)", "user_id", "pool")},
+  c AS (SELECT user_id, question_id, row_number() OVER (PARTITION BY user_id ORDER BY step) AS r
+    FROM perm JOIN rng USING (pool, place) {anti} QUALIFY r <= 20)
+SELECT user_id, {_shuffle()}, question_id, 'Pratica: matematica, tecnologia (' || count(*) OVER (PARTITION BY user_id) || 'q)' AS label FROM c"""
+
+
+@query("exam_area", "v_questions v_attempts v_sessions", _area_sql("NOT annulled AND", "ANTI JOIN hit USING (user_id, question_id)"))
 def exam_area(spark, d):
     return K.area_exam(users(spark, d), A.questions(spark, d), A.attempts(spark, d), AREAS, 20, SEED)
 
 
+# both switches off: annulled and already correct items take part
+@query("exam_area_open", "v_questions v_attempts v_sessions", _area_sql("", ""))
+def exam_area_open(spark, d):
+    args = users(spark, d), A.questions(spark, d), A.attempts(spark, d), AREAS, 20, SEED
+    return K.area_exam(*args, exclude_annulled=False, exclude_correct=False)
+
+
 @query("quota_sample", "v_questions", f"""
 SELECT area, question_id, row_number() OVER (PARTITION BY area ORDER BY md5(concat_ws(':', '{SEED}', question_id)))::INT AS rank
 FROM v_questions QUALIFY rank <= CASE area WHEN 'matematica' THEN 20 WHEN 'fundamentos' THEN 30 WHEN 'tecnologia' THEN 20 ELSE 0 END""")
@@ -112,33 +128,40 @@ SELECTION_SQL = """sel AS (SELECT user_id, slug FROM (SELECT user_id, topics[1]
     FROM v_marks JOIN v_questions USING (question_id) WHERE resolved_at IS NULL AND len(topics) > 0 GROUP BY ALL)
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, slug) <= 3)"""
 
-TOPIC_EXAM_SQL = f"""c AS (SELECT s.user_id, s.slug, r.question_id, r.place, r.n, r.tpos FROM sel s JOIN rng r USING (slug)
+def _topic_exam_sql(selection: str, annulled: str, anti: str) -> str:
+    return f"""
+WITH {selection}, hit AS (SELECT DISTINCT user_id, question_id FROM v_attempts WHERE correct),
+  rng AS ({_ring_sql(f"SELECT question_id, slug, tpos FROM v_qtopics {annulled}", "slug")}),
+  {_perm("perm", "SELECT user_id, slug, n FROM sel JOIN (SELECT DISTINCT slug, n FROM rng) USING (slug)", "user_id", "slug")},
+  c AS (SELECT s.user_id, s.slug, r.question_id, s.step FROM perm s JOIN rng r USING (slug, place) {anti}
     WHERE NOT EXISTS (SELECT 1 FROM sel s2 JOIN v_qtopics q2 ON q2.slug = s2.slug
       WHERE s2.user_id = s.user_id AND q2.question_id = r.question_id AND q2.tpos < r.tpos)),
-  k AS (SELECT *, row_number() OVER (PARTITION BY user_id, slug ORDER BY {_dist("slug", _rand("user_id", "slug"))}) AS rank FROM c),
+  k AS (SELECT *, row_number() OVER (PARTITION BY user_id, slug ORDER BY step) AS rank FROM c),
   p AS (SELECT user_id, question_id, slug, row_number() OVER (PARTITION BY user_id
-    ORDER BY rank, md5(concat_ws(':', '{SEED}', user_id, slug)))::INT AS pos FROM k WHERE rank <= 15 QUALIFY pos <= 15)
-SELECT user_id, pos, question_id, slug FROM p"""
+    ORDER BY rank, md5(concat_ws(':', '{SEED}', user_id, slug)))::INT AS pos FROM k WHERE rank <= 15 QUALIFY pos <= 15),
+  names AS (SELECT user_id, string_agg(label, ', ' ORDER BY slug) AS names, count(*) AS m FROM sel JOIN v_topics USING (slug) GROUP BY ALL)
+SELECT user_id, pos, question_id, slug, CASE WHEN m > 1 THEN 'Intercalado: ' ELSE 'Topico: ' END || names || ' ('
+  || count(*) OVER (PARTITION BY user_id) || 'q)' AS label FROM p JOIN names USING (user_id)"""
+
 
+HIT = "ANTI JOIN hit h ON h.user_id = s.user_id AND h.question_id = r.question_id"
 
-@query("exam_topic", "v_marks v_qtopics v_questions", f"""
-WITH {SELECTION_SQL}, rng AS ({_ring_sql("SELECT question_id, slug, tpos FROM v_qtopics WHERE NOT annulled", "slug")}),
-{TOPIC_EXAM_SQL}""")
+
+@query("exam_topic", "v_marks v_qtopics v_questions v_attempts v_topics", _topic_exam_sql(SELECTION_SQL, "WHERE NOT annulled", ""))
 def exam_topic(spark, d):
-    return K.topic_exam(selections(spark, d), A.questions(spark, d), 15, SEED)
+    return K.topic_exam(selections(spark, d), A.questions(spark, d), 15, SEED, topics=A.topics(spark, d))
 
 
 # every user also selects one of the type topics, so that items carry two selected topics
-@query("exam_topic_overlap", "v_marks v_qtopics v_questions v_attempts", f"""
-WITH {SELECTION_SQL.replace("sel AS", "sel0 AS")},
-  sel AS (SELECT * FROM sel0 UNION SELECT DISTINCT user_id, 'PROMO' FROM sel0),
-  hit AS (SELECT DISTINCT user_id, question_id FROM v_attempts WHERE correct),
-  rng AS ({_ring_sql("SELECT question_id, slug, tpos FROM v_qtopics WHERE NOT annulled", "slug")}),
-{TOPIC_EXAM_SQL.replace("WHERE NOT EXISTS", "ANTI JOIN hit h ON h.user_id = s.user_id AND h.question_id = r.question_id WHERE NOT EXISTS", 1)}""")
+@query("exam_topic_overlap", "v_marks v_qtopics v_questions v_attempts v_topics", _topic_exam_sql(
+    SELECTION_SQL.replace("sel AS", "sel0 AS") + ", sel AS (SELECT * FROM sel0 UNION SELECT DISTINCT user_id, 'PROMO' FROM sel0)",
+    "", HIT).replace("JOIN v_topics USING (slug)", "LEFT JOIN v_topics USING (slug)").replace("string_agg(label,", "string_agg(coalesce(label, slug),"))
 def exam_topic_overlap(spark, d):
     sel = selections(spark, d)
     sel = sel.union(sel.select("user_id", F.lit("PROMO"))).distinct()
-    return K.topic_exam(sel, A.questions(spark, d), 15, SEED, K.correct_items(A.attempts(spark, d)))
+    return K.topic_exam(
+        sel, A.questions(spark, d), 15, SEED, A.attempts(spark, d), A.topics(spark, d), exclude_annulled=False, exclude_correct=True
+    )
 
 
 @query("exam_srs", "v_srs", f"""
@@ -155,40 +178,40 @@ def exam_srs(spark, d):
     )
 
 
-CANDIDATE_SQL = f"""due AS (SELECT user_id, slug, row_number() OVER (PARTITION BY user_id ORDER BY due_at, slug) AS gp
+CANDIDATE_SQL = f"""due AS (SELECT user_id, slug, due_at, md5(concat_ws(':', '{SEED}', user_id, slug)) AS gp
     FROM v_topic_srs WHERE due_at <= {NOW}),
   seen AS (SELECT user_id, question_id, max(timestamp) AS last_seen FROM v_attempts GROUP BY ALL),
   rng AS ({_ring_sql("SELECT question_id, slug, tpos > 0 AS secondary FROM v_qtopics WHERE NOT annulled", "slug, secondary")}),
+  {_perm("perm", "SELECT user_id, slug, gp, secondary, n FROM due JOIN (SELECT DISTINCT slug, secondary, n FROM rng) USING (slug)",
+         "user_id", "slug", "secondary")},
   cand AS (SELECT user_id, slug, gp, question_id, secondary, last_seen IS NULL AS unseen,
     row_number() OVER (PARTITION BY user_id, slug ORDER BY secondary, last_seen IS NOT NULL, last_seen,
-      CASE WHEN last_seen IS NULL THEN {_dist("", _rand("user_id", "slug", "secondary"))} ELSE 0 END, question_id)::INT AS rank
-    FROM due JOIN rng USING (slug) LEFT JOIN seen USING (user_id, question_id) QUALIFY rank <= 20)"""
+      CASE WHEN last_seen IS NULL THEN step ELSE 0 END, question_id)::INT AS rank
+    FROM perm JOIN rng USING (slug, secondary, place) LEFT JOIN seen USING (user_id, question_id))"""
 
 
 def due_topics(spark, d):
     # every due topic takes part in the interleave: no cap on topics
-    from pyspark.sql import Window as W
-
-    due = A.topic_srs(spark, d).filter(F.col("due_at") <= A.NOW)
-    w = W.partitionBy("user_id").orderBy("due_at", "slug")
-    return due.withColumn("group_pos", F.row_number().over(w)).select("user_id", "slug", "group_pos")
-
-
-def candidates(spark, d):
-    return K.review_candidates(due_topics(spark, d), A.questions(spark, d), H.last_seen(A.attempts(spark, d)), SEED)
+    return A.topic_srs(spark, d).filter(F.col("due_at") <= A.NOW).select("user_id", "slug", "due_at")
 
 
 @query("review_candidates", "v_topic_srs v_qtopics v_attempts", f"""
 WITH {CANDIDATE_SQL} SELECT user_id, slug, rank, question_id, secondary, unseen FROM cand""")
 def review_candidates(spark, d):
-    return candidates(spark, d).drop("group_pos")
+    due = due_topics(spark, d).withColumn("group_pos", fx.hash_order(SEED, "user_id", "slug"))
+    return K.review_candidates(due, A.questions(spark, d), H.last_seen(A.attempts(spark, d)), SEED).drop("group_pos")
 
 
-@query("exam_topic_srs", "v_topic_srs v_qtopics v_attempts", f"""
-WITH {CANDIDATE_SQL} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rank, gp)::INT AS pos, question_id, slug
-FROM cand QUALIFY pos <= 20""")
+@query("exam_topic_srs", "v_topic_srs v_qtopics v_attempts v_topics", f"""
+WITH {CANDIDATE_SQL}, p AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY rank, gp)::INT AS pos, question_id, slug
+  FROM cand QUALIFY pos <= 20),
+names AS (SELECT user_id, CASE WHEN count(*) <= 2 THEN string_agg(label, ' e ' ORDER BY due_at, slug) ELSE count(*) || ' temas' END AS names
+  FROM due JOIN v_topics USING (slug) GROUP BY user_id)
+SELECT user_id, pos, question_id, slug, 'Revisao: ' || names || ' (' || count(*) OVER (PARTITION BY user_id) || 'q)' AS label
+FROM p JOIN names USING (user_id)""")
 def exam_topic_srs(spark, d):
-    return K.topic_review_exam(candidates(spark, d))
+    seen = H.last_seen(A.attempts(spark, d))
+    return K.topic_review(due_topics(spark, d), A.questions(spark, d), seen, SEED, topics=A.topics(spark, d))
 
 
 @query("exam_marked", "v_marks v_questions", """
@@ -200,15 +223,16 @@ def exam_marked(spark, d):
 
 
 @query("exam_session_rows", "v_marks v_questions", """
-WITH m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, question_id) AS pos, question_id
+WITH m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at, question_id) AS pos, question_id,
+    count(*) OVER (PARTITION BY user_id) AS n
   FROM v_marks SEMI JOIN v_questions USING (question_id) WHERE resolved_at IS NULL QUALIFY pos <= 20)
 SELECT user_id, md5(concat_ws(':', user_id, 'marked', '946684800000')) AS session_id, 'marked' AS mode,
-  'Marcadas (' || count(*) || 'q)' AS label, 946684800000::BIGINT AS created_at,
+  'Marcadas (' || count(*) || CASE WHEN n > count(*) THEN ' de ' || n ELSE '' END || 'q)' AS label, 946684800000::BIGINT AS created_at,
   'study' AS correction_mode, 0::BIGINT AS elapsed_seconds,
-  string_agg(question_id::VARCHAR, ',' ORDER BY pos) AS question_ids FROM m GROUP BY user_id""")
+  string_agg(question_id::VARCHAR, ',' ORDER BY pos) AS question_ids FROM m GROUP BY user_id, n""")
 def exam_session_rows(spark, d):
     picked = K.marked_exam(A.marks(spark, d), A.questions(spark, d))
-    label = F.concat(F.lit("Marcadas ("), F.col("n").cast("string"), F.lit("q)"))
+    label = K.truncation_label("Marcadas", F.count("*"), F.max("open_total"))
     s = K.create_sessions(picked, "marked", label, A.NOW, correction="study")
     # new sessions are unfinished and reviews untimed: both columns are always null here
     s = s.drop("finished_at", "time_limit_seconds")
