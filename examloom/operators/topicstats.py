@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import core as fx
+from ..session import materialize
 
 # How many latest exams count as recent, minimum answers, assumed accuracy.
 RECENT_EXAMS = 5
@@ -80,10 +81,19 @@ def topic_stats(questions: DataFrame, topics: DataFrame, latest: DataFrame) -> D
     return _derive(_with_exam_counts(joined, questions)).select(*STAT_COLUMNS)
 
 
-def user_topic_stats(questions: DataFrame, latest: DataFrame) -> DataFrame:
-    """Accuracy and priority for every (user, topic) the user has answered."""
+def default_stats(questions: DataFrame, topics: DataFrame) -> DataFrame:
+    """The topic table of somebody without any history: what every user's untouched topics share."""
+    zero = F.lit(0).cast("bigint")
+    counted = topic_rows(questions).groupBy("slug").agg(*_incidence(questions))
+    joined = topics.join(counted, "slug", "left").fillna(0, ["primary_count", "total_count", "recent_primary"])
+    joined = joined.withColumn("answered", zero).withColumn("correct", zero)
+    return _derive(_with_exam_counts(joined, questions)).select(*STAT_COLUMNS)
+
+
+def user_topic_stats(questions: DataFrame, topics: DataFrame, latest: DataFrame) -> DataFrame:
+    """The topic table's rows for every (user, topic) that the user has answered; all others are as in `default_stats`."""
     rows = topic_rows(questions)
-    incidence = rows.groupBy("slug").agg(*_incidence(questions))
+    incidence = topics.join(rows.groupBy("slug").agg(*_incidence(questions)), "slug")
     touched = (
         latest.filter("answer is not null")
         .select("user_id", "question_id", "correct")
@@ -92,9 +102,61 @@ def user_topic_stats(questions: DataFrame, latest: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("answered"), F.count_if("correct").alias("correct"))
     )
     joined = touched.join(incidence, "slug")
-    return _derive(_with_exam_counts(joined, questions)).select(
-        "user_id", "slug", "total_count", "answered", "correct", "accuracy", "priority", "priority_is_estimate"
-    )
+    return _derive(_with_exam_counts(joined, questions)).select("user_id", *STAT_COLUMNS)
+
+
+def user_top(users: DataFrame, touched: DataFrame, defaults: DataFrame, key: str, n: int, area: str | None = None,
+             occurring: bool = True) -> DataFrame:
+    """The first `n` rows of each user's topic table under a sort key, with their `rank`.
+
+    No user meets the whole taxonomy. The untouched topics stand in one order for everybody, so a user's best untouched
+    ones are the first `n` places of it that the user has not touched: with t(j) the place of the j-th touched topic,
+    those with t(j) - j < n come before the n-th untouched one, and so many places have to be read on. These and the
+    touched topics are merged: n + touched rows per user. `occurring` leaves out topics without items.
+    """
+    def shown(stats: DataFrame) -> DataFrame:
+        stats = stats.filter("total_count > 0") if occurring else stats
+        return stats if area is None else stats.filter(F.col("area") == area)
+
+    # taxonomy-sized, one order for all users
+    places = shown(defaults).withColumn("_t", F.row_number().over(W.orderBy(*sort_keys(key))))
+    places = materialize(places, "topic-places")
+    mine = shown(touched).join(places.select("slug", "_t"), "slug")
+    j = F.row_number().over(W.partitionBy("user_id").orderBy("_t"))
+    before = mine.select("user_id", "_t", j.alias("_j")).filter(F.col("_t") - F.col("_j") < n)
+    before = before.groupBy("user_id").agg(F.collect_list("_t").alias("_ts"))  # at most the taxonomy
+    none = F.array().cast("array<int>")
+    open_ = users.select("user_id").join(before, "user_id", "left").withColumn("_ts", F.coalesce("_ts", none))
+    free = F.array_except(F.sequence(F.lit(1), F.lit(n) + F.size("_ts")), "_ts")
+    open_ = open_.select("user_id", F.explode(free).alias("_t")).join(places, "_t").drop("_t")
+    both = open_.select("user_id", *STAT_COLUMNS).unionByName(mine.select("user_id", *STAT_COLUMNS))
+    rank = F.row_number().over(W.partitionBy("user_id").orderBy(*sort_keys(key)))
+    return both.withColumn("rank", rank).filter(F.col("rank") <= n)
+
+
+def user_chart(users: DataFrame, touched: DataFrame, defaults: DataFrame, key: str = "priority", n: int = 12,
+               area: str | None = None) -> DataFrame:
+    """`chart_rows` of every user."""
+    value = F.col("per_exam_recent" if key == "recent" else "per_exam")
+    top = user_top(users, touched, defaults, key, n, area).withColumn("value", value)
+    peak = F.greatest(F.lit(1.0), F.max("value").over(W.partitionBy("user_id")))
+    return top.select("user_id", "rank", "slug", "label", "area", "value", (F.col("value") / peak).alias("bar"))
+
+
+def user_study_plan(users: DataFrame, touched: DataFrame, defaults: DataFrame, n: int = 3) -> DataFrame:
+    """`study_plan` of every user. The total starts from the one of the untouched table and is corrected by what is touched."""
+    exact = F.col("priority").cast("decimal(20,12)")  # leaves the sums their digits
+    touched = materialize(touched, "touched")
+    base = defaults.agg(F.coalesce(F.sum(exact), F.lit(0).cast("decimal(30,12)"))).scalar()
+    change = touched.select("user_id", "slug", exact.alias("now")).join(defaults.select("slug", exact.alias("was")), "slug")
+    change = change.groupBy("user_id").agg(F.sum(F.col("now") - F.col("was")).alias("_change"))
+    top = user_top(users, touched, defaults, "priority", n, occurring=False).join(change, "user_id", "left")
+    total = base + F.coalesce("_change", F.lit(0).cast("decimal(30,12)"))
+    floor = F.greatest(F.lit(0.01), F.max("priority").over(W.partitionBy("user_id")))
+    return top.select(
+        "user_id", "rank", "slug", "label", "priority", "priority_is_estimate", total.cast("double").alias("total_priority"),
+        (F.col("priority") / floor).alias("bar"),
+    )
 
 
 def sort_keys(key: str) -> list:
@@ -156,8 +218,10 @@ def topic_years(questions: DataFrame) -> DataFrame:
     return counts.join(peak, "slug")
 
 
-def topic_year_matrix(questions: DataFrame, years: list[int]) -> DataFrame:
-    """Wide form of :func:`topic_years`; the year list is fixed so no extra pass is needed."""
+def topic_year_matrix(questions: DataFrame, years: list[int] | None = None) -> DataFrame:
+    """Wide form of :func:`topic_years`: one column per exam year, of all years in the items unless a list is given."""
+    if years is None:  # as many as there are exams
+        years = sorted(r.year for r in questions.select("year").distinct().collect())
     return (
         topic_rows(questions)
         .filter("tpos = 0")

@@ -8,6 +8,7 @@ from ..functions import core as fx
 from ..operators import history as H
 from ..operators import scoring as S
 from ..operators import topicstats as T
+from ..session import materialize
 from ..sources import adapters as A
 from .registry import query
 from .views import NOW
@@ -48,21 +49,77 @@ def topic_stats(spark, d):
     return pooled_stats(spark, d)
 
 
-@query("user_topic_stats", "v_latest v_qtopics v_questions", """
-WITH yrs AS (SELECT count(DISTINCT year) AS n FROM v_questions),
+def touched(spark, d):
+    return T.user_topic_stats(A.questions(spark, d), A.topics(spark, d), H.latest_attempt(A.attempts(spark, d)))
+
+
+def everybody(spark, d):
+    """Users, what they have touched, and the untouched table."""
+    users = A.sessions(spark, d).select("user_id").distinct()
+    return users, touched(spark, d), T.default_stats(A.questions(spark, d), A.topics(spark, d))
+
+
+def _user_stats_sql(members: str) -> str:
+    """The topic table of every (user, topic) in `members`, a full product in the oracles below."""
+    return f"""WITH yrs AS (SELECT count(DISTINCT year) AS n FROM v_questions),
   recent AS (SELECT DISTINCT year FROM v_questions ORDER BY year DESC LIMIT 5),
-  inc AS (SELECT slug, count(*) AS total_count, count(*) FILTER (tpos = 0) / (SELECT n FROM yrs) AS pe,
-      count(*) FILTER (tpos = 0 AND year IN (SELECT year FROM recent)) / (SELECT count(*) FROM recent) AS per
-    FROM v_qtopics GROUP BY slug),
-  t AS (SELECT user_id, slug, count(*) AS answered, count(*) FILTER (correct) AS correct
+  inc AS (SELECT t.slug, t.label, t.area, count(q.slug) AS total_count, count(*) FILTER (tpos = 0) AS primary_count,
+      count(*) FILTER (tpos = 0 AND year IN (SELECT year FROM recent)) AS recent_primary
+    FROM v_topics t LEFT JOIN v_qtopics q USING (slug) GROUP BY ALL),
+  hits AS (SELECT user_id, slug, count(*) AS answered, count(*) FILTER (correct) AS correct
     FROM v_latest JOIN v_qtopics USING (question_id) WHERE answer IS NOT NULL GROUP BY ALL),
-  a AS (SELECT t.*, total_count, pe, per, CASE WHEN answered >= 4 THEN correct / answered END AS accuracy
-    FROM t JOIN inc USING (slug))
-SELECT user_id, slug, total_count, answered, correct, accuracy,
-  (pe + 2 * per) / 3 * (1 - coalesce(accuracy, 0.5::DOUBLE)) AS priority, accuracy IS NULL AS priority_is_estimate
-FROM a""")
+  a AS (SELECT user_id, inc.slug, label, area, primary_count, total_count, primary_count / (SELECT n FROM yrs) AS per_exam,
+      recent_primary / (SELECT count(*) FROM recent) AS per_exam_recent, coalesce(answered, 0) AS answered,
+      coalesce(correct, 0) AS correct, CASE WHEN answered >= 4 THEN correct / answered END AS accuracy FROM {members}),
+  stats AS (SELECT *, per_exam_recent - per_exam AS trend,
+      (per_exam + 2 * per_exam_recent) / 3 * (1 - coalesce(accuracy, 0.5::DOUBLE)) AS priority,
+      accuracy IS NULL AS priority_is_estimate FROM a)
+"""
+
+
+PRODUCT = "(SELECT DISTINCT user_id FROM v_sessions) u CROSS JOIN inc LEFT JOIN hits USING (user_id, slug)"
+USER_VIEWS = "v_latest v_qtopics v_topics v_questions v_sessions"
+TABLE = "user_id, slug, label, area, primary_count, total_count, per_exam, per_exam_recent, trend, answered, correct, accuracy, priority, priority_is_estimate"
+
+
+@query("user_topic_stats", USER_VIEWS, _user_stats_sql("hits JOIN inc USING (slug)") + f"SELECT {TABLE} FROM stats")
 def user_topic_stats(spark, d):
-    return T.user_topic_stats(A.questions(spark, d), H.latest_attempt(A.attempts(spark, d)))
+    return touched(spark, d)
+
+
+def _user_top_sql(key: str, expr: str, n: int, where: str = "") -> str:
+    return f"""SELECT '{key}' AS sort_key, row_number() OVER (PARTITION BY user_id ORDER BY {expr}, slug)::INT AS rank, {TABLE}
+      FROM stats WHERE total_count > 0 {where} QUALIFY rank <= {n}"""
+
+
+# the table's first rows under three sort keys, one of them within an area
+@query("user_topic_rank", USER_VIEWS, _user_stats_sql(PRODUCT) + " UNION ALL ".join([
+    _user_top_sql("priority", "priority DESC", 10), _user_top_sql("accuracy", "accuracy ASC NULLS LAST", 10),
+    _user_top_sql("trend", "trend DESC", 5, "AND area = 'fundamentos'")]))
+def user_topic_rank(spark, d):
+    users, mine, defaults = (materialize(x, "user-topics") for x in everybody(spark, d))
+    parts = [
+        T.user_top(users, mine, defaults, key, n, area).select(F.lit(key).alias("sort_key"), "rank", "user_id", *T.STAT_COLUMNS)
+        for key, n, area in (("priority", 10, None), ("accuracy", 10, None), ("trend", 5, "fundamentos"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("user_topic_chart", USER_VIEWS, _user_stats_sql(PRODUCT) + """, top AS (SELECT *,
+    row_number() OVER (PARTITION BY user_id ORDER BY per_exam_recent DESC, slug)::INT AS rank FROM stats WHERE total_count > 0 QUALIFY rank <= 12)
+SELECT user_id, rank, slug, label, area, per_exam_recent AS value,
+  per_exam_recent / greatest(1.0::DOUBLE, max(per_exam_recent) OVER (PARTITION BY user_id)) AS bar FROM top""")
+def user_topic_chart(spark, d):
+    return T.user_chart(*everybody(spark, d), key="recent")
+
+
+@query("user_study_plan", USER_VIEWS, _user_stats_sql(PRODUCT) + """, top AS (SELECT user_id, slug, label, priority, priority_is_estimate,
+    row_number() OVER (PARTITION BY user_id ORDER BY priority DESC, slug)::INT AS rank,
+    sum(priority::DECIMAL(38,12)) OVER (PARTITION BY user_id)::DOUBLE AS total_priority FROM stats QUALIFY rank <= 3)
+SELECT user_id, rank, slug, label, priority, priority_is_estimate, total_priority,
+  priority / greatest(0.01::DOUBLE, max(priority) OVER (PARTITION BY user_id)) AS bar FROM top""")
+def user_study_plan(spark, d):
+    return T.user_study_plan(*everybody(spark, d))
 
 
 TOPIC_VIEWS = "v_attempts v_qtopics v_topics v_questions"
@@ -103,6 +160,7 @@ def topic_year_counts(spark, d):
     return T.topic_years(A.questions(spark, d))
 
 
+# SQL can't name columns by the data: these are the years that the stand-in items have
 EXAM_YEARS = list(range(2002, 2024))
 
 
@@ -110,7 +168,7 @@ EXAM_YEARS = list(range(2002, 2024))
        + ", ".join(f'count(*) FILTER (year = {y}) AS "{y}"' for y in EXAM_YEARS)
        + " FROM v_qtopics WHERE tpos = 0 GROUP BY slug")
 def topic_year_matrix(spark, d):
-    return T.topic_year_matrix(A.questions(spark, d), EXAM_YEARS)
+    return T.topic_year_matrix(A.questions(spark, d))
 
 
 @query("coverage", "v_questions", """
