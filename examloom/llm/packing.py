@@ -225,6 +225,8 @@ def pack(
     names = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(text).alias("_t"))
     size = len(keys)
+    longest = max(1, min(longest, window // 2))  # else a window might end at no place at all
+    stride = min(stride, longest)
 
     def run(it):
         part = TaskContext.get().partitionId() << 32
