@@ -42,6 +42,46 @@ def auto_finish(spark, d):
     return E.auto_finish(e, 300)
 
 
+def on_screen(spark, d):
+    return E.in_sessions(A.events(spark, d), A.screens(spark, d))
+
+
+# every event with its session; null outside any session
+@query("session_events", "v_screen_events", "SELECT event_id, user_id, ts_us, session_id, limit_seconds FROM v_screen_events")
+def session_events(spark, d):
+    return on_screen(spark, d).select("event_id", "user_id", "ts_us", "session_id", "limit_seconds")
+
+
+@query("session_dwell", "v_screen_events", """
+SELECT user_id, session_id, item, sum(coalesce(nxt, end_us, ts_us) - ts_us)::BIGINT / 1000000.0::DOUBLE AS seconds, count(*) AS visits
+FROM (SELECT *, lead(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us, event_id) AS nxt FROM v_screen_events
+  WHERE session_id IS NOT NULL) GROUP BY user_id, session_id, item""")
+def session_dwell(spark, d):
+    return E.dwell_time(on_screen(spark, d).filter("session_id is not null"), E.SESSION)
+
+
+@query("session_absences", "v_screen_events", """
+WITH e AS (SELECT *, count(*) FILTER (type = 'view') OVER (PARTITION BY session_id ORDER BY ts_us, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g
+    FROM v_screen_events WHERE type IN ('error', 'view') AND limit_seconds IS NOT NULL),
+  p AS (SELECT user_id, session_id, g, min(ts_us) FILTER (type = 'error') AS since_us, max(ts_us) FILTER (type = 'view') AS back_us
+    FROM e GROUP BY ALL)
+SELECT user_id, session_id, since_us, back_us, floor((back_us // 1000 - since_us // 1000) / 1000 + 0.5::DOUBLE)::BIGINT AS seconds
+FROM p WHERE since_us IS NOT NULL AND back_us IS NOT NULL AND seconds >= 1""")
+def session_absences(spark, d):
+    return E.session_absences(on_screen(spark, d), leave="error", back="view")
+
+
+@query("session_timeout", "v_screen_events", """
+WITH e AS (SELECT *, sum(floor(value)::BIGINT) OVER (PARTITION BY session_id ORDER BY ts_us, event_id)::BIGINT AS elapsed
+    FROM v_screen_events WHERE session_id IS NOT NULL)
+SELECT user_id, session_id, ts_us AS finished_us, elapsed FROM e WHERE limit_seconds > 0 AND elapsed >= limit_seconds
+QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY ts_us, event_id) = 1""")
+def session_timeout(spark, d):
+    e = on_screen(spark, d).filter("session_id is not null").withColumn("seconds", F.floor("value").cast("bigint"))
+    return E.auto_finish(e, keys=E.SESSION)
+
+
 BURST_SQL = f"""b AS (SELECT *, sum(CASE WHEN ts_us - p < {DELAY_US} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS g
     FROM (SELECT *, lag(ts_us) OVER (PARTITION BY user_id ORDER BY ts_us, event_id) AS p FROM v_events)),
   bursts AS (SELECT user_id, min(ts_us) AS burst_us, count(*) AS changes, arg_max(item, (ts_us, event_id)) AS item,

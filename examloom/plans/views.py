@@ -79,6 +79,16 @@ VIEWS: dict[str, tuple[str, str]] = {
     "v_events": ("", """
         SELECT event_id, user_id, epoch_us(ts) AS ts_us, (props::JSON ->> '$.k')::INT AS item, event_type AS type, value
         FROM events"""),
+    "v_screens": ("", """
+        SELECT user_id, session_id, start_us, CASE WHEN st <> 'P' THEN start_us + (session_id % 60 + 1) * 3600000000 END AS end_us,
+          limit_seconds
+        FROM (SELECT o_custkey AS user_id, o_orderkey AS session_id, o_orderstatus AS st,
+          (1704067200 + date_diff('day', DATE '1995-01-01', o_orderdate::DATE) * 1080 + o_orderkey % 1080) * 1000000 AS start_us,
+          CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderkey % 240 + 60 END AS limit_seconds FROM orders)"""),
+    "v_screen_events": ("v_events v_screens", """
+        SELECT e.*, s.* EXCLUDE (user_id) FROM v_events e LEFT JOIN v_screens s
+          ON s.user_id = e.user_id AND s.start_us <= e.ts_us AND (s.end_us IS NULL OR e.ts_us < s.end_us)
+        QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY s.start_us DESC NULLS LAST, s.session_id DESC) = 1"""),
 }
 
 

@@ -221,6 +221,21 @@ def events(spark, d) -> DataFrame:
     )
 
 
+def screens(spark, d) -> DataFrame:
+    """Sessions in the time of the event log: a day of orders is 18 minutes of January 2024; some overlap, some are open."""
+    o = table(spark, d, "orders")
+    day = F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
+    start = (F.lit(1_704_067_200) + day * 1080 + F.col("o_orderkey") % 1080) * 1_000_000
+    hours = F.col("o_orderkey") % 60 + 1
+    return o.select(
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_orderkey").alias("session_id"),
+        start.alias("start_us"),
+        F.when(F.col("o_orderstatus") != "P", start + hours * 3_600_000_000).alias("end_us"),
+        F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderkey") % 240 + 60).alias("limit_seconds"),
+    )
+
+
 # ---------------------------------------------------------------- documents as words and keys
 
 LINES_PER_PAGE = 40
