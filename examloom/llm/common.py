@@ -5,7 +5,9 @@ from __future__ import annotations
 import pickle
 import zlib
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -76,18 +78,21 @@ def blobs(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def chunks(batches, column: str = "text", most: int = 8 << 20):
-    """Cut record batches so that a piece holds about `most` bytes of text (one row at least)."""
+def chunks(batches, column: str = "text", most: int = 2 << 20):
+    """Cut record batches so that a piece holds about `most` bytes of text (one row at least).
+
+    Pieces are cut by the texts' lengths alone and turned into Python bytes one at a time.
+    """
     for batch in batches:
-        texts, start, size = blobs(batch, column), 0, 0
-        for i, t in enumerate(texts):
-            n = len(t or b"")
-            if size and size + n > most:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        upto = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(upto):
+            held = upto[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(upto, held + most, side="right")))
+            piece = batch.slice(start, stop - start)
+            yield piece, blobs(piece, column)
+            start = stop
+        pa.default_memory_pool().release_unused()
 
 
 def crc(value) -> int:
