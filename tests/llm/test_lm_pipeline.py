@@ -102,5 +102,5 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = [n for n in __spark_entry__.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in __spark_entry__.queries() and len(quality.FEATURES) == len(set(quality.FEATURES))
