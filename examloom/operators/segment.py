@@ -154,9 +154,16 @@ def best_tolerance(stats: DataFrame) -> DataFrame:
     return best.select("doc_id", "pattern", "_b.*")
 
 
-def choose_pattern(best: DataFrame) -> DataFrame:
-    """Per document: the word pattern from five anchors on, else the longest clean list, else the longest."""
-    usable = best.filter((F.col("pattern") != "questao") | (F.col("n") >= MIN_WORD_ANCHORS))
+def choose_pattern(best: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """Per document: the word pattern from five anchors on, else the longest clean list, else the longest.
+
+    `forced` (doc_id, forced) names the pattern of some documents, which is then taken however many anchors it has.
+    """
+    usable = (F.col("pattern") != "questao") | (F.col("n") >= MIN_WORD_ANCHORS)
+    if forced is not None:
+        best = best.join(forced, "doc_id", "left")
+        usable = F.coalesce(F.col("forced") == F.col("pattern"), usable)
+    usable = best.filter(usable)
     order = F.array_position(F.array(*[F.lit(p) for p in PATTERNS]), F.col("pattern"))
     score = F.struct(F.col("pattern") == "questao", "clean", "n", -order)
     c = usable.groupBy("doc_id").agg(F.max_by(F.struct("pattern", "tol", "n", "clean"), score).alias("_c"))

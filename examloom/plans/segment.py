@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..operators import answerkey as Q
+from ..operators import sections as B
 from ..operators import segment as O
 from ..session import materialize
 from ..sources import adapters as A
@@ -239,22 +242,93 @@ def key_reconcile(spark, d):
     return Q.reconcile(found, Q.parse_best(keys(spark, d), expected(spark, d)))
 
 
-# documents stand for exam years; even documents come from a section with an explicit area
-@query("assemble_bank", "v_key v_expected v_classified", """
-SELECT printf('%d-%02d', doc_id, number) AS id, doc_id::INT AS year, number,
-  coalesce(CASE WHEN doc_id % 2 = 0 THEN 'fundamentos' END, CASE WHEN number <= 20 THEN 'matematica'
-    WHEN number <= CASE WHEN doc_id <= 2007 THEN 40 ELSE 50 END THEN 'fundamentos' WHEN number <= 70 THEN 'tecnologia'
-    ELSE 'desconhecida' END) AS area,
-  printf('questions/%d/q%02d.webp', doc_id, number) AS image, answer, coalesce(annulled, FALSE) AS annulled,
+# ---------------------------------------------------------------- sections
+
+VIEWS["v_sections"] = ("", """SELECT doc_id * 2 + k AS section_id, doc_id::INT AS year, doc_id, CASE WHEN k = 0 THEN 0 ELSE mid END AS page_from,
+    CASE WHEN k = 0 THEN mid END AS page_to, CASE WHEN k = 0 AND doc_id % 3 = 0 THEN 'matematica' END AS area,
+    CASE WHEN doc_id % 4 <> 2 THEN 'auto' WHEN k = 0 THEN 'ocr' ELSE 'bare' END AS pattern
+  FROM (SELECT doc_id, greatest(1, n // 2)::BIGINT AS mid, unnest(CASE WHEN n > 1 THEN [0, 1] ELSE [0] END) AS k
+    FROM (SELECT doc_id, ceil(len(string_split(text, chr(10))) / 40)::BIGINT AS n FROM documents) WHERE n > 0)""")
+VIEWS["v_swords"] = ("v_words v_sections", """SELECT s.section_id AS doc_id, w.page, word_no, text, x0, y0
+  FROM v_words w JOIN v_sections s ON s.doc_id = w.doc_id AND w.page >= s.page_from AND (s.page_to IS NULL OR w.page < s.page_to)""")
+VIEWS["v_stokens"] = ("v_swords", r"""SELECT doc_id, page, word_no, y0, x0, 'ocr' AS pattern, number, 0 AS prank FROM (
+    SELECT doc_id, page, pos AS word_no, regexp_extract(text, '^(\d{1,2})', 1)::BIGINT AS number, lft / 2.0::DOUBLE AS x0, top / 2.0::DOUBLE AS y0
+    FROM (SELECT *, lead(text) OVER w AS nt, lead(lft) OVER w AS nl, lead(line) OVER w AS nline
+      FROM (SELECT doc_id, page, word_no AS pos, trim(text) AS text, floor(x0 * 2)::INT AS lft, floor(y0 * 2)::INT AS top,
+        floor((y0 - 50) / 18)::INT AS line FROM v_swords)
+      WINDOW w AS (PARTITION BY doc_id, page ORDER BY pos))
+    WHERE regexp_full_match(text, '\d{1,2}[.\-]')
+      OR (regexp_full_match(text, '\d{1,2}') AND nt IN ('-', '.') AND line = nline AND nl - (lft + 18) BETWEEN 0 AND 20))""")
+
+
+def _of_sections(name: str) -> None:
+    """The view of a step on sections: the same text over the sections' words, tokens joining the candidates."""
+    deps, body = VIEWS[name]
+    for step in ("words", "cand", "clusters", "near", "fold", "trials", "stats", "best"):
+        deps, body = (re.sub(rf"\bv_{step}\b", f"v_s{step}", x) for x in (deps, body))
+    VIEWS[name.replace("v_", "v_s")] = deps, body
+
+
+for _name in ("v_cand", "v_clusters", "v_near", "v_fold", "v_trials", "v_stats", "v_best"):
+    _of_sections(_name)
+VIEWS["v_scand"] = ("v_swords v_stokens v_sections", f"""SELECT c.* FROM ({VIEWS["v_scand"][1]} UNION ALL SELECT * FROM v_stokens) c
+  JOIN v_sections s ON s.section_id = c.doc_id AND (s.pattern = c.pattern OR (s.pattern = 'auto' AND c.pattern <> 'ocr'))""")
+VIEWS["v_sclusters"] = (VIEWS["v_sclusters"][0], VIEWS["v_sclusters"][1].replace(
+    "(SELECT unnest([3.0, 5.0, 8.0, 12.0])::DOUBLE AS tol)", "(SELECT unnest([3.0, 5.0, 8.0, 12.0])::DOUBLE AS tol) WHERE pattern <> 'ocr' OR tol = 8"))
+VIEWS["v_schosen"] = ("v_sbest v_sections", """SELECT b.* FROM v_sbest b JOIN v_sections s ON s.section_id = b.doc_id
+  WHERE s.pattern <> 'auto' OR b.pattern <> 'questao' OR n >= 5
+  QUALIFY row_number() OVER (PARTITION BY b.doc_id ORDER BY b.pattern = 'questao' DESC, clean DESC, n DESC,
+    list_position(['dot', 'paren', 'bare', 'dotparen'], b.pattern)) = 1""")
+VIEWS["v_sanchors"] = ("v_strials v_schosen", """SELECT doc_id, pattern, page, word_no, y0, x0, number
+  FROM v_strials SEMI JOIN v_schosen USING (doc_id, pattern, tol)""")
+VIEWS["v_items_of_year"] = ("v_sanchors v_sections", """SELECT s.year, s.section_id, a.number, coalesce(s.area,
+    CASE WHEN number BETWEEN 1 AND 20 THEN 'matematica' WHEN number BETWEEN 21 AND CASE WHEN s.year <= 2007 THEN 40 ELSE 50 END THEN 'fundamentos'
+      WHEN number BETWEEN 21 AND 70 THEN 'tecnologia' ELSE 'desconhecida' END) AS area
+  FROM v_sanchors a JOIN v_sections s ON s.section_id = a.doc_id""")
+# the key's text is that of its pages: one edition, the other, or one after the other
+VIEWS["v_repaired_pages"] = ("v_key_text", r"""SELECT doc_id, regexp_replace(CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || other
+    WHEN doc_id % 2 = 0 THEN text ELSE other END, '(?i)\bo(\d)', '0\1', 'g') AS text
+  FROM (SELECT *, regexp_replace(text, '\b[A-D]\b', 'E', 'g') AS other FROM v_key_text WHERE text IS NOT NULL)""")
+VIEWS["v_year_numbers"] = ("v_items_of_year", "SELECT DISTINCT year::BIGINT AS doc_id, number FROM v_items_of_year")
+for _name in ("v_key_lines", "v_key_inline", "v_key_pairs", "v_key"):
+    _deps, _body = VIEWS[_name]
+    for _old, _new in (("v_repaired", "v_repaired_pages"), ("v_expected", "v_year_numbers"), ("v_key_lines", "v_ykey_lines"),
+                       ("v_key_inline", "v_ykey_inline"), ("v_key_pairs", "v_ykey_pairs")):
+        _deps, _body = (re.sub(rf"\b{_old}\b", _new, x) for x in (_deps, _body))
+    VIEWS[_name.replace("v_key", "v_ykey")] = _deps, _body
+
+
+def section_anchors(spark, d):
+    return B.section_anchors(words(spark, d), A.ocr_tokens(spark, d), materialize(A.sections(spark, d), "sections"))
+
+
+# section ids stand in doc_id
+query("section_anchors", "v_sanchors", "SELECT * FROM v_sanchors")(lambda spark, d: section_anchors(spark, d).drop("y1"))
+
+
+@query("section_segments", "v_sanchors", """
+SELECT doc_id, number, page, y0, word_no, lead(page) OVER w AS end_page, lead(y0) OVER w AS end_y
+FROM v_sanchors WINDOW w AS (PARTITION BY doc_id ORDER BY page, y0, word_no)""")
+def section_segments(spark, d):
+    return O.segments(materialize(section_anchors(spark, d), "anchors"))
+
+
+@query("section_items", "v_items_of_year", "SELECT * FROM v_items_of_year")
+def section_items(spark, d):
+    return B.year_items(section_anchors(spark, d), A.sections(spark, d))
+
+
+# documents stand for exam years: sections give items and areas, a range of pages the key
+@query("assemble_bank", "v_ykey v_items_of_year v_classified", """
+SELECT printf('%d-%02d', i.year, number) AS id, i.year, number, area,
+  printf('questions/%d/q%02d.webp', i.year, number) AS image, answer, coalesce(annulled, FALSE) AS annulled,
   CASE WHEN number = 1 THEN coalesce(topics, '') ELSE '' END AS topics
-FROM v_expected LEFT JOIN v_key USING (doc_id, number) LEFT JOIN v_classified USING (doc_id)""")
+FROM (SELECT *, year::BIGINT AS doc_id FROM v_items_of_year) i LEFT JOIN v_ykey USING (doc_id, number) LEFT JOIN v_classified USING (doc_id)""")
 def assemble_bank(spark, d):
     from ..functions import core as fx
     from .text import classified
 
-    year = F.col("doc_id").cast("int").alias("year")
-    section = F.when(F.col("doc_id") % 2 == 0, F.lit("fundamentos")).alias("area")
-    items = expected(spark, d).select(year, "number", section)
-    key = Q.parse_best(keys(spark, d), expected(spark, d)).withColumn("year", F.col("doc_id").cast("int"))
+    pages = A.key_pages(spark, d).withColumn("text", Q.repair("text"))
     prev = classified(spark, d).select(fx.item_id("doc_id", F.lit(1)).alias("id"), "topics")
-    return Q.assemble_bank(items, key, prev).withColumn("topics", F.concat_ws("+", "topics"))
+    bank = B.build_bank(words(spark, d), A.ocr_tokens(spark, d), pages, A.sections(spark, d), A.key_ranges(spark, d), prev)
+    return bank.withColumn("topics", F.concat_ws("+", "topics"))

@@ -336,3 +336,47 @@ def key_text(spark, d) -> DataFrame:
         .otherwise(F.array_join(pairs, "\n"))
     )
     return docs.select("doc_id", text.alias("text"))
+
+
+def sections(spark, d) -> DataFrame:
+    """Documents as exams in two sections, the first and the second half of their pages; one page makes one section.
+
+    Every third exam names the area of its first section. Of the style whose numbers stand apart from their dash, the
+    first section counts as scanned and the second one forces its pattern.
+    """
+    docs = table(spark, d, "documents").select("doc_id", F.ceil(F.size(F.split("text", "\n")) / LINES_PER_PAGE).alias("n"))
+    docs = docs.filter("n > 0")
+    mid = F.greatest(F.lit(1), F.floor(F.col("n") / 2))
+    parts = F.when(F.col("n") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    s = docs.select("doc_id", mid.alias("mid"), F.explode(parts).alias("k"))
+    first = F.col("k") == 0
+    style = F.col("doc_id") % 4
+    return s.select(
+        (F.col("doc_id") * 2 + F.col("k")).alias("section_id"),
+        F.col("doc_id").cast("int").alias("year"),
+        "doc_id",
+        F.when(first, F.lit(0)).otherwise(F.col("mid")).alias("page_from"),
+        F.when(first, F.col("mid")).alias("page_to"),
+        F.when(first & (F.col("doc_id") % 3 == 0), F.lit("matematica")).alias("area"),
+        F.when(style != 2, "auto").when(first, "ocr").otherwise("bare").alias("pattern"),
+    )
+
+
+def key_pages(spark, d) -> DataFrame:
+    """Printed keys: the page of `key_text`, then one for another edition whose answers are all E."""
+    k = key_text(spark, d).select("doc_id", F.col("text").alias("own"))
+    other = F.regexp_replace("own", r"\b[A-D]\b", "E")
+    pages = F.array(F.struct(F.lit(0).alias("page"), F.col("own").alias("text")), F.struct(F.lit(1).alias("page"), other.alias("text")))
+    return k.select("doc_id", F.inline(pages))
+
+
+def key_ranges(spark, d) -> DataFrame:
+    """The pages of each exam's key: one edition for even documents, the other for the rest, all pages for every fifth."""
+    even = F.col("doc_id") % 2 == 0
+    every = F.col("doc_id") % 5 == 0
+    return table(spark, d, "documents").filter("text is not null").select(
+        F.col("doc_id").cast("int").alias("year"),
+        "doc_id",
+        F.when(every | even, 0).otherwise(1).alias("key_from"),
+        F.when(every, None).when(even, 1).otherwise(2).alias("key_to"),
+    )
