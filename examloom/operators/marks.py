@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import core as fx
 from ..session import materialize
 from . import slices
+from .schedule import upsert
 from .scoring import primary
 
 MARK = ["reason", "note", "session_id", "created_at", "updated_at", "resolved_at", "times_marked"]
@@ -61,28 +62,35 @@ def apply_marks(marks: DataFrame, inputs: DataFrame) -> DataFrame:
 
 
 def seed_marks(graded: DataFrame, marks: DataFrame, pacing: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Marks raised by flagged items of finished sessions.
+    """Marks raised by flagged items of finished sessions, as if each session were seeded when it ends: one row per item.
 
-    Items whose mark is open, or was touched at or after the end of the session, are left alone.
+    Items whose mark is open, or was touched at or after the end of the session, are left alone. A seeded mark is open, so
+    it keeps later sessions of the batch away, and the fold over a user's sessions is the first one that may mark.
     The reference time is the target pace, else the session's mean time per item.
     """
     flagged = graded.filter("finished_at is not null and flagged")
     ref = F.coalesce(fx.target_seconds("time_limit_seconds", "items"), F.col("avg_seconds"))
+    stored = marks.select("user_id", "question_id", "resolved_at", "updated_at").withColumn("_known", F.lit(True))
     j = (
         flagged.join(sizes, "session_id")
         .join(pacing.select("session_id", "avg_seconds"), "session_id", "left")
-        .join(_stored(marks), ["user_id", "question_id"], "left")
-    )
-    prev = F.col("_prev")
-    skip = prev.isNotNull() & (prev["resolved_at"].isNull() | (prev["updated_at"] >= F.col("finished_at")))
-    new = mark(
-        prev, fx.suggest_reason("correct", F.coalesce("seconds", F.lit(0.0)), ref), F.col("session_id"), F.col("finished_at")
-    )
-    return (
-        j.filter(~F.coalesce(skip, F.lit(False)))
-        .select("user_id", "question_id", "pos", new.alias("_m"))
-        .select("user_id", "question_id", "pos", "_m.*")
+        .join(stored.withColumnRenamed("updated_at", "_touched"), ["user_id", "question_id"], "left")
     )
+    skip = F.col("_known").isNotNull() & (F.col("resolved_at").isNull() | (F.col("_touched") >= F.col("finished_at")))
+    reason = fx.suggest_reason("correct", F.coalesce("seconds", F.lit(0.0)), ref)
+    first = j.filter(~F.coalesce(skip, F.lit(False))).groupBy("user_id", "question_id").agg(
+        F.min_by(F.struct("session_id", "pos", F.col("finished_at").alias("at"), reason.alias("reason")),
+                 F.struct("finished_at", "session_id", "pos")).alias("_f")
+    )
+    new = first.select("user_id", "question_id", "_f.*").join(_stored(marks), ["user_id", "question_id"], "left")
+    new = new.select("user_id", "question_id", "pos", mark(F.col("_prev"), F.col("reason"), F.col("session_id"), F.col("at")).alias("_m"))
+    return new.select("user_id", "question_id", "pos", "_m.*")
+
+
+def save_marks(marks: DataFrame, new: DataFrame) -> DataFrame:
+    """The marks table after an upsert of new or changed marks; the latest change of a key wins."""
+    cols = ["user_id", "question_id", *MARK]
+    return upsert(marks.select(*cols), new.select(*cols), ["user_id", "question_id"], ["updated_at"])
 
 
 def suggestions(graded: DataFrame, sizes: DataFrame, pacing: DataFrame) -> DataFrame:

@@ -48,19 +48,27 @@ def item_outcomes(graded: DataFrame) -> DataFrame:
     )
 
 
-def apply_outcomes(old: DataFrame, outcomes: DataFrame, keys: list[str]) -> DataFrame:
+def apply_outcomes(old: DataFrame, outcomes: DataFrame, keys: list[str], max_group: int | None = None) -> DataFrame:
     """The schedule after a batch: each key's new outcomes (t, seq, q) folded in order from its stored state.
 
     Several sessions of one batch step from the state that the one before left. One row per key; keys
-    without new outcomes keep their row.
+    without new outcomes keep their row. A key with more than `max_group` outcomes goes through
+    :func:`rebuild_long` with its stored state as the start, so no batch is gathered whole.
     """
-    new = outcomes.groupBy(*keys).agg(F.collect_list(F.struct("t", "seq", "q")).alias("_new"))
-    both = old.select(*keys, *STATE).join(new, keys, "full_outer")
-    stepped = both.withColumn("_s", sm2.fold(F.coalesce("_new", F.array().cast(new.schema["_new"].dataType)), _prior()))
-    due = F.when(F.col("_new").isNull(), F.col("due_at")).otherwise(sm2.due_at(F.col("_s.interval_days"), F.col("_s.last_reviewed_at")))
-    return stepped.select(
-        *keys, "_s.repetitions", "_s.interval_days", "_s.ease_factor", due.alias("due_at"), "_s.last_reviewed_at"
-    )
+    stored = old.select(*keys, *STATE)
+
+    def short(df: DataFrame) -> DataFrame:
+        new = df.groupBy(*keys).agg(F.collect_list(F.struct("t", "seq", "q")).alias("_new"))
+        return _expand(new.join(stored, keys, "left").withColumn("_s", sm2.fold(F.col("_new"), _prior())), keys)
+
+    def long(df: DataFrame) -> DataFrame:
+        return rebuild_long(df, keys, start=stored).select(*keys, *STATE)
+
+    limit = MAX_GROUP if max_group is None else max_group
+    after = slices.by_group_size(outcomes, keys, limit, short, long).select(*keys, F.struct(*STATE).alias("_after"))
+    before = stored.select(*keys, F.struct(F.col("repetitions").cast("bigint").alias("repetitions"),
+                           F.col("interval_days").cast("double").alias("interval_days"), *STATE[2:]).alias("_before"))
+    return before.join(after, keys, "full_outer").select(*keys, F.coalesce("_after", "_before").alias("_v")).select(*keys, "_v.*")
 
 
 def srs_updates(graded: DataFrame, srs: DataFrame) -> DataFrame:
@@ -104,7 +112,7 @@ def topic_srs_updates(tally: DataFrame, topic_srs: DataFrame) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """New rows replace old ones by key; among new rows the greatest `order` wins.
 
-    One hash aggregate over the union: no join, no sort.
+    One aggregate over the union, no join. Over structs Spark sorts each task's rows first.
     """
     cols = [c for c in old.columns if c not in keys]
     rank = F.struct(F.lit(1), *[F.col(c).cast("bigint") for c in order])
@@ -140,8 +148,8 @@ def rebuild_short(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     return _expand(folded, [*keys, "reviews"])
 
 
-def rebuild_long(outcomes: DataFrame, keys: list[str], slice_ms: int = DAY) -> DataFrame:
-    """The same replay as running sums and minima over time slices.
+def rebuild_long(outcomes: DataFrame, keys: list[str], slice_ms: int = DAY, start: DataFrame | None = None) -> DataFrame:
+    """The same replay as running sums and minima over time slices, from the stored states `start` (keys, state) if given.
 
     Ease is a sum of steps reflected at its floor, so in whole hundredths
     ``ease(n) = D(n) + max(start, floor - min(D))`` with D the running sum of the steps. Intervals
@@ -150,13 +158,20 @@ def rebuild_long(outcomes: DataFrame, keys: list[str], slice_ms: int = DAY) -> D
     """
     q = F.least(F.lit(5), F.greatest(F.lit(0), F.col("q")))
     change = sm2.ease_change(q)
-    floor, start = round(sm2.MIN_EASE * 100), round(sm2.START_EASE * 100)
+    floor, fresh = round(sm2.MIN_EASE * 100), round(sm2.START_EASE * 100)
     order = ["t", "seq"]
     rows = outcomes.select(*keys, *order, q.alias("q")).withColumn("_slice", F.floor(F.col("t") / slice_ms))
     rows = slices.running_sum(rows, keys, "_slice", order, {"_d": change})
     rows = slices.running_min(rows, keys, "_slice", order, {"_low": F.col("_d")})
-    rows = rows.withColumn("_ease", (F.col("_d") + F.greatest(F.lit(start), floor - F.col("_low"))) / 100)
-    rows = materialize(rows.drop("_d", "_low"), "long-histories")
+    reps, days, ease = F.lit(0).cast("bigint"), F.lit(1.0), F.lit(fresh)
+    if start is not None:
+        kept = start.select(*keys, F.col("repetitions").alias("_r0"), F.col("interval_days").alias("_i0"), F.col("ease_factor").alias("_e0"))
+        rows = rows.join(kept, keys, "left")
+        reps, days = F.coalesce(F.col("_r0").cast("bigint"), reps), F.coalesce(F.col("_i0").cast("double"), days)
+        ease = F.coalesce(F.round(F.col("_e0") * 100).cast("bigint"), ease)
+    rows = rows.withColumn("_ease", (F.col("_d") + F.greatest(ease, floor - F.col("_low"))) / 100)
+    rows = rows.withColumn("_base", reps).withColumn("_from", days)
+    rows = materialize(rows.select(*keys, *order, "q", "_slice", "_ease", "_base", "_from"), "long-histories")
     at = F.struct(*order)
     ends = rows.groupBy(*keys).agg(
         F.count("*").alias("reviews"),
@@ -164,16 +179,21 @@ def rebuild_long(outcomes: DataFrame, keys: list[str], slice_ms: int = DAY) -> D
         F.max(F.when(F.col("q") < 3, at)).alias("_lapse"),
     )
     run = rows.join(ends.select(*keys, "_lapse"), keys).filter(F.col("_lapse").isNull() | (at > F.col("_lapse")))
-    run = slices.rank(run, keys, "_slice", order, out="_r", total="repetitions").filter(F.col("_r") <= MAX_RUN)
+    # a run since a lapse starts anew, another one goes on from the stored state
+    anew = F.col("_lapse").isNotNull()
+    run = run.withColumn("_base", F.when(anew, F.lit(0).cast("bigint")).otherwise(F.col("_base")))
+    run = run.withColumn("_from", F.when(anew, 1.0).otherwise(F.col("_from"))).drop("_lapse", "q")
+    run = slices.rank(run, keys, "_slice", order, out="_r", total="_total").filter(F.col("_r") <= MAX_RUN)
     grown = run.groupBy(*keys).agg(
-        F.max("repetitions").alias("repetitions"),
+        (F.max("_base") + F.max("_total")).alias("repetitions"),
         F.aggregate(
-            F.array_sort(F.collect_list(F.struct("_r", "_ease"))),
-            F.lit(1.0),
-            lambda acc, e: F.when(e["_r"] == 1, F.lit(1.0)).when(e["_r"] == 2, F.lit(6.0)).otherwise(sm2.grow(acc, e["_ease"])),
+            F.array_sort(F.collect_list(F.struct("_r", "_ease", "_base"))),
+            F.max("_from"),
+            lambda acc, e: F.when(e["_base"] + e["_r"] == 1, F.lit(1.0)).when(e["_base"] + e["_r"] == 2, F.lit(6.0)).otherwise(sm2.grow(acc, e["_ease"])),
         ).alias("_interval"),
+        F.max("_total").alias("_total"),
     )
-    interval = F.when(F.col("repetitions") > MAX_RUN, F.lit(float("inf"))).otherwise(F.coalesce("_interval", F.lit(1.0)))
+    interval = F.when(F.col("_total") > MAX_RUN, F.lit(float("inf"))).otherwise(F.coalesce("_interval", F.lit(1.0)))
     state = sm2.state(
         F.coalesce("repetitions", F.lit(0).cast("bigint")), interval, F.col("_end._ease"), F.col("_end.last_reviewed_at")
     )

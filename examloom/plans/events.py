@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sm2
 from ..operators import eventlog as E
+from ..session import shared_dir
 from ..sources import adapters as A
-from ..streaming import jobs
+from ..streaming import bursts, jobs
 from .registry import query
 from .schedule import EVENT_OUTCOMES, fold_sql
 
 DELAY_US = 6 * 3600 * 1_000_000  # the supplied events are hours apart, so bursts use a delay to match
-DELAY = "6 hours"
 
 
 @query("dwell_time", "v_events", """
@@ -93,7 +92,7 @@ def debounce(spark, d):
     return E.debounce(A.events(spark, d), DELAY_US)
 
 
-@query("debounce_flush", "v_events", f"""
+FLUSH_SQL = f"""
 WITH n AS (SELECT *, lag(ts_us) OVER w AS pt, lag(type) OVER w AS pty, lead(ts_us) OVER w AS nt, lead(type) OVER w AS nty
     FROM v_events WINDOW w AS (PARTITION BY user_id ORDER BY ts_us, event_id)),
   c AS (SELECT *, sum(CASE WHEN pty IS NULL OR pty = 'signup' OR ts_us - pt >= {DELAY_US} THEN 1 ELSE 0 END)
@@ -101,17 +100,25 @@ WITH n AS (SELECT *, lag(ts_us) OVER w AS pt, lag(type) OVER w AS pty, lead(ts_u
     coalesce(nty = 'signup' AND nt < ts_us + {DELAY_US}, FALSE) AS early FROM n WHERE type <> 'signup')
 SELECT user_id, min(ts_us) AS burst_us, count(*) AS changes, arg_max(item, (ts_us, event_id)) AS item,
   arg_max(CASE WHEN early THEN nt ELSE ts_us + {DELAY_US} END, (ts_us, event_id)) AS flush_us,
-  arg_max(early, (ts_us, event_id)) AS early FROM c GROUP BY user_id, g""")
+  arg_max(early, (ts_us, event_id)) AS early FROM c GROUP BY user_id, g"""
+
+
+@query("debounce_flush", "v_events", FLUSH_SQL)
 def debounce_flush(spark, d):
     return E.debounce_flush(A.events(spark, d), DELAY_US, "signup")
 
 
-# bursts that can no longer grow when the stream has seen everything
-@query("stream_debounce", "v_events", f"""
-WITH {BURST_SQL} SELECT * FROM bursts WHERE flush_us // 1000 <= (SELECT max(ts_us) // 1000 FROM v_events) - 3600000""")
+# the log as a stream that ends: open bursts are released, so the rows are those of the batch form
+@query("stream_debounce", "v_events", f"WITH {BURST_SQL} SELECT * FROM bursts")
 def stream_debounce(spark, d):
-    out = jobs.run_to_folder(jobs.debounce(jobs.event_stream(spark, d), DELAY, "1 hour"), "debounce", "append")
-    return spark.read.parquet(out).drop("batch")
+    out = bursts.run(jobs.event_stream(spark, d), DELAY_US, "1 hour")
+    return spark.read.schema(bursts.RESULT).parquet(out).drop("batch", "early")
+
+
+@query("stream_debounce_flush", "v_events", FLUSH_SQL)
+def stream_debounce_flush(spark, d):
+    out = bursts.run(jobs.event_stream(spark, d), DELAY_US, "1 hour", "signup")
+    return spark.read.schema(bursts.RESULT).parquet(out).drop("batch")
 
 
 @query("stream_dedupe", "v_events", "SELECT DISTINCT user_id, item, type FROM v_events")
@@ -124,9 +131,9 @@ def stream_dedupe(spark, d):
 
 @query("stream_sm2", "v_events", f"WITH {fold_sql(EVENT_OUTCOMES, 'user_id, item')} SELECT * FROM folded")
 def stream_sm2(spark, d):
-    out = jobs.run_to_folder(jobs.running_sm2(jobs.event_stream(spark, d)), "sm2", "update")
-    last = jobs.latest_versions(spark, out, ["user_id", "item"], "reviews")
-    return last.withColumn("due_at", sm2.due_at(F.col("interval_days"), F.col("last_reviewed_at")))
+    out = jobs.running_schedules(jobs.event_outcomes(jobs.event_stream(spark, d)), ["user_id", "item"])
+    last = jobs.latest_versions(spark, out, ["user_id", "item"], "batch_no")
+    return last.drop("last_t", "last_seq", "batch_no")
 
 
 @query("stream_merge", "v_events", """
@@ -135,4 +142,6 @@ QUALIFY row_number() OVER (PARTITION BY user_id, item ORDER BY ts_us DESC, event
 def stream_merge(spark, d):
     s = jobs.event_stream(spark, d).select("user_id", "item", "type", "value", "ts_us", "event_id")
     out = jobs.merge_log(s, ["user_id", "item"], "ts_us", tie=("event_id",))
-    return jobs.latest_versions(spark, out, ["user_id", "item"], "ts_us", ("event_id",)).drop("event_id")
+    table = shared_dir(spark, "merged")
+    jobs.compact(spark, out, table, ["user_id", "item"], "ts_us", ("event_id",))
+    return spark.read.parquet(table).drop("event_id")

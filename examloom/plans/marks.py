@@ -33,18 +33,33 @@ def suggest_reason(spark, d):
     return R.suggestions(g, sizes(spark, d), S.pacing(g))
 
 
-@query("seed_marks", "v_graded v_raw_items v_marks", f"""
-WITH {REF_SQL}
+# the sessions of a user one after the other: a seeded mark is open and keeps the later ones away
+SEED_SQL = f"""{REF_SQL}, seeded AS (
 SELECT g.user_id, g.question_id, g.pos, suggested AS reason, coalesce(m.note, '') AS note, g.session_id,
   coalesce(m.created_at, g.finished_at) AS created_at, g.finished_at AS updated_at,
   coalesce(m.times_marked, 0) + CASE WHEN m.user_id IS NULL OR m.resolved_at IS NOT NULL THEN 1 ELSE 0 END AS times_marked
 FROM ref g LEFT JOIN v_marks m USING (user_id, question_id)
 WHERE g.finished_at IS NOT NULL AND flagged
-  AND NOT (m.user_id IS NOT NULL AND (m.resolved_at IS NULL OR m.updated_at >= g.finished_at))""")
-def seed_marks(spark, d):
+  AND NOT (m.user_id IS NOT NULL AND (m.resolved_at IS NULL OR m.updated_at >= g.finished_at))
+QUALIFY row_number() OVER (PARTITION BY g.user_id, g.question_id ORDER BY g.finished_at, g.session_id, g.pos) = 1)"""
+
+
+def seeded(spark, d):
     g = graded(spark, d)
+    return R.seed_marks(g, A.marks(spark, d), S.pacing(g), sizes(spark, d))
+
+
+@query("seed_marks", "v_graded v_raw_items v_marks", f"WITH {SEED_SQL} SELECT * FROM seeded")
+def seed_marks(spark, d):
     # a fresh mark is open: resolved_at is always null here
-    return R.seed_marks(g, A.marks(spark, d), S.pacing(g), sizes(spark, d)).drop("resolved_at")
+    return seeded(spark, d).drop("resolved_at")
+
+
+@query("marks_upsert", "v_graded v_raw_items v_marks", f"""
+WITH {SEED_SQL} SELECT user_id, question_id, {MARK_COLS} FROM v_marks ANTI JOIN seeded USING (user_id, question_id)
+UNION ALL SELECT user_id, question_id, reason, note, session_id, created_at, updated_at, NULL, times_marked FROM seeded""")
+def marks_upsert(spark, d):
+    return R.save_marks(A.marks(spark, d), seeded(spark, d))
 
 
 @query("mark_apply", "v_attempts v_marks", """

@@ -6,16 +6,12 @@ folder per batch, overwritten when a batch is replayed; nothing passes through t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions import sm2
 from ..operators import merge as M
-from ..session import shared_dir
+from ..operators import schedule as N
+from ..session import materialize, shared_dir
 from ..sources import adapters as A
 
 
@@ -75,50 +71,74 @@ def exactly_once(stream: DataFrame, keys: list[str], lateness: str) -> DataFrame
     return stream.withWatermark("time", lateness).dropDuplicatesWithinWatermark(keys)
 
 
-SM2_STATE = "repetitions BIGINT, interval_days DOUBLE, ease_factor DOUBLE, last_reviewed_at BIGINT, reviews BIGINT"
-
-
-def _review(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    reps, interval, ease, last, n = state.get if state.exists else (0, 1.0, sm2.START_EASE, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["t", "seq"])  # one key's rows of one micro-batch
-    for t, q in zip(rows["t"], rows["q"]):
-        q = min(5, max(0, int(q)))
-        ease = max(round(sm2.MIN_EASE * 100), round(ease * 100) + 10 - (5 - q) * (8 + (5 - q) * 2)) / 100
-        if q < 3:
-            reps, interval = 0, 1.0
-        else:
-            reps += 1
-            interval = 1.0 if reps == 1 else 6.0 if reps == 2 else float(int(interval * ease + 0.5)) if interval * ease < 4.5e15 else interval * ease
-        last = int(t)
-    n += len(rows)
-    state.update((reps, interval, ease, last, n))
-    yield pd.DataFrame([(*key, reps, interval, ease, last, n)], columns=["user_id", "item", *_columns(SM2_STATE)])
+def event_outcomes(stream: DataFrame) -> DataFrame:
+    """Outcomes (user_id, item, t, seq, q) of the event stream."""
+    q = (F.floor("value") % 6).cast("int")
+    t = F.floor(F.col("ts_us") / 1000).cast("bigint")
+    return stream.select("user_id", "item", t.alias("t"), F.col("event_id").alias("seq"), q.alias("q"))
 
 
-def _columns(ddl: str) -> list[str]:
-    return [c.split()[0] for c in ddl.split(", ")]
+BUCKETS = 64
 
 
-def running_sm2(stream: DataFrame) -> DataFrame:
-    """Item schedules kept as keyed state, updated per batch.
+def running_schedules(outcomes: DataFrame, keys: list[str], name: str = "schedules") -> str:
+    """Item schedules kept up to date by a stream of outcomes (keys, t, seq, q), whatever the order they arrive in.
 
-    Within a batch reviews are applied in time order. A review that arrives after a later one has
-    been applied counts at its arrival; the batch rebuild from history is the repair.
+    Every batch adds its outcomes to a history and the schedules it changes as new versions. A key whose outcomes all
+    follow what it has seen goes on from its stored state. A key with an earlier one is marked, and only marked keys are
+    folded again from their history, of which only their buckets are read. Returns the folder of versions, the latest
+    batch of a key being its schedule; a replayed batch replaces its own files and reads only earlier ones.
     """
-    q = (F.floor("value") % 6).cast("int")
-    t = F.floor(F.col("ts_us") / 1000).cast("bigint")
-    outcomes = stream.select("user_id", "item", t.alias("t"), F.col("event_id").alias("seq"), q.alias("q"))
-    return outcomes.groupBy("user_id", "item").applyInPandasWithState(
-        _review, f"user_id BIGINT, item INT, {SM2_STATE}", SM2_STATE, "update", GroupStateTimeout.NoTimeout
-    )
+    spark = outcomes.sparkSession
+    root = shared_dir(spark, name)
+    history, versions = f"{root}/history", f"{root}/versions"
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    last = F.max(F.struct("t", "seq")).alias("_last")
 
-
-def latest_versions(spark: SparkSession, folder: str, keys: list[str], stamp: str, tie: tuple[str, ...] = ()) -> DataFrame:
-    """Merge-on-read over all batches: the row with the greatest stamp per key, the greatest `tie` on equal ones.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select(*keys, "t", "seq", "q", bucket.alias("bucket"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{history}/batch={batch_id}")
+        new = spark.read.schema(rows.schema).option("basePath", history).parquet(f"{history}/batch={batch_id}").select(*rows.columns)
+        met = new.groupBy(*keys).agg(F.min(F.struct("t", "seq")).alias("_first"), last, F.count("*").alias("_n"))
+        stored = None
+        if batch_id:
+            old = spark.read.parquet(versions).filter(F.col("batch") < batch_id)
+            stored = latest_versions(spark, old, keys, "batch_no")
+            met = met.join(stored.select(*keys, F.struct("last_t", "last_seq").alias("_seen"), "reviews"), keys, "left")
+        else:
+            met = met.withColumn("_seen", F.lit(None).cast("struct<last_t:bigint,last_seq:bigint>")).withColumn("reviews", F.lit(None).cast("bigint"))
+        late = F.coalesce(F.struct(F.col("_first.t").alias("last_t"), F.col("_first.seq").alias("last_seq")) < F.col("_seen"), F.lit(False))
+        met = materialize(met.withColumn("_late", late).withColumn("bucket", bucket), "met")
+        on_time = new.join(met.filter("not _late").select(*keys), keys, "left_semi")
+        empty = spark.createDataFrame([], met.select(*keys).schema)
+        for c, kind in (("repetitions", "bigint"), ("interval_days", "double"), ("ease_factor", "double"), ("due_at", "bigint"), ("last_reviewed_at", "bigint")):
+            empty = empty.withColumn(c, F.lit(None).cast(kind))
+        before = empty if stored is None else stored.join(met.filter("not _late").select(*keys), keys, "left_semi")
+        done = N.apply_outcomes(before, on_time.select(*keys, "t", "seq", "q"), keys).select(*keys, *N.STATE)
+        buckets = [r.bucket for r in met.filter("_late").select("bucket").distinct().collect()]  # at most BUCKETS
+        if buckets:
+            past = spark.read.parquet(history).filter(F.col("bucket").isin(buckets) & (F.col("batch") <= batch_id))
+            past = past.join(met.filter("_late").select(*keys), keys, "left_semi").select(*keys, "t", "seq", "q")
+            done = done.unionByName(N.rebuild(past, keys).select(*keys, *N.STATE))
+        seen = F.greatest(F.col("_last"), F.struct(F.col("_seen.last_t").alias("t"), F.col("_seen.last_seq").alias("seq")))
+        after = met.select(*keys, seen.alias("_at"), (F.col("_n") + F.coalesce("reviews", F.lit(0))).alias("reviews"))
+        done = done.join(after, keys).select(
+            *keys, *N.STATE, "reviews", F.col("_at.t").alias("last_t"), F.col("_at.seq").alias("last_seq"), F.lit(batch_id).alias("batch_no")
+        )
+        done.write.mode("overwrite").parquet(f"{versions}/batch={batch_id}")
+
+    query = outcomes.filter(" and ".join(f"{k} is not null" for k in keys)).writeStream.option("checkpointLocation", f"{root}/progress")
+    query.trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return versions
+
+
+def latest_versions(spark: SparkSession, folder: str | DataFrame, keys: list[str], stamp: str, tie: tuple[str, ...] = ()) -> DataFrame:
+    """Merge-on-read over all batches (a folder or its rows): the row with the greatest stamp per key, the greatest `tie` on equal ones.
 
     Without `tie` the later batch wins.
     """
-    rows = spark.read.parquet(folder).withColumnRenamed("batch", "device_rank")
+    rows = spark.read.parquet(folder) if isinstance(folder, str) else folder
+    rows = rows.withColumnRenamed("batch", "device_rank")
     return M.lww(rows, keys, F.struct(stamp, *tie))
 
 
@@ -133,6 +153,6 @@ def merge_log(stream: DataFrame, keys: list[str], stamp: str, name: str = "merge
     )
 
 
-def compact(spark: SparkSession, folder: str, target: str, keys: list[str], stamp: str) -> None:
-    """Write the merged table as one new version."""
-    latest_versions(spark, folder, keys, stamp).write.mode("overwrite").parquet(target)
+def compact(spark: SparkSession, folder: str, target: str, keys: list[str], stamp: str, tie: tuple[str, ...] = ()) -> None:
+    """Write the merged table as one new version, equal stamps settled by `tie` as readers would."""
+    latest_versions(spark, folder, keys, stamp, tie).write.mode("overwrite").parquet(target)
