@@ -184,12 +184,12 @@ def mandatory_literal(pattern: str) -> str:
 
 
 def topic_scores(norm, rules: list[tuple[str, str, int]]) -> Column:
-    """Array of (slug, score) with score > 0; a rule counts at most MAX_HITS times.
+    """Array of (slug, score) with score > 0; a rule counts at most MAX_HITS times. A null text is empty.
 
     One projection over the text: no join with the rule table and no shuffle, whatever the number
-    of documents.
+    of documents. For rule tables of hundreds of rows see `classify.score_indexed`.
     """
-    norm = col(norm)
+    norm = F.coalesce(col(norm), F.lit(""))
     by_slug: dict[str, list[tuple[str, int]]] = {}
     for slug, pattern, weight in rules:
         by_slug.setdefault(slug, []).append((pattern, weight))

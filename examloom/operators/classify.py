@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core as fx
 from ..functions import text as tx
+from ..session import materialize
 
 Rules = list[tuple[str, str, int]]
 
@@ -41,6 +42,49 @@ def score_rows(docs: DataFrame, rules: Rules, key: str = "doc_id") -> DataFrame:
     return rows.select(key, "s.slug", "s.score").filter("slug is not null")
 
 
+#: Letters of a word that index a rule; rules without a mandatory word go under the empty key and are tried on every text.
+INDEX_LETTERS = 4
+
+
+def indexed(rules: DataFrame) -> DataFrame:
+    """Adds `key` to a rule table (slug, pattern, weight): how the word begins that every match must contain.
+
+    Only a literal right after a word boundary at the start counts: its first letters, or the whole of it where the
+    boundary after it shows that it is a shorter word. Patterns with alternatives, and literals cut short by a quantifier
+    below that length, have none.
+    """
+    p = F.col("pattern")
+    head = F.regexp_extract(p, r"^\\b([a-z0-9]+)", 1)
+    after = F.substr(p, F.length(head) + 3)
+    sure = F.when(F.substring(after, 1, 1).isin("?", "*", "{"), F.substr(head, F.lit(1), F.length(head) - 1)).otherwise(head)
+    closed = (sure == head) & F.startswith(after, F.lit(r"\b"))
+    key = (
+        F.when(F.contains(p, F.lit("|")), "")
+        .when(F.length(sure) >= INDEX_LETTERS, F.substring(sure, 1, INDEX_LETTERS))
+        .when(closed, sure)
+        .otherwise("")
+    )
+    return rules.select("slug", "pattern", "weight", key.alias("key"))
+
+
+def score_indexed(docs: DataFrame, rules: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, slug and score above 0 of each text under a rule table of any size; a rule counts at most MAX_HITS times.
+
+    `keys` must name a text. The word beginnings of a text meet an index of the rules, so a text tries only the rules
+    that some word of it asks for, and the plan does not grow with the rules. The rules are joined by a broadcast if the
+    planner finds them small; the text goes along only with the keys that the index has, and is never shuffled then.
+    """
+    index = materialize(indexed(rules), "rule-index")
+    known = index.agg(F.coalesce(F.collect_set("key"), F.array().cast("array<string>"))).scalar()  # at most the rules
+    d = normalized(docs.select(*keys, text), text).select(*keys, once("norm").alias("norm"))
+    begins = F.transform(F.split("norm", "[^a-z0-9_]+"), lambda w: F.substring(w, 1, INDEX_LETTERS))
+    asked = F.array_union(F.array_intersect(begins, known), F.array(F.lit("")))
+    tried = d.select(*keys, "norm", F.explode_outer(asked).alias("key")).join(index, "key")
+    hits = F.least(F.regexp_count("norm", F.col("pattern")), F.lit(tx.MAX_HITS)) * F.col("weight")
+    scores = tried.select(*keys, "slug", hits.alias("_h")).groupBy(*keys, "slug").agg(F.sum("_h").cast("int").alias("score"))
+    return scores.filter("score > 0")
+
+
 def topic_rows(classified: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = classified.select(key, F.posexplode_outer("topics").alias("tpos", "slug"))
     return rows.filter("slug is not null")

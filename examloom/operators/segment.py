@@ -226,18 +226,23 @@ def regions(anchors: DataFrame) -> DataFrame:
 def segment_text(words: DataFrame, anchors: DataFrame) -> DataFrame:
     """The words of each item's region, in reading order.
 
-    The regions of a page ride along with its words (an equi-join on the page), so there is no
-    range join and words are shuffled once more only for the final grouping by item.
+    The regions of a page ride along with its words (an equi-join on the page), so there is no range join. Words become
+    one string per item and page first, by a grouping that the join's partitioning by page already serves; only these few
+    strings meet per item, so no task holds the words of more than a page at a time.
     """
     rects = materialize(regions(materialize(anchors, "anchors")), "regions")
     y = F.col("y0")
     j = words.select("doc_id", "page", "word_no", "text", "y0").join(rects, ["doc_id", "page"])
     hit = F.filter("rects", lambda r: (y >= r["top"]) & (y < r["bottom"]))
-    inside = j.select("doc_id", "word_no", "text", F.explode_outer(hit).alias("r")).filter("r is not null")
-    text = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("word_no", "text"))), lambda w: w["text"]), " "
-    )
-    return inside.groupBy("doc_id", F.col("r.seg").alias("seg"), F.col("r.number").alias("number")).agg(text.alias("text"))
+    inside = j.select("doc_id", "page", "word_no", "text", F.explode(hit).alias("r"))
+    item = ["doc_id", F.col("r.seg").alias("seg"), F.col("r.number").alias("number")]
+
+    def joined(*order):
+        parts = F.array_sort(F.collect_list(F.struct(*order, "text")))
+        return F.array_join(F.transform(parts, lambda w: w["text"]), " ").alias("text")
+
+    on_page = inside.groupBy("page", *item).agg(joined("word_no"), F.min("word_no").alias("at"))
+    return on_page.groupBy("doc_id", "seg", "number").agg(joined("at"))
 
 
 def sequence_gaps(anchors: DataFrame) -> DataFrame:

@@ -98,6 +98,30 @@ def topic_scores(spark, d):
     return C.score_rows(docs(spark, d), RULES)
 
 
+# a rule table as large as a real one, from the words of the benchmark: each word, and the beginnings of the longer ones
+VIEWS["v_word_rules"] = ("", r"""SELECT 'w' || substr(w, 1, 1) AS slug, '\b' || w || '\b' AS pattern, 1 + length(w) % 3 AS weight, w AS must FROM (
+    SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS w FROM benchmark)
+  UNION ALL SELECT DISTINCT 'p' || substr(w, 1, 1), '\b' || substr(w, 1, 5) || '\w{2,}', 1, substr(w, 1, 5) FROM (
+    SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]{7,}')) AS w FROM benchmark)""")
+
+
+def word_rules(spark, d):
+    b = A.table(spark, d, "benchmark").select(F.lower("text").alias("t"))
+    w = b.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z0-9]{3,}"), F.lit(0))).alias("w")).distinct()
+    whole = w.select(F.concat(F.lit("w"), F.substring("w", 1, 1)).alias("slug"), F.concat(F.lit(r"\b"), "w", F.lit(r"\b")).alias("pattern"),
+                     (F.length("w") % 3 + 1).alias("weight"))
+    long = b.select(F.explode(F.regexp_extract_all("t", F.lit("[a-z0-9]{7,}"), F.lit(0))).alias("w")).select(F.substring("w", 1, 5).alias("b")).distinct()
+    begin = long.select(F.concat(F.lit("p"), F.substring("b", 1, 1)), F.concat(F.lit(r"\b"), "b", F.lit(r"\w{2,}")), F.lit(1))
+    return whole.union(begin)
+
+
+@query("topic_scores_indexed", "v_norm v_word_rules", """
+SELECT doc_id, slug, sum(weight * least(3, len(regexp_extract_all(norm, pattern))))::INT AS score
+FROM v_norm JOIN v_word_rules ON contains(norm, must) GROUP BY ALL HAVING score > 0""")
+def topic_scores_indexed(spark, d):
+    return C.score_indexed(docs(spark, d), word_rules(spark, d), ["doc_id"])
+
+
 def _flat(df, *keep):
     scores = F.transform("scores", lambda s: F.concat(s["slug"], F.lit("="), s["score"].cast("string")))
     return df.select("doc_id", *keep, F.concat_ws("+", "topics").alias("topics"), F.concat_ws(",", scores).alias("scores"))
@@ -128,13 +152,16 @@ def text_orphans(spark, d):
     return C.orphans(docs(spark, d).select("doc_id", "source"), A.table(spark, d, "labels"), "doc_id")
 
 
-@query("topic_report_docs", "v_classified v_ranked", """
+@query("topic_report_docs", "v_classified v_ranked v_rules", """
 WITH t AS (SELECT doc_id, unnest(string_split(topics, '+')) AS slug, unnest(range(len(string_split(topics, '+')))) AS tpos
   FROM v_classified WHERE topics <> '')
-SELECT slug, count(*) FILTER (tpos = 0) AS primary_count, count(*) AS any_count,
-  100 * count(*) FILTER (tpos = 0) / (SELECT count(*) FROM documents) AS pct FROM t GROUP BY slug""")
+SELECT r.slug, count(*) FILTER (tpos = 0) AS primary_count, count(t.slug) AS any_count,
+  100 * count(*) FILTER (tpos = 0) / (SELECT count(*) FROM documents) AS pct
+FROM (SELECT DISTINCT slug FROM v_rules) r LEFT JOIN t USING (slug) GROUP BY r.slug""")
 def topic_report_docs(spark, d):
     rows = C.topic_rows(classified(spark, d))
     total = docs(spark, d).agg(F.count("*")).scalar()
     counts = rows.groupBy("slug").agg(F.count_if(F.col("tpos") == 0).alias("primary_count"), F.count("*").alias("any_count"))
+    slugs = spark.createDataFrame([(r,) for r in sorted({slug for slug, _, _ in RULES})], "slug string")
+    counts = slugs.join(counts, "slug", "left").fillna(0, ["primary_count", "any_count"])
     return counts.withColumn("pct", 100 * F.col("primary_count") / total)
