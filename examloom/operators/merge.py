@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import core as fx
+from ..session import materialize
 
 SNAPSHOT_VERSION = 5
+ATTEMPT_KEYS = ["user_id", "session_id", "question_id", "timestamp"]
 
 
 def lww(rows: DataFrame, keys: list[str], stamp: Column | None = None, tie: tuple[str, ...] = ()) -> DataFrame:
@@ -34,8 +36,12 @@ def merge_sessions(rows: DataFrame, tombstones: DataFrame) -> DataFrame:
 
 
 def merge_attempts(rows: DataFrame) -> DataFrame:
-    """Attempts are facts: same session, item and time collapse; deletion does not touch them."""
-    return lww(rows, ["user_id", "session_id", "question_id", "timestamp"])
+    """Attempts are facts: same session, item and time collapse; deletion does not touch them.
+
+    Copies of one device that differ are settled by their content.
+    """
+    tie = tuple(c for c in ("answer", "correct", "seconds_spent") if c in rows.columns)
+    return lww(rows, ATTEMPT_KEYS, tie=tie)
 
 
 def merge_srs(rows: DataFrame) -> DataFrame:
@@ -50,6 +56,37 @@ def merge_marks(rows: DataFrame) -> DataFrame:
     return lww(rows, ["user_id", "question_id"], F.col("updated_at"))
 
 
+def merge_all(sessions: DataFrame, attempts: DataFrame, srs: DataFrame, topic_srs: DataFrame, marks: DataFrame,
+              tombstones: DataFrame) -> dict[str, DataFrame]:
+    """The six merged tables from all device copies (each with `device_rank`, tombstones without) in one pass.
+
+    The tables become one tagged union, keyed by kind and key, and one aggregate picks every winner; tombstones go along
+    and then take their sessions out. Equal stamps of one device are settled by the rows' content.
+    """
+    stamps = {
+        "sessions": (sessions, ["user_id", "session_id"], fx.touched_at("updated_at", "finished_at", "created_at")),
+        "attempts": (attempts, ATTEMPT_KEYS, F.lit(0)),
+        "srs": (srs, ["user_id", "question_id"], F.col("last_reviewed_at")),
+        "topic_srs": (topic_srs, ["user_id", "slug"], F.col("last_reviewed_at")),
+        "marks": (marks, ["user_id", "question_id"], F.col("updated_at")),
+        "tombstones": (tombstones.withColumn("device_rank", F.lit(0)), ["user_id", "session_id"], F.col("deleted_at")),
+    }
+    union = None
+    for kind, (rows, keys, stamp) in stamps.items():
+        body = F.struct(*[c for c in rows.columns if c != "device_rank"])
+        part = rows.select(
+            F.lit(kind).alias("kind"), F.to_json(F.struct(*keys)).alias("key"),
+            F.struct(stamp.cast("bigint").alias("s"), F.col("device_rank").cast("int").alias("d"), F.xxhash64(F.to_json(body)).alias("t")).alias("order"),
+            body.alias(kind),
+        )
+        union = part if union is None else union.unionByName(part, allowMissingColumns=True)
+    best = union.groupBy("kind", "key").agg(F.max_by(F.struct(*stamps), "order").alias("_v"))
+    best = materialize(best.select("kind", "_v.*"), "merged")
+    out = {kind: best.filter(F.col("kind") == kind).select(f"{kind}.*") for kind in stamps}
+    graves = out["tombstones"].select("user_id", "session_id")
+    return out | {"sessions": out["sessions"].join(graves, ["user_id", "session_id"], "left_anti")}
+
+
 def migrate_sessions(sessions: DataFrame) -> DataFrame:
     """Fill what older versions did not record."""
     out = sessions.withColumn("updated_at", fx.touched_at("updated_at", "finished_at", "created_at"))

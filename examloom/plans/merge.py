@@ -115,11 +115,15 @@ DEV_TOPIC_SRS = f"""dd AS (SELECT {TOPIC_SRS_COLS}, 0 AS dev FROM v_topic_srs WH
 
 @query("merge_topic_srs", "v_topic_srs", _lww_sql(DEV_TOPIC_SRS, "user_id, slug", "last_reviewed_at", TOPIC_SRS_COLS))
 def merge_topic_srs(spark, d):
+    return M.merge_topic_srs(dev_topic_srs(spark, d))
+
+
+def dev_topic_srs(spark, d):
     s = A.topic_srs(spark, d)
     shift = F.when(F.col("repetitions") >= 2, -1000).otherwise(1000)
     b = s.filter("interval_days >= 2").withColumn("due_at", F.col("due_at") + 7)
     b = b.withColumn("last_reviewed_at", F.col("last_reviewed_at") + shift).withColumn("device_rank", F.lit(1))
-    return M.merge_topic_srs(s.filter("interval_days <= 3").withColumn("device_rank", F.lit(0)).unionByName(b))
+    return s.filter("interval_days <= 3").withColumn("device_rank", F.lit(0)).unionByName(b)
 
 
 MARK_COLS = "user_id, question_id, reason, note, session_id, created_at, updated_at, resolved_at, times_marked"
@@ -131,11 +135,48 @@ DEV_MARKS = f"""dd AS (SELECT {MARK_COLS}, 0 AS dev FROM v_marks
 
 @query("merge_marks", "v_marks", _lww_sql(DEV_MARKS, "user_id, question_id", "updated_at", MARK_COLS))
 def merge_marks(spark, d):
+    return M.merge_marks(dev_marks(spark, d))
+
+
+def dev_marks(spark, d):
     m = A.marks(spark, d)
     shift = F.when(F.col("resolved_at").isNull(), -1000).otherwise(1000)
     b = m.filter("reason <> 'lento'").withColumn("note", F.lit("b"))
     b = b.withColumn("updated_at", F.col("updated_at") + shift).withColumn("device_rank", F.lit(1))
-    return M.merge_marks(m.withColumn("device_rank", F.lit(0)).unionByName(b))
+    return m.withColumn("device_rank", F.lit(0)).unionByName(b)
+
+
+def _kind_sql(name: str, cte: str, keys: str, stamp: str, key: str, value: str, anti: str = "") -> str:
+    return f"""SELECT '{name}' AS kind, user_id, {key} AS key, {value} AS value FROM (WITH {cte} SELECT * FROM dd {anti}
+      QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {stamp} DESC, dev DESC) = 1)"""
+
+
+# all six tables in one pass; a column of each shows which copy won
+@query("merge_all", "v_sessions v_attempts v_srs v_topic_srs v_marks", " UNION ALL ".join([
+    _kind_sql("sessions", DEV_SESSIONS.replace("ds AS", "dd AS") + ", " + DEV_TOMBS, "user_id, session_id",
+              "coalesce(updated_at, finished_at, created_at)", "session_id::VARCHAR", "label", "ANTI JOIN dt USING (user_id, session_id)"),
+    """SELECT 'attempts', user_id, session_id || '/' || question_id || '/' || timestamp,
+      floor(CASE WHEN seconds_spent >= 100 THEN seconds_spent + 1 ELSE seconds_spent END)::BIGINT::VARCHAR FROM v_attempts""",
+    _kind_sql("srs", DEV_SRS, "user_id, question_id", "last_reviewed_at", "question_id::VARCHAR", "due_at::VARCHAR"),
+    _kind_sql("topic_srs", DEV_TOPIC_SRS, "user_id, slug", "last_reviewed_at", "slug", "due_at::VARCHAR"),
+    _kind_sql("marks", DEV_MARKS, "user_id, question_id", "updated_at", "question_id::VARCHAR", "note || updated_at"),
+    f"SELECT 'tombstones', user_id, session_id::VARCHAR, max(deleted_at)::VARCHAR FROM (WITH {DEV_TOMBS} SELECT * FROM dt) GROUP BY user_id, session_id",
+]))
+def merge_all(spark, d):
+    out = M.merge_all(
+        dev_sessions(spark, d), dev_attempts(spark, d), dev_srs(spark, d), dev_topic_srs(spark, d), dev_marks(spark, d), dev_tombstones(spark, d)
+    )
+    show = {
+        "sessions": (["session_id"], F.col("label")), "attempts": (["session_id", "question_id", "timestamp"], F.floor("seconds_spent").cast("string")),
+        "srs": (["question_id"], F.col("due_at").cast("string")), "topic_srs": (["slug"], F.col("due_at").cast("string")),
+        "marks": (["question_id"], F.concat("note", F.col("updated_at").cast("string"))), "tombstones": (["session_id"], F.col("deleted_at").cast("string")),
+    }
+    rows = None
+    for kind, (keys, value) in show.items():
+        key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
+        part = out[kind].select(F.lit(kind).alias("kind"), "user_id", key.alias("key"), value.alias("value"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
 
 
 @query("migrate", "v_sessions", f"""

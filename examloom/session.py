@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import contextmanager
 
@@ -36,17 +37,31 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     Only a local session may lack one: it gets a temporary folder for all its work. On a cluster a folder of one
     machine would lose rows, so a missing setting is an error there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_base(spark)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Folders made inside each open `scratch`, innermost last.
-_scopes: list[list[str]] = []
+def _local_base(spark: SparkSession) -> str:
+    """One temporary folder per local session; the setting can't be changed on a running session."""
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _bases:
+        _bases[app] = tempfile.mkdtemp(prefix="spark-shared-")
+    return _bases[app]
+
+
+_bases: dict[str, str] = {}
+
+
+class _Scopes(threading.local):
+    """Folders made inside each open `scratch` of a thread, innermost last."""
+
+    def __init__(self):
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scopes()
 
 
 def materialize(df, name: str):
@@ -57,8 +72,8 @@ def materialize(df, name: str):
     """
     path = shared_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,19 +84,20 @@ def scratch(spark: SparkSession):
     Yields a function like `materialize` for the result: its folder stays (for an outer `scratch`, if any).
     """
     made: list[str] = []
-    _scopes.append(made)
+    outer = _scopes.open[-1] if _scopes.open else None
+    _scopes.open.append(made)
 
     def keep(df, name: str):
         out = materialize(df, name)
         path = made.pop()
-        if len(_scopes) > 1:
-            _scopes[_scopes.index(made) - 1].append(path)
+        if outer is not None:
+            outer.append(path)
         return out
 
     try:
         yield keep
     finally:
-        _scopes.remove(made)
+        _scopes.open.pop()  # scopes nest, so this is `made`
         conf = spark.sparkContext._jsc.hadoopConfiguration()
         for path in made:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
