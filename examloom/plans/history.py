@@ -138,6 +138,12 @@ def topic_rank(spark, d):
     return T.all_rankings(pooled_stats(spark, d))
 
 
+@query("topic_trend", TOPIC_VIEWS, STATS_SQL + """SELECT slug, CASE WHEN trend > 0 THEN printf('+%.2f', trend)
+  ELSE printf('%.2f', trend) END AS trend FROM stats""")
+def topic_trend(spark, d):
+    return pooled_stats(spark, d).select("slug", fx.signed("trend").alias("trend"))
+
+
 @query("topic_chart", TOPIC_VIEWS, STATS_SQL + """, top AS (SELECT *, row_number() OVER (ORDER BY priority DESC, slug)::INT AS rank
   FROM stats WHERE total_count > 0 QUALIFY rank <= 12)
 SELECT rank, slug, label, area, per_exam AS value, per_exam / greatest(1.0::DOUBLE, max(per_exam) OVER ()) AS bar FROM top""")

@@ -212,6 +212,22 @@ def session_delete_tombstones(spark, d):
     return M.delete_sessions(s, dev_tombstones(spark, d), doomed, A.NOW)[1]
 
 
+@query("session_lookup", "v_sessions", f"""
+SELECT {SESSION_COLS} FROM v_sessions WHERE session_id = (SELECT max(session_id) FROM v_sessions)""")
+def session_lookup(spark, d):
+    s = A.sessions(spark, d)
+    return M.session(s, s.agg(F.max("session_id")).first()[0])
+
+
+# the attempts of one device after those of the other, which stay as they are
+@query("attempts_append", "v_attempts", """
+SELECT user_id, session_id, question_id, timestamp, answer, correct, seconds_spent FROM v_attempts WHERE seconds_spent <= 200
+UNION ALL SELECT user_id, session_id, question_id, timestamp, answer, correct, seconds_spent FROM v_attempts WHERE seconds_spent > 300""")
+def attempts_append(spark, d):
+    a = A.attempts(spark, d).select(*ATTEMPT_COLS)
+    return M.append_attempts(a.filter("seconds_spent <= 200"), a.filter("seconds_spent > 300"))
+
+
 @query("session_upsert", "v_sessions", f"""
 SELECT * REPLACE (CASE WHEN finished_at IS NULL THEN {NOW} ELSE updated_at END AS updated_at,
   CASE WHEN finished_at IS NULL THEN elapsed_seconds + 5 ELSE elapsed_seconds END AS elapsed_seconds) FROM v_sessions""")

@@ -164,13 +164,13 @@ def exam_topic_overlap(spark, d):
     )
 
 
-@query("exam_srs", "v_srs", f"""
+@query("exam_srs", "v_srs_all v_questions", f"""
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY due_at, question_id)::INT AS pos, question_id,
   'Revisao de questoes (' || least(20, count(*) OVER (PARTITION BY user_id))
   || CASE WHEN count(*) OVER (PARTITION BY user_id) > 20 THEN ' de ' || count(*) OVER (PARTITION BY user_id) ELSE '' END
-  || 'q)' AS label FROM v_srs WHERE due_at <= {NOW} QUALIFY pos <= 20""")
+  || 'q)' AS label FROM v_srs_all SEMI JOIN v_questions USING (question_id) WHERE due_at <= {NOW} QUALIFY pos <= 20""")
 def exam_srs(spark, d):
-    due = N.due(A.srs(spark, d), A.NOW, bank=A.questions(spark, d))
+    due = N.due(A.srs_all(spark, d), A.NOW, bank=A.questions(spark, d))
     shown = F.least(F.lit(20).cast("bigint"), "due_total")
     return due.select(
         "user_id", F.col("rank").alias("pos"), "question_id",

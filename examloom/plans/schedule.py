@@ -160,9 +160,10 @@ def _due_sql(view, item):
       count(*) OVER (PARTITION BY user_id) AS due_total FROM {view} WHERE due_at <= {NOW} QUALIFY rank <= 20"""
 
 
-@query("due_questions", "v_srs", _due_sql("v_srs", "question_id"))
+# the schedules also hold items that have left the bank
+@query("due_questions", "v_srs_all v_questions", _due_sql("v_srs_all SEMI JOIN v_questions USING (question_id)", "question_id"))
 def due_questions(spark, d):
-    return N.due(A.srs(spark, d), A.NOW, bank=A.questions(spark, d))
+    return N.due(A.srs_all(spark, d), A.NOW, bank=A.questions(spark, d))
 
 
 @query("due_topics", "v_topic_srs", _due_sql("v_topic_srs", "slug"))
@@ -170,14 +171,14 @@ def due_topics(spark, d):
     return N.due(A.topic_srs(spark, d), A.NOW, item="slug")
 
 
-@query("due_truncation", "v_srs", f"""
+@query("due_truncation", "v_srs_all v_questions", f"""
 SELECT user_id, least(count(*), 20) AS shown, count(*) AS due_total,
   'Revisao de questoes (' || least(count(*), 20) || CASE WHEN count(*) > 20 THEN ' de ' || count(*) ELSE '' END || 'q)' AS label
-FROM v_srs WHERE due_at <= {NOW} GROUP BY user_id""")
+FROM v_srs_all SEMI JOIN v_questions USING (question_id) WHERE due_at <= {NOW} GROUP BY user_id""")
 def due_truncation(spark, d):
     from ..operators.sampling import truncation_label
 
-    known = A.srs(spark, d).join(A.questions(spark, d).select("question_id"), "question_id", "left_semi")
+    known = A.srs_all(spark, d).join(A.questions(spark, d).select("question_id"), "question_id", "left_semi")
     counts = known.filter(F.col("due_at") <= A.NOW).groupBy("user_id").agg(F.count("*").alias("due_total"))
     shown = F.least("due_total", F.lit(20).cast("bigint"))
     return counts.select(

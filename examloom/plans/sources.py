@@ -138,13 +138,14 @@ def user_reset(spark, d):
     return snapshots.reset_users(user_data(spark, d)[0], gone)
 
 
+# every third file is asked for by somebody else, who gets nothing
 @query("owner_scope", "v_sessions", """
-SELECT user_id || '/' || session_id || '.json' AS path, user_id::VARCHAR AS owner FROM v_sessions""")
+SELECT user_id || '/' || session_id || '.json' AS path, user_id::VARCHAR AS owner FROM v_sessions WHERE session_id % 3 <> 0""")
 def owner_scope(spark, d):
     path = F.concat_ws("/", "user_id", F.concat(F.col("session_id").cast("string"), F.lit(".json")))
-    return A.sessions(spark, d).select(path.alias("path")).select("path", snapshots.path_owner("path").alias("owner")).filter(
-        F.startswith("path", F.concat("owner", F.lit("/")))
-    )
+    asking = F.col("user_id") + F.when(F.col("session_id") % 3 == 0, 1).otherwise(0)
+    files = A.sessions(spark, d).select(path.alias("path"), asking.cast("string").alias("owner"))
+    return files.filter(snapshots.path_owner("path") == F.col("owner"))
 
 
 @query("scratch_fetch", "v_sessions", f"""
