@@ -1,4 +1,5 @@
-"""Training-data operators: sharding, quality, URL filters, mixing, decontamination, search, joins, licenses, lines, LM.
+"""Training-data operators: sharding, quality, URL filters, mixing, decontamination, search, joins, licenses, lines, LM,
+conversation tries, packing, whitening.
 
 Names of columns that start with an underscore are reserved for the operators' own use.
 """
