@@ -5,8 +5,11 @@ of every `window` neighbouring hashes the least is kept, in templates and docume
 k + window - 1 words shares a fingerprint. The templates' fingerprints form an inverted index of (template, place).
 A document's hits vote for diagonals (document place minus template place); neighbouring diagonals of a template are
 one candidate. Along its band the longest common subsequence of words is found, which gives the matched words,
-coverage (matched / template words) and the matched span. Matches with less than `least` coverage are dropped, then of
-overlapping spans the one with more matched words stays.
+coverage (matched / template words) and the matched span. Matches with less than `least` coverage are dropped, and so
+are those whose span lacks the template's naming words: the phrase that tells this license and version from others,
+which must stand in the span word for word. Then of overlapping spans the one with more matched words stays.
+
+A template is (license, text) or (license, text, naming words); without naming words coverage alone decides.
 
 The templates are a parameter that the driver holds (at most `MOST_TEMPLATE_WORDS` words). Map-only; whole texts.
 
@@ -74,12 +77,19 @@ def align(words: list[bytes], template: list[bytes], low: int, high: int) -> tup
     return top
 
 
+def holds(words: list[bytes], phrase: list[bytes]) -> bool:
+    """Whether the phrase stands in the words, its words right behind one another."""
+    n = len(phrase)
+    return any(words[k : k + n] == phrase for k in range(len(words) - n + 1))
+
+
 class Index:
-    def __init__(self, templates: list[tuple[str, str]], k: int, window: int):
+    def __init__(self, templates: list[tuple[str, ...]], k: int, window: int):
         self.k, self.window = k, window
         known = Hashes()
-        self.words = [tokens(t.encode()) for _, t in templates]
-        self.names = [name for name, _ in templates]
+        self.words = [tokens(t[1].encode()) for t in templates]
+        self.names = [t[0] for t in templates]
+        self.naming = [tokens("".join(t[2:]).encode()) for t in templates]
         if sum(map(len, self.words)) > MOST_TEMPLATE_WORDS:
             raise ValueError("the templates are too large to be held by every task")
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -124,7 +134,7 @@ class Index:
             template = self.words[n]
             matched, start, stop = align(words, template, low, high)
             coverage = matched / len(template)
-            if matched and coverage >= least:
+            if matched and coverage >= least and holds(words[start:stop], self.naming[n]):
                 found.append((self.names[n], start, stop, matched, coverage))
         found.sort(key=lambda x: (-x[3], -x[4], x[1], x[0]))
         kept: list[tuple] = []
@@ -135,11 +145,11 @@ class Index:
 
 
 def scan(
-    docs: DataFrame, text: str, templates: list[tuple[str, str]], keep: list[str], k: int = 3, window: int = 2, least: float = 0.8
+    docs: DataFrame, text: str, templates: list[tuple[str, ...]], keep: list[str], k: int = 3, window: int = 2, least: float = 0.8
 ) -> DataFrame:
     """The columns `keep`, n_words and matches: array of (license, start, stop, matched, coverage), spans in words."""
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    handle = share(docs.sparkSession, Index([(n, t) for n, t in templates if tokens(t.encode())], k, window))
+    handle = share(docs.sparkSession, Index([t for t in templates if tokens(t[1].encode())], k, window))
     kinds = dict(rows.dtypes)
     kind = pa.list_(
         pa.struct([("license", pa.string()), ("start", pa.int64()), ("stop", pa.int64()), ("matched", pa.int64()), ("coverage", pa.float64())])
@@ -163,7 +173,7 @@ def scan(
     return rows.mapInArrow(run, schema)
 
 
-def report(docs: DataFrame, keys: list[str], text: str, templates: list[tuple[str, str]], **options) -> DataFrame:
+def report(docs: DataFrame, keys: list[str], text: str, templates: list[tuple[str, ...]], **options) -> DataFrame:
     """Per document: keys, n_words, n_matches, licenses (in order, comma-joined), matched_words, coverage (the highest,
     0 without a match) and spans ("license:start-stop", in words, comma-joined)."""
     got = scan(docs, text, templates, keys, **options)
