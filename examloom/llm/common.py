@@ -26,6 +26,28 @@ ALNUM = bytes(
 #: File hash and row number that `keyed` adds.
 KEY = ["_file", "_row"]
 
+
+def free(name: str, taken) -> str:
+    """`name`, with underscores behind it as long as `taken` has it, in any case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+def aside(df: DataFrame):
+    """`df` with the columns that could clash with the operators' own renamed, which all begin with an underscore.
+
+    Returns the table, its new names by the old ones, and a function that cuts a result down to the columns of `df`
+    and gives them their names back.
+    """
+    names: dict[str, str] = {}
+    for k, c in enumerate(df.columns):
+        names[c] = free(f"kept{k}", [*df.columns, *names.values()]) if c.startswith("_") else c
+    plain = df if list(names) == list(names.values()) else df.toDF(*names.values())
+    return plain, names, lambda out: out.select(*names.values()).toDF(*names)
+
+
 def keyed(df: DataFrame, name: str = "keyed") -> DataFrame:
     """Add a stable row key: two longs, the file's hash and the row's number in it.
 

@@ -17,7 +17,6 @@ rows marks nothing; repeated documents are judged one by one.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import ALNUM, chunks, share, shared
+from .common import ALNUM, aside, chunks, share, shared
 from .fmindex import FMIndex
 
 
@@ -243,8 +242,5 @@ def report(docs: DataFrame, keys: list[str], text: str, benchmark: DataFrame, **
 
 def clean(docs: DataFrame, text: str, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    return scan(docs, text, benchmark, **options).where(F.size("_from") == 0).select(*docs.columns)
-
-
-def items_digest(ids: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+    plain, names, back = aside(docs)
+    return back(scan(plain, names[text], benchmark, **options).where(F.size("_from") == 0))

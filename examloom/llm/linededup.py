@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import KEY, keyed
+from .common import KEY, aside, keyed
 from .graph import components
 
 #: Words are counted in 8-bit lanes of a long, so many at a time that none overflows.
@@ -194,11 +194,12 @@ def decide(docs: DataFrame, doc_id: str, text: str, percent: int = 90, bits: int
 
 def clean(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:
     """The documents with only the lines that stay; a document that loses all its lines keeps an empty text."""
-    rows = keyed(docs, "lines-input")
+    plain, names, back = aside(docs)
+    rows, doc_id, text = keyed(plain, "lines-input"), names[doc_id], names[text]
     kept = decide(rows, doc_id, text, **options).select(*KEY, F.col("kept").alias("_kept"))
     lines = lines_of(F.col(text))
     new = F.array_join(F.transform("_kept", lambda i: F.element_at(lines, i + 1)), "\n")
-    return rows.join(kept, KEY).withColumn(text, F.when(F.col(text).isNotNull(), new)).select(*docs.columns)
+    return back(rows.join(kept, KEY).withColumn(text, F.when(F.col(text).isNotNull(), new)))
 
 
 def report(docs: DataFrame, doc_id: str, text: str, **options) -> DataFrame:

@@ -8,7 +8,9 @@ taken words change by nothing but the rounding of its very last row. Rows are pa
 which leaves one fractional row; these are paired again, `fan_in` buckets at a time, up a tree until each source has
 one left, which a last draw rounds.
 
-Draws and orders come from hashes of the row's columns and the seed: reruns agree, and so does a repeated task.
+Draws and orders come from hashes of the row's columns and the seed: reruns agree, and so does a repeated task. Rows that
+are equal in all these columns are told apart by their number among themselves. So many rows of one id spread over the
+buckets like any others, and as equal rows can stand for each other, it makes no difference which gets which number.
 
 Defined cases: null text has size 0; rows of size 0 are rounded on their own; a source whose size is 0 has target 0
 and no copies; null is a source of its own and sorts last; repeated rows are separate rows; an empty table stays empty.
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import KEY, keyed, numbered
+from .common import KEY, aside, keyed, numbered, small
 
 SALTS = 64
 
@@ -104,6 +106,7 @@ def mix(
     source: str,
     size: Column,
     order: list[str],
+    same: list[str] = (),
     keep: list[str] = (),
     weights=(5, 2, 1),
     budget: float = 1.5,
@@ -114,11 +117,12 @@ def mix(
 ) -> DataFrame:
     """Per row of `df`: its row key, the columns `keep`, size, source_size, target and copies.
 
-    `df` must be the result of `keyed`. `order` names the columns whose hash orders rows and drives the draws.
+    `df` must be the result of `keyed`. `order` names the columns whose hash orders rows and drives the draws, `same` all
+    others in which rows of one key may differ.
     """
     with scratch(df.sparkSession) as stay:
         options = (list(weights), budget, cap, seed, bucket_rows, fan_in)
-        return stay(_mix(df, source, size, order, [*KEY, *keep], *options), "mixed")
+        return stay(_mix(df, source, size, [*order, *same], [*KEY, *keep], *options), "mixed")
 
 
 def _mix(
@@ -131,7 +135,7 @@ def _mix(
         size.alias("size"),
         F.xxhash64(F.lit(seed), *order).alias("_h"),
     ).withColumn("_src", source_key("source"))
-    rows = materialize(rows, "mix-rows")
+    rows = told_apart(materialize(rows, "mix-rows"))
     want = targets(rows, weights, budget, cap)
     # one source may hold most rows: its rows meet its target under many keys
     salted = want.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -176,6 +180,18 @@ def _mix(
     )
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """Rows that share a hash get further ones from their number among themselves."""
+    twins = rows.groupBy("_h").agg(F.count("*").alias("_c")).where("_c > 1").select("_h")
+    twins = materialize(twins, "mix-twins")
+    if twins.isEmpty():
+        return rows
+    twins = small(twins)
+    again = numbered(rows.join(twins, "_h", "left_semi"), ["_h"], "mix-twins", "_nth")
+    again = again.withColumn("_h", F.xxhash64("_h", "_nth")).drop("_nth")
+    return materialize(rows.join(twins, "_h", "left_anti").unionByName(again), "mix-rows")
+
+
 def draws(h: np.ndarray, seed: int, turn: int) -> np.ndarray:
     """A number in [0, 1) for each hash, other ones at each level of the tree."""
     x = h.astype(np.int64).view(np.uint64) + np.uint64((seed * 1_000_003 + turn + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -185,18 +201,23 @@ def draws(h: np.ndarray, seed: int, turn: int) -> np.ndarray:
 
 
 def mixed(df: DataFrame, source: str, size: Column, order: list[str], **options) -> DataFrame:
-    """The mix itself: every row as often as it is taken, with the columns of `df`."""
-    rows = keyed(df, "mix-input")
-    taken = mix(rows, source, size, order, **options).where("copies > 0")
+    """The mix itself: every row as often as it is taken, with the columns of `df`.
+
+    `size` may read any column whose name does not begin with an underscore.
+    """
+    plain, names, back = aside(df)
+    rows = keyed(plain, "mix-input")
+    same = [names[c] for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    taken = mix(rows, names[source], size, [names[c] for c in order], same, **options).where("copies > 0")
     taken = taken.select(*KEY, F.col("copies").alias("_copies"))
     out = rows.join(taken, KEY).withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return out.select(*df.columns)
+    return back(out)
 
 
 def report(df: DataFrame, keys: list[str], source: str, text: str, **options) -> DataFrame:
     """Per row: keys, size, source_size, target and the words taken."""
     rows = keyed(df.select(*keys, source, text), "mix-input")
-    got = mix(rows, source, words(F.col(text)), keys, keep=keys, **options)
+    got = mix(rows, source, words(F.col(text)), keys, [source, text], keys, **options)
     return got.select(
         *keys, "size", F.col("source_size").cast("long"), "target", (F.col("size") * F.col("copies")).alias("taken")
     )

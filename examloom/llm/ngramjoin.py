@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
-from .common import KEY, chunks, keyed, share, shared, small
+from .common import KEY, aside, chunks, keyed, share, shared, small
 from .graph import components
 
 SKETCH_BITS, SKETCH_ROWS = 20, 256
@@ -515,7 +515,8 @@ def report(docs: DataFrame, doc_id: str, text: str, k: int = 3, percent: int = 9
 
 def distinct(docs: DataFrame, doc_id: str, text: str, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id (then the first row); empty texts all stay."""
-    rows = keyed(docs, "join-input")
+    plain, names, back = aside(docs)
+    rows, doc_id, text = keyed(plain, "join-input"), names[doc_id], names[text]
     with scratch(docs.sparkSession) as stay:
         linked = stay(link(rows, text, [doc_id], k, percent), "linked")
     order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), *KEY)
@@ -523,4 +524,4 @@ def distinct(docs: DataFrame, doc_id: str, text: str, k: int = 5, percent: int =
     gone = linked.join(first, "_root").where(
         (F.col("_first")[KEY[0]] != F.col(KEY[0])) | (F.col("_first")[KEY[1]] != F.col(KEY[1]))
     )
-    return rows.join(gone.select(*KEY), KEY, "left_anti").select(*docs.columns)
+    return back(rows.join(gone.select(*KEY), KEY, "left_anti"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import chunks, share, shared
+from .common import chunks, free, share, shared
 
 #: Byte classes that are counted: as shares of the text's bytes.
 CLASSES = {
@@ -200,7 +200,8 @@ def matrix(texts: list[bytes | None]) -> np.ndarray:
 def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str, use: Column, most: int = 12_000) -> dict:
     """Fit from the labels of the documents whose id `use` (on a column doc_id) lets in.
 
-    Only the ids and labels of the sample are sent around: they are at most `most` rows.
+    Only the ids and labels of the sample are sent around: they are at most `most` rows. So are the measured rows that
+    the model is fitted on, even if many documents share an id: the first by a hash of the id, then by what was measured.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("_y"))
     known = known.where(use & F.col("_y").isin(0, 1))
@@ -216,7 +217,8 @@ def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "_y", *FEATURES])
 
     kind = dict(rows.dtypes)["doc_id"]
-    got = rows.mapInArrow(measure, f"doc_id {kind}, _y int, " + ", ".join(f"{f} double" for f in FEATURES)).toPandas()
+    got = rows.mapInArrow(measure, f"doc_id {kind}, _y int, " + ", ".join(f"{f} double" for f in FEATURES))
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", "_y", *FEATURES).limit(most).toPandas()
     got = got.sort_values(list(got.columns), kind="stable")  # the same model whatever the order of tasks
     return fit(got[FEATURES].to_numpy(float), got["_y"].to_numpy(float))
 
@@ -224,15 +226,22 @@ def train(docs: DataFrame, doc_id: str, text: str, labels: DataFrame, label: str
 def score(docs: DataFrame, text: str, model: dict, keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """Add the score of each whole text to the columns `keep` of `docs`."""
     keep = docs.columns if keep is None else keep
-    rows = docs.select(*keep, F.col(text).alias("_text"))
+    inner = free("_text", [*keep, out])
+    rows = docs.select(*keep, F.col(text).alias(inner))
     handle = share(docs.sparkSession, model)
-    schema = StructType([*(f for f in rows.schema.fields if f.name not in ("_text", out)), StructField(out, DoubleType())])
+    schema = StructType([*(f for f in rows.schema.fields if f.name not in (inner, out)), StructField(out, DoubleType())])
     names = [f.name for f in schema.fields[:-1]]
 
     def run(it):
         model = shared(handle)
-        for batch, texts in chunks(it, "_text"):
+        for batch, texts in chunks(it, inner):
             cols = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(predict(model, matrix(texts)))], [*names, out])
 
     return rows.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, text: str, model: dict, least: float = 0.5) -> DataFrame:
+    """The documents whose score is at least `least`, with their own columns."""
+    out = free("_score", docs.columns)
+    return score(docs, text, model, out=out).where(F.col(out) >= least).drop(out)
