@@ -19,7 +19,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drop what the classifier rejects (score below 0.5). It learns from all labels of the documents given."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, "doc_id", "text", labels, "quality", F.lit(True))
-    return quality.score(docs, "text", model, out="_score").where("_score >= 0.5").drop("_score")
+    return quality.accepted(docs, "text", model, least=0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
