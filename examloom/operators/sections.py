@@ -38,16 +38,21 @@ def in_sections(rows: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def section_trials(words: DataFrame, tokens: DataFrame, sections: DataFrame) -> DataFrame:
-    """De-duplicated anchors of every (section, pattern, tolerance) that the section's pattern lets in."""
+    """De-duplicated anchors of every section and pattern that the section's pattern lets in, with margins of their own.
+
+    Sections hold whole pages, and candidates are found page by page: so they are found first, and only these few meet the
+    sections, not all words.
+    """
     wanted = sections.select(F.col("section_id").alias("doc_id"), F.col("pattern").alias("_wanted"))
     scanned = sections.filter("pattern = 'ocr'")
-    c = O.candidates(in_sections(words, sections.filter("pattern <> 'ocr'"))).join(wanted, "doc_id")
+    c = materialize(O.candidates(words), "anchor-candidates")
+    c = in_sections(c, sections.filter("pattern <> 'ocr'")).join(wanted, "doc_id")
     c = materialize(c.filter("_wanted in ('auto', pattern)").drop("_wanted"), "section-candidates")
-    t = O.token_anchors(in_sections(tokens, scanned))
+    t = in_sections(materialize(O.token_anchors(tokens), "anchor-tokens"), scanned)
     t = t.withColumnRenamed("pos", "word_no").withColumn("pattern", F.lit("ocr")).withColumn("prank", F.lit(0))
     t = materialize(t.select(*c.columns), "section-tokens")
     parts = ((c, O.TOLERANCES), (t, [TOKEN_TOLERANCE]))
-    near = [O.dedupe_near(O.within_margins(x, O.margin_clusters(x, tuple(tols)))) for x, tols in parts]
+    near = [O.dedupe_near(O.within_margins(x, O.distinct_margins(O.margin_clusters(x, tuple(tols))))) for x, tols in parts]
     return near[0].unionByName(near[1])
 
 

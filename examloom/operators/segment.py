@@ -170,15 +170,26 @@ def choose_pattern(best: DataFrame, forced: DataFrame | None = None) -> DataFram
     return c.select("doc_id", "_c.*")
 
 
-def trials(words: DataFrame) -> DataFrame:
-    """De-duplicated anchors of every (doc, pattern, tolerance)."""
+def distinct_margins(clusters: DataFrame) -> DataFrame:
+    """The kept margins of the first tolerance only, where several keep the same ones.
+
+    Their trials are equal, and of equal trials the first tolerance is the best.
+    """
+    sets = clusters.filter("kept").groupBy(*TRIAL).agg(F.array_sort(F.collect_list("x0")).alias("_xs"))
+    firsts = sets.groupBy("doc_id", "pattern", "_xs").agg(F.min("tol").alias("tol"))
+    return firsts.select(*TRIAL, F.explode_outer("_xs").alias("x0"), F.lit(True).alias("kept"))
+
+
+def trials(words: DataFrame, distinct: bool = False) -> DataFrame:
+    """De-duplicated anchors of every (doc, pattern, tolerance), or only of tolerances with margins of their own."""
     c = materialize(candidates(words), "anchor-candidates")
-    return dedupe_near(within_margins(c, margin_clusters(c)))
+    margins = margin_clusters(c)
+    return dedupe_near(within_margins(c, distinct_margins(margins) if distinct else margins))
 
 
 def find_anchors(words: DataFrame) -> DataFrame:
     """The item anchors of every document."""
-    t = materialize(trials(words), "anchor-trials")
+    t = materialize(trials(words, distinct=True), "anchor-trials")
     chosen = choose_pattern(best_tolerance(trial_stats(t))).select(*TRIAL)
     return t.join(chosen, TRIAL, "left_semi").drop("tol", "prank")
 

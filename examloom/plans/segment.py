@@ -116,7 +116,7 @@ def clean_sequence(spark, d):
 
 @query("best_tolerance", "v_best", "SELECT * FROM v_best")
 def best_tolerance(spark, d):
-    return O.best_tolerance(O.trial_stats(materialize(O.trials(words(spark, d)), "anchor-trials")))
+    return O.best_tolerance(O.trial_stats(materialize(O.trials(words(spark, d), distinct=True), "anchor-trials")))
 
 
 @query("choose_anchors", "v_anchors", "SELECT doc_id, pattern, page, word_no, y0, x0, number FROM v_anchors")
