@@ -33,14 +33,19 @@ def candidates(words: DataFrame) -> DataFrame:
     """
     box = ["doc_id", "page", "word_no", "y0", "y1", "x0"]
     text = F.col("text")
+    # Folding leaves ASCII as it is and is left to the few words that may end with the item word when folded.
+    ascii_only = F.octet_length(text) == F.length(text)
+    last = F.substring(text, -1, 1)
+    folds = ~ascii_only & (F.octet_length(text) >= 7) & (last.isin("o", "O") | (F.octet_length(last) > 1))
+    maybe = folds | (ascii_only & F.endswith(F.upper(text), F.lit("QUESTAO")))
     head = (F.length(text) >= 7) & F.endswith(F.upper(tx.fold(text)), F.lit("QUESTAO"))
     sparse = (
-        words.select(*box, "text", head.alias("_head"))
-        .filter(F.col("_head") | text.rlike(r"^\d"))
+        words.select(*box, "text")
+        .filter(F.substring(text, 1, 1).between("0", "9") | maybe)
         .withColumn("_lead", F.regexp_extract(text, r"^0*(\d+)", 1).try_cast("bigint"))
     )
     w = W.partitionBy("doc_id", "page").orderBy("word_no")
-    sparse = sparse.withColumn("_next", F.lead(F.struct("word_no", "_lead")).over(w))
+    sparse = sparse.withColumn("_next", F.lead(F.struct("word_no", "_lead")).over(w)).withColumn("_head", head)
     adjacent = (F.col("_next.word_no") == F.col("word_no") + 1) & F.col("_next._lead").isNotNull()
     patterns = (
         F.when(F.col("_head"), F.when(adjacent, F.array(F.lit("questao"))))
@@ -61,7 +66,8 @@ def candidates(words: DataFrame) -> DataFrame:
 def token_anchors(tokens: DataFrame, scale: float = 2.0) -> DataFrame:
     """Anchors in scanner tokens: `21.`/`21-`, or `21` with a dash or dot right after it on its line."""
     t = F.col("_t")
-    sparse = tokens.withColumn("_t", F.trim("text")).filter(t.rlike(r"^(?:\d{1,2}[.\-]?|[.\-])$"))
+    sparse = tokens.withColumn("_t", F.trim("text"))
+    sparse = sparse.filter((F.length(t) <= 5) & t.rlike(r"^(?:\d{1,2}[.\-]?|[.\-])$"))  # long words without the regex
     w = W.partitionBy("doc_id", "page").orderBy("pos")
     nxt = F.lead(F.struct("pos", "_t", "block_num", "line_num", "left")).over(w)
     sparse = sparse.withColumn("_n", nxt)

@@ -274,16 +274,21 @@ def words(spark, d) -> DataFrame:
         )
 
     def tokens(line, i):
-        lead = prefix(i)
-        own = F.filter(F.split(line, " "), lambda w: w != "")
-        return F.transform(
-            F.concat(lead, own),
-            lambda w, j: F.struct(w.alias("text"), i.alias("i"), j.alias("j"), F.size(lead).alias("p")),
-        )
-
-    all_tokens = F.flatten(F.transform(F.split("text", "\n"), tokens))
-    w = docs.select("doc_id", F.posexplode_outer(all_tokens).alias("word_no", "w")).select("doc_id", "word_no", "w.*")
-    i, j, p = F.col("i"), F.col("j"), F.col("p")
+        return F.concat(prefix(i), F.array_remove(F.split(line, " "), ""))
+
+    def places(ws, i):
+        first = F.shiftleft(i.cast("bigint"), 32)
+        return F.sequence(first, first + F.size(ws) - 1)
+
+    # line and place in it as one long per word, made line by line: nothing is done for single words before they are rows
+    by_line = docs.select("doc_id", F.transform(F.split("text", "\n"), tokens).alias("ls"))
+    flat = by_line.select("doc_id", F.flatten("ls").alias("ws"), F.flatten(F.transform("ls", places)).alias("at"))
+    # the array of places is only read in Spark's compiled loop over the words, it is not copied into their rows
+    w = flat.select("doc_id", "at", F.posexplode_outer("ws").alias("word_no", "text"))
+    w = w.select("doc_id", "word_no", "text", F.get("at", F.col("word_no")).alias("at"))
+    i = F.shiftright("at", 32).cast("int")
+    j = F.col("at").bitwiseAND(0xFFFFFFFF).cast("int")
+    p = F.when((style >= 2) | ((i + 1) % 7 == 0), 2).otherwise(1)
     margin = F.lit(50.0) + (i + 1) % 3 * 1.5
     second = F.when(style == 2, F.lit(62.0)).when(style == 3, F.lit(110.0)).otherwise(margin)
     x0 = F.when(j == 0, margin).when(j < p, second).otherwise(F.lit(130.0) + (j - p) * 20.0)
