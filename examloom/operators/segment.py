@@ -243,23 +243,32 @@ def regions(anchors: DataFrame) -> DataFrame:
 def segment_text(words: DataFrame, anchors: DataFrame) -> DataFrame:
     """The words of each item's region, in reading order.
 
-    The regions of a page ride along with its words (an equi-join on the page), so there is no range join. Words become
-    one string per item and page first, by a grouping that the join's partitioning by page already serves; only these few
-    strings meet per item, so no task holds the words of more than a page at a time.
+    Words of one height on a page lie in the same regions, so they become one line first, partly before anything is
+    shuffled; a line without foreign words between its own goes on as one string. The regions of a page ride along with its
+    lines (an equi-join on the page), so there is no range join. Lines become one string per item and page, by a grouping
+    that the join's partitioning by page already serves; only these few strings meet per item, so no task holds the words
+    of more than a page at a time.
     """
     rects = materialize(regions(materialize(anchors, "anchors")), "regions")
+
+    def joined(parts):
+        texts = F.array_compact(parts["text"])
+        return F.when(F.size(texts) > 0, F.array_join(texts, " ")).alias("text")
+
+    ws = F.col("ws")
+    start = ws[0]["at"]
+    lines = words.groupBy("doc_id", "page", "y0").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("word_no").alias("at"), "text"))).alias("ws")
+    )
+    gapless = F.element_at(ws, -1)["at"] - start + 1 == F.size(ws)
+    lines = lines.withColumn("ws", F.when(gapless, F.array(F.struct(start.alias("at"), joined(ws)))).otherwise(ws))
     y = F.col("y0")
-    j = words.select("doc_id", "page", "word_no", "text", "y0").join(rects, ["doc_id", "page"])
     hit = F.filter("rects", lambda r: (y >= r["top"]) & (y < r["bottom"]))
-    inside = j.select("doc_id", "page", "word_no", "text", F.explode(hit).alias("r"))
+    inside = lines.join(rects, ["doc_id", "page"]).select("doc_id", "page", "ws", F.explode_outer(hit).alias("r")).filter("r is not null")
     item = ["doc_id", F.col("r.seg").alias("seg"), F.col("r.number").alias("number")]
-
-    def joined(*order):
-        parts = F.array_sort(F.collect_list(F.struct(*order, "text")))
-        return F.array_join(F.transform(parts, lambda w: w["text"]), " ").alias("text")
-
-    on_page = inside.groupBy("page", *item).agg(joined("word_no"), F.min("word_no").alias("at"))
-    return on_page.groupBy("doc_id", "seg", "number").agg(joined("at"))
+    on_page = inside.groupBy("page", *item).agg(F.sort_array(F.flatten(F.collect_list("ws"))).alias("ws"))
+    on_page = on_page.select("doc_id", "seg", "number", start.alias("at"), joined(ws))
+    return on_page.groupBy("doc_id", "seg", "number").agg(joined(F.sort_array(F.collect_list(F.struct("at", "text")))))
 
 
 def sequence_gaps(anchors: DataFrame) -> DataFrame:

@@ -35,3 +35,14 @@ def test_words_become_rows_in_compiled_code(spark, tmp_path):
     assert w.filter("text is null").count() == 1  # the document without text
     generate = [line for line in w._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate " in line]
     assert generate and all("*(" in line for line in generate)
+
+
+def test_regions_meet_lines(spark):
+    # two columns read one after the other: words of one height are not neighbours in reading order
+    texts = {(0, 10.0): "1.", (1, 10.0): "a", (2, 30.0): "b", (3, 30.0): None, (4, 50.0): "2.", (5, 50.0): "c",
+             (6, 10.0): "d", (7, 30.0): "e", (8, 50.0): "f"}
+    words = spark.createDataFrame([(1, 0, no, t, 0.0, y, 1.0, y + 1) for (no, y), t in texts.items()], WORDS)
+    anchors = spark.createDataFrame([(1, 0, 0, 10.0, 1), (1, 0, 4, 50.0, 2)], "doc_id BIGINT, page INT, word_no INT, y0 DOUBLE, number BIGINT")
+    out = O.segment_text(words, anchors)
+    assert {r.number: r.text for r in out.collect()} == {1: "1. a b d e", 2: "2. c f"}
+    assert "collect_list" in plan(out).split("Join Inner", 1)[1]
