@@ -2,7 +2,7 @@
 
 Every input row carries `device_rank`; the higher rank is the "incoming" side and wins ties. Each
 merge is one aggregate (`max_by` over the stamp; Spark sorts for it), so a key with very many copies
-is reduced on the map side, and merging a result with itself changes nothing.
+is reduced on the map side (of large tables in one task, which spills), and merging a result with itself changes nothing.
 """
 
 from __future__ import annotations
@@ -11,17 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import core as fx
-from ..session import materialize
+from ..session import materialize, sized
 
 SNAPSHOT_VERSION = 5
 ATTEMPT_KEYS = ["user_id", "session_id", "question_id", "timestamp"]
 
 
-def lww(rows: DataFrame, keys: list[str], stamp: Column | None = None, tie: tuple[str, ...] = ()) -> DataFrame:
+def lww(rows: DataFrame, keys: list[str], stamp: Column | None = None, tie: tuple[str | Column, ...] = ()) -> DataFrame:
     """Latest row per key; without a stamp the highest device rank wins. Columns `tie` settle what is still equal."""
     rest = [c for c in rows.columns if c not in keys and c != "device_rank"]
     order = F.struct(*([] if stamp is None else [stamp]), "device_rank", *tie)
-    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v"))
+    best = sized(rows, *keys).groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_v"))
     return best.select(*keys, "_v.*")
 
 

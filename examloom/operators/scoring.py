@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import core as fx
+from ..session import sized
 
 
 def session_items(sessions: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def grade(items: DataFrame, questions: DataFrame, how: str = "inner") -> DataFra
     bank = questions.select(
         "question_id", "year", "number", "area", "answer", "annulled", "topics", "bank_pos", F.lit(True).alias("known")
     )
-    return items.join(bank, "question_id", how).withColumn(
+    return sized(items, "question_id").join(bank, "question_id", how).withColumn(
         "correct", F.coalesce(fx.is_correct("annulled", "response", "answer"), F.lit(False))
     )
 
@@ -69,10 +70,11 @@ def primary(topics="topics"):
 
 def score_by_topic(graded: DataFrame, only_weak: bool = True) -> DataFrame:
     """Correct/total/rate per primary topic; worst first is (rate, -total)."""
+    by = ["user_id", "session_id", "slug"]
+    tagged = graded.withColumn("slug", primary()).filter("slug is not null").select(*by, "correct")
     out = (
-        graded.withColumn("slug", primary())
-        .filter("slug is not null")
-        .groupBy("user_id", "session_id", "slug")
+        sized(tagged, *by)
+        .groupBy(*by)
         .agg(F.count("*").alias("total"), F.count_if("correct").alias("correct"))
         .withColumn("rate", fx.ratio("correct", "total"))
     )

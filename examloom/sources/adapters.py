@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import core as fx
+from ..session import sized
 
 # "now" for every due-date computation below: 2000-01-01T00:00:00Z
 NOW = 946_684_800_000
@@ -109,7 +110,7 @@ def raw_items(spark, d) -> DataFrame:
 def items(spark, d) -> DataFrame:
     """Every item of every session, with its owner and session times."""
     s = sessions(spark, d).select("session_id", "user_id", "created_at", "finished_at", "time_limit_seconds")
-    return raw_items(spark, d).join(s, "session_id")
+    return sized(raw_items(spark, d), "session_id").join(s, "session_id")
 
 
 def attempts(spark, d) -> DataFrame:
@@ -130,14 +131,15 @@ def attempts(spark, d) -> DataFrame:
         F.col("session_id").alias("seq"),
         "flagged",
     )
-    return i.join(s, "session_id")
+    return sized(i, "session_id").join(s, "session_id")
 
 
-def srs(spark, d) -> DataFrame:
-    """One schedule row per (user, item)."""
+def srs(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    """One schedule row per (user, item); `rows` are the attempts, if they are at hand."""
     interval = F.when(F.max_by("correct", F.struct("timestamp", "seq")), F.lit(6)).otherwise(F.lit(1))
+    rows = (attempts(spark, d) if rows is None else rows).select("user_id", "question_id", "correct", "timestamp", "seq")
     return (
-        attempts(spark, d)
+        sized(rows, "user_id", "question_id")
         .groupBy("user_id", "question_id")
         .agg(
             F.count_if("correct").alias("repetitions"),
@@ -163,12 +165,12 @@ def srs_all(spark, d) -> DataFrame:
     return s.unionByName(gone)
 
 
-def topic_srs(spark, d) -> DataFrame:
-    """One schedule row per (user, primary topic)."""
+def topic_srs(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    """One schedule row per (user, primary topic); `rows` are the attempts, if they are at hand."""
     q = questions(spark, d).select("question_id", F.try_element_at("topics", F.lit(1)).alias("slug"))
+    rows = sized((attempts(spark, d) if rows is None else rows).select("question_id", "user_id", "correct", "timestamp"), "question_id")
     return (
-        attempts(spark, d)
-        .join(q.filter("slug is not null"), "question_id")
+        sized(rows.join(q.filter("slug is not null"), "question_id").drop("question_id"), "user_id", "slug")
         .groupBy("user_id", "slug")
         .agg(
             F.count_if("correct").alias("repetitions"),
@@ -189,12 +191,11 @@ def topic_srs(spark, d) -> DataFrame:
     )
 
 
-def marks(spark, d) -> DataFrame:
-    """One review mark per (user, item) that was ever flagged in a finished session."""
+def marks(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    """One review mark per (user, item) that was ever flagged in a finished session; `rows` are the attempts, if they are at hand."""
     reason = F.element_at(F.array(*[F.lit(r) for r in fx.REASONS]), (F.col("question_id") % 4 + 1).cast("int"))
     return (
-        attempts(spark, d)
-        .filter("flagged")
+        sized((attempts(spark, d) if rows is None else rows).filter("flagged"), "user_id", "question_id")
         .groupBy("user_id", "question_id")
         .agg(
             F.max_by("session_id", F.struct("timestamp", "seq")).alias("session_id"),
