@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import core as fx
-from ..session import materialize, sized
+from ..session import sized
 
 SNAPSHOT_VERSION = 5
 ATTEMPT_KEYS = ["user_id", "session_id", "question_id", "timestamp"]
@@ -58,33 +58,29 @@ def merge_marks(rows: DataFrame) -> DataFrame:
 
 def merge_all(sessions: DataFrame, attempts: DataFrame, srs: DataFrame, topic_srs: DataFrame, marks: DataFrame,
               tombstones: DataFrame) -> dict[str, DataFrame]:
-    """The six merged tables from all device copies (each with `device_rank`, tombstones without) in one pass.
+    """The six merged tables from all device copies (each with `device_rank`, tombstones without).
 
-    The tables become one tagged union, keyed by kind and key, and one aggregate picks every winner; tombstones go along
-    and then take their sessions out. Equal stamps of one device are settled by the rows' content.
+    Every table is one aggregate over its own keys and columns, so no row carries more through the shuffle than it has.
+    Tombstones take their sessions out. Equal stamps of one device are settled by the rows' content.
     """
     stamps = {
         "sessions": (sessions, ["user_id", "session_id"], fx.touched_at("updated_at", "finished_at", "created_at")),
-        "attempts": (attempts, ATTEMPT_KEYS, F.lit(0)),
+        "attempts": (attempts, ATTEMPT_KEYS, None),
         "srs": (srs, ["user_id", "question_id"], F.col("last_reviewed_at")),
         "topic_srs": (topic_srs, ["user_id", "slug"], F.col("last_reviewed_at")),
         "marks": (marks, ["user_id", "question_id"], F.col("updated_at")),
-        "tombstones": (tombstones.withColumn("device_rank", F.lit(0)), ["user_id", "session_id"], F.col("deleted_at")),
     }
-    union = None
-    for kind, (rows, keys, stamp) in stamps.items():
-        body = F.struct(*[c for c in rows.columns if c != "device_rank"])
-        part = rows.select(
-            F.lit(kind).alias("kind"), F.to_json(F.struct(*keys)).alias("key"),
-            F.struct(stamp.cast("bigint").alias("s"), F.col("device_rank").cast("int").alias("d"), F.xxhash64(F.to_json(body)).alias("t")).alias("order"),
-            body.alias(kind),
-        )
-        union = part if union is None else union.unionByName(part, allowMissingColumns=True)
-    best = union.groupBy("kind", "key").agg(F.max_by(F.struct(*stamps), "order").alias("_v"))
-    best = materialize(best.select("kind", "_v.*"), "merged")
-    out = {kind: best.filter(F.col("kind") == kind).select(f"{kind}.*") for kind in stamps}
-    graves = out["tombstones"].select("user_id", "session_id")
-    return out | {"sessions": out["sessions"].join(graves, ["user_id", "session_id"], "left_anti")}
+    out = {kind: lww(rows, keys, stamp, tie=(content(rows, keys),)) for kind, (rows, keys, stamp) in stamps.items()}
+    graves = merge_tombstones(tombstones)
+    alive = out["sessions"].join(graves.select("user_id", "session_id"), ["user_id", "session_id"], "left_anti")
+    return out | {"sessions": alive, "tombstones": graves}
+
+
+def content(rows: DataFrame, keys: list[str]) -> Column:
+    """A hash of a row's content beside its keys, nulls told apart from values; columns of maps and the like as JSON."""
+    plain = {f.name: F.to_json(F.struct(f.name)) if "<" in f.dataType.simpleString() else F.col(f.name)
+             for f in rows.schema if f.name not in (*keys, "device_rank")}
+    return F.xxhash64(*[x for c in plain.values() for x in (c.isNull(), c)])
 
 
 def migrate_sessions(sessions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core as fx
 from ..operators import merge as M
+from ..session import materialize
 from ..sources import adapters as A
 from .registry import query
 from .views import NOW
@@ -62,8 +63,8 @@ def merge_sessions(spark, d):
 ATTEMPT_COLS = ["user_id", "session_id", "question_id", "timestamp", "answer", "correct", "seconds_spent"]
 
 
-def dev_attempts(spark, d):
-    a = A.attempts(spark, d).select(*ATTEMPT_COLS)
+def dev_attempts(spark, d, rows=None):
+    a = (A.attempts(spark, d) if rows is None else rows).select(*ATTEMPT_COLS)
     left = a.filter("seconds_spent <= 200").withColumn("device_rank", F.lit(0))
     right = a.filter("seconds_spent >= 100").withColumn("seconds_spent", F.col("seconds_spent") + 1)
     return left.unionByName(right.withColumn("device_rank", F.lit(1)))
@@ -94,8 +95,8 @@ DEV_SRS = f"""dd AS (SELECT {SRS_COLS}, 0 AS dev FROM v_srs WHERE repetitions <=
     last_reviewed_at + CASE WHEN interval_days = 6 THEN 0 ELSE -1000 END, 1 FROM v_srs)"""
 
 
-def dev_srs(spark, d):
-    s = A.srs(spark, d)
+def dev_srs(spark, d, rows=None):
+    s = A.srs(spark, d, rows)
     shift = F.when(F.col("interval_days") == 6, 0).otherwise(-1000)
     b = s.withColumn("due_at", F.col("due_at") + 7).withColumn("last_reviewed_at", F.col("last_reviewed_at") + shift)
     return s.filter("repetitions <= 1").withColumn("device_rank", F.lit(0)).unionByName(b.withColumn("device_rank", F.lit(1)))
@@ -118,8 +119,8 @@ def merge_topic_srs(spark, d):
     return M.merge_topic_srs(dev_topic_srs(spark, d))
 
 
-def dev_topic_srs(spark, d):
-    s = A.topic_srs(spark, d)
+def dev_topic_srs(spark, d, rows=None):
+    s = A.topic_srs(spark, d, rows)
     shift = F.when(F.col("repetitions") >= 2, -1000).otherwise(1000)
     b = s.filter("interval_days >= 2").withColumn("due_at", F.col("due_at") + 7)
     b = b.withColumn("last_reviewed_at", F.col("last_reviewed_at") + shift).withColumn("device_rank", F.lit(1))
@@ -138,8 +139,8 @@ def merge_marks(spark, d):
     return M.merge_marks(dev_marks(spark, d))
 
 
-def dev_marks(spark, d):
-    m = A.marks(spark, d)
+def dev_marks(spark, d, rows=None):
+    m = A.marks(spark, d, rows)
     shift = F.when(F.col("resolved_at").isNull(), -1000).otherwise(1000)
     b = m.filter("reason <> 'lento'").withColumn("note", F.lit("b"))
     b = b.withColumn("updated_at", F.col("updated_at") + shift).withColumn("device_rank", F.lit(1))
@@ -151,7 +152,7 @@ def _kind_sql(name: str, cte: str, keys: str, stamp: str, key: str, value: str,
       QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY {stamp} DESC, dev DESC) = 1)"""
 
 
-# all six tables in one pass; a column of each shows which copy won
+# all six tables; a column of each shows which copy won
 @query("merge_all", "v_sessions v_attempts v_srs v_topic_srs v_marks", " UNION ALL ".join([
     _kind_sql("sessions", DEV_SESSIONS.replace("ds AS", "dd AS") + ", " + DEV_TOMBS, "user_id, session_id",
               "coalesce(updated_at, finished_at, created_at)", "session_id::VARCHAR", "label", "ANTI JOIN dt USING (user_id, session_id)"),
@@ -163,9 +164,9 @@ def _kind_sql(name: str, cte: str, keys: str, stamp: str, key: str, value: str,
     f"SELECT 'tombstones', user_id, session_id::VARCHAR, max(deleted_at)::VARCHAR FROM (WITH {DEV_TOMBS} SELECT * FROM dt) GROUP BY user_id, session_id",
 ]))
 def merge_all(spark, d):
-    out = M.merge_all(
-        dev_sessions(spark, d), dev_attempts(spark, d), dev_srs(spark, d), dev_topic_srs(spark, d), dev_marks(spark, d), dev_tombstones(spark, d)
-    )
+    a = materialize(A.attempts(spark, d), "attempts")  # four tables are made of them
+    devices = (dev(spark, d, a) for dev in (dev_attempts, dev_srs, dev_topic_srs, dev_marks))
+    out = M.merge_all(dev_sessions(spark, d), *devices, dev_tombstones(spark, d))
     show = {
         "sessions": (["session_id"], F.col("label")), "attempts": (["session_id", "question_id", "timestamp"], F.floor("seconds_spent").cast("string")),
         "srs": (["question_id"], F.col("due_at").cast("string")), "topic_srs": (["slug"], F.col("due_at").cast("string")),

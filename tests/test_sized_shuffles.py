@@ -33,3 +33,21 @@ def test_merges_and_scores_of_large_tables(spark, tmp_path, monkeypatch):
     large = [step() for step in steps]
     assert all(x.rdd.getNumPartitions() > 4 for x in large)
     assert [sorted(map(repr, x.collect())) for x in large] == small and all(small)
+
+
+def test_merge_all_shuffles_own_rows(spark):
+    t = {
+        "sessions": spark.createDataFrame([(1, 1, "s", 1, 2, 3, {"a": "b"}, 0), (1, 2, "s", 1, 2, 3, None, 0)],
+                                          "user_id BIGINT, session_id BIGINT, label STRING, created_at BIGINT, finished_at BIGINT, updated_at BIGINT, notes MAP<STRING,STRING>, device_rank INT"),
+        "attempts": spark.createDataFrame([(1, 1, 1, 1, "A", None, 2.0, 0), (1, 1, 1, 1, None, True, 2.0, 0)],
+                                          "user_id BIGINT, session_id BIGINT, question_id BIGINT, timestamp BIGINT, answer STRING, correct BOOLEAN, seconds_spent DOUBLE, device_rank INT"),
+        "srs": spark.createDataFrame([(1, 1, 2.0, 5, 0)], "user_id BIGINT, question_id BIGINT, interval_days DOUBLE, last_reviewed_at BIGINT, device_rank INT"),
+        "topic_srs": spark.createDataFrame([(1, "a", 5, 0.5, 0)], SRS),
+        "marks": spark.createDataFrame([(1, 1, "n", 5, 0)], "user_id BIGINT, question_id BIGINT, note STRING, updated_at BIGINT, device_rank INT"),
+        "tombstones": spark.createDataFrame([(1, 2, 5)], "user_id BIGINT, session_id BIGINT, deleted_at BIGINT"),
+    }
+    out = M.merge_all(**t)
+    assert {k: df.count() for k, df in out.items()} == {k: 1 for k in t}
+    for kind in ("attempts", "srs", "topic_srs", "marks"):
+        plan = out[kind]._jdf.queryExecution().optimizedPlan().toString()
+        assert "to_json" not in plan and "label" not in plan and "deleted_at" not in plan, kind
