@@ -136,14 +136,31 @@ def looks_usable(strip, dense_, norm) -> Column:
     )
 
 
-def hits(norm: Column, pattern: str) -> Column:
+def spaced(norm) -> Column:
+    """A normalised text's words, each between blanks of its own: word boundaries as plain text."""
+    marks = "()*+-\\/.,;:"
+    words = F.replace(F.translate(col(norm), marks, " " * len(marks)), F.lit(" "), F.lit("  "))
+    return F.concat(F.lit(" "), words, F.lit(" "))
+
+
+def _times(text: Column, literal: str) -> Column:
+    """How often an ASCII literal stands in a text, by the bytes that go with it."""
+    rest = F.octet_length(F.replace(text, F.lit(literal), F.lit("")))
+    return ((F.octet_length(text) - rest) / len(literal)).cast("int")
+
+
+def hits(norm: Column, pattern: str, words: Column | None = None) -> Column:
     """Number of matches, counted without a regex engine where the pattern is a plain literal.
 
-    Other patterns are tried only on texts that contain their longest mandatory literal.
+    So are literals of word characters between word boundaries, in `words`, the `spaced` text, if it is given. Other
+    patterns are tried only on texts that contain their longest mandatory literal.
     """
+    bounded = re.fullmatch(r"(\\b)?([a-z0-9_]+)(\\b)?", pattern)
+    if words is not None and bounded and (bounded[1] or bounded[3]):
+        literal = " " * bool(bounded[1]) + bounded[2] + " " * bool(bounded[3])
+        return F.when(F.contains(words, F.lit(literal)), _times(words, literal)).otherwise(F.lit(0))
     if re.fullmatch(r"[a-z0-9 /,;:_]+", pattern):
-        lit = F.lit(pattern)
-        return ((F.length(norm) - F.length(F.replace(norm, lit, F.lit("")))) / len(pattern)).cast("int")
+        return _times(norm, pattern)
     count = F.regexp_count(norm, F.lit(pattern))
     need = mandatory_literal(pattern)
     return F.when(F.contains(norm, F.lit(need)), count).otherwise(F.lit(0)) if need else count
@@ -183,13 +200,16 @@ def mandatory_literal(pattern: str) -> str:
     return max([*runs, run], key=len)
 
 
-def topic_scores(norm, rules: list[tuple[str, str, int]]) -> Column:
+def topic_scores(norm, rules: list[tuple[str, str, int]], words=None) -> Column:
     """Array of (slug, score) with score > 0; a rule counts at most MAX_HITS times. A null text is empty.
 
+    `words` is the `spaced` text, as a column of its own, since many rules read it.
+
     One projection over the text: no join with the rule table and no shuffle, whatever the number
     of documents. For rule tables of hundreds of rows see `classify.score_indexed`.
     """
     norm = F.coalesce(col(norm), F.lit(""))
+    words = None if words is None else F.coalesce(col(words), F.lit(""))
     by_slug: dict[str, list[tuple[str, int]]] = {}
     for slug, pattern, weight in rules:
         by_slug.setdefault(slug, []).append((pattern, weight))
@@ -197,7 +217,7 @@ def topic_scores(norm, rules: list[tuple[str, str, int]]) -> Column:
     for slug, items in by_slug.items():
         total = F.lit(0)
         for pattern, weight in items:
-            total = total + F.least(hits(norm, pattern), F.lit(MAX_HITS)) * weight
+            total = total + F.least(hits(norm, pattern, words), F.lit(MAX_HITS)) * weight
         scored.append(F.struct(F.lit(slug).alias("slug"), total.cast("int").alias("score")))
     return F.filter(F.array(*scored), lambda s: s["score"] > 0)
 
