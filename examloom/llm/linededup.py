@@ -7,9 +7,11 @@ lines one occurrence stays, the first by document id, row and line number; blank
 normalising) all stay.
 
 Equal lines become one row first. SimHashes are cut into bits + 2 blocks; two that differ in at most `bits` places
-agree on at least two blocks, so lines meet under the key of each pair of blocks. Under a key all lines meet the
-key's leader (the line with most copies) first; only lines that this leaves outside the leader's component meet the
-others, so no key writes all its pairs. Texts are fetched only for lines with a near SimHash.
+agree on at least two blocks, so lines meet under the key of each pair of blocks and of a band of lengths. Lines whose
+lengths alone rule out a link are no pair. Under a key of at most `DIRECT` lines all meet. Under a larger one all meet
+the key's leader (the line with the smallest number) first; only lines that this leaves outside the leader's component
+meet the others, so no key writes all its pairs. Texts are fetched only for lines in a pair; each line is compared with
+one partner first, then with those that this leaves in another component.
 
 Defined cases: null text has no lines; empty text has one blank line; repeated rows are separate occurrences; ids that
 are null come last; an empty table stays empty; line numbers start at 0.
@@ -17,6 +19,7 @@ are null come last; an empty table stays empty; line numbers start at 0.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -32,19 +35,31 @@ LANE_WORDS = 127
 LANES = 0x0101010101010101
 #: A list of so many line keys is sent to all tasks; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Under a key of so many lines all of them meet.
+DIRECT = 64
+#: What makes a line not blank.
+SOLID = r"[0-9A-Za-z\x80-\x{10FFFF}]"
 
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
+def folded(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
+
+
+def normal(line: Column) -> Column:
+    return F.trim(folded(line))
+
+
 def normal_lines(text: Column) -> Column:
     """The lines of a text, normalised but for blanks at their ends. The text is rewritten once, not line by line."""
-    return lines_of(F.regexp_replace(F.lower(text), r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    return lines_of(folded(text))
 
 
 def occurrences(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """One row per line with words: keep, at, norm, words, h1, h2 (two hashes that stand for the normalised line).
+    """One row per line with words: keep, at, norm, words, len, h1, h2 (two hashes that stand for the normalised line).
 
     The line's columns are made inside the array that is exploded: columns computed behind it would be computed again
     for every word of the line.
@@ -53,8 +68,9 @@ def occurrences(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def parts(line: Column) -> Column:
         norm = F.trim(line)
         return F.struct(
-            norm.alias("norm"), F.split(norm, " ").alias("words"), F.xxhash64(norm).alias("h1"), F.xxhash64(F.lit("second"), norm).alias("h2")
-        )
+            norm.alias("norm"), F.split(norm, " ").alias("words"), F.length(norm).alias("len"),
+            F.xxhash64(norm).alias("h1"), F.xxhash64(F.lit("second"), norm).alias("h2"),
+        )
 
     # outer, as the optimizer would otherwise rewrite the text once more for a filter of its own
     rows = docs.select(*keep, F.posexplode_outer(F.transform(normal_lines(F.col(text)), parts)).alias("at", "line"))
@@ -72,8 +88,8 @@ def majority(ones: list[list[Column]], n: Column) -> Column:
 
 
 def simhashes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep, at, h1, h2 and sim per line. Words are counted in the scanning task, 8 counters to a long."""
-    by = [*keep, "at", "h1", "h2"]
+    """keep, at, h1, h2, len and sim per line. Words are counted in the scanning task, 8 counters to a long."""
+    by = [*keep, "at", "h1", "h2", "len"]
     rows = occurrences(docs, text, keep)
     rows = rows.select(*by, F.size("words").alias("_all"), F.posexplode_outer("words").alias("_k", "_word"))
     rows = rows.select(*by, "_all", F.floor(F.col("_k") / LANE_WORDS).alias("_part"), F.xxhash64(F.lit("word"), "_word").alias("_h"))
@@ -88,26 +104,56 @@ def simhashes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return short.unionByName(long)
 
 
-def block_keys(sim: Column, bits: int) -> Column:
+def bands(length: Column, percent: int) -> Column:
+    """Array of one or two bands of lengths; two lengths whose smaller is at least `percent` % of the larger share one."""
+    if percent < 50:
+        return F.array(F.lit(0))
+    step = max(4 * math.log(100 / percent), 0.1)
+    band = lambda x: F.floor(x / step).cast("int")
+    log = F.log(F.greatest(length, F.lit(1)))
+    return F.array_distinct(F.array(band(log), band(log - (math.log(100 / percent) + 1e-9))))
+
+
+def block_keys(sim: Column, bits: int, band: Column) -> Column:
     """Array of keys: one per pair of blocks."""
     n = bits + 2
     edges = [64 * k // n for k in range(n + 1)]
     part = [F.shiftrightunsigned(sim, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:], strict=False)]
     pairs = combinations(range(n), 2)
-    return F.array(*(F.xxhash64(F.lit(k), part[a], part[b]) for k, (a, b) in enumerate(pairs)))
+    return F.array(*(F.xxhash64(F.lit(k), part[a], part[b], band) for k, (a, b) in enumerate(pairs)))
+
+
+def near(bits: int, percent: int, sim: str, length: str) -> Column:
+    """Whether a line and the one of `sim` and `length` could link, as far as SimHashes and lengths tell."""
+    differ = F.bit_count(F.col("sim").bitwiseXOR(F.col(sim)))
+    longer = F.greatest("len", length)
+    return (differ <= bits) & (longer - F.least("len", length) <= F.floor(longer * (100 - percent) / 100))
 
 
-def far(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def within(most: Column, chunk: int) -> Column:
+    """Whether the edit distance of x and y is at most `most`.
+
+    Two cheap bounds come first, since the distance itself costs the square of a line's length. Above: words replaced in
+    place. Below: every edit spoils at most one of the disjoint chunks of x, and a chunk that is left whole is in y.
+    """
+    words = F.split("x", " "), F.split("y", " ")
+    changed = F.zip_with(*words, lambda u, v: F.when(u == v, 0).otherwise(F.greatest(F.length(u), F.length(v))))
+    replaced = F.aggregate(changed, F.lit(0), lambda n, c: n + c)
+    spoilt = F.size(F.filter(F.regexp_extract_all("x", F.lit(f"(?s).{{{chunk}}}"), F.lit(0)), lambda c: ~F.col("y").contains(c)))
+    return (
+        F.when((F.size(words[0]) == F.size(words[1])) & (replaced <= most), True)
+        .when(spoilt > most, False)
+        .otherwise(F.call_function("levenshtein", "x", "y", most) >= 0)  # -1 beyond the bound
+    )
 
 
 def alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of line numbers whose texts are near enough."""
     left = texts.select(F.col("lid").alias("a"), F.col("norm").alias("x"))
     right = texts.select(F.col("lid").alias("b"), F.col("norm").alias("y"))
-    most = f"cast(floor(greatest(length(x), length(y)) * {100 - percent} / 100) as int)"
+    most = F.floor(F.greatest(F.length("x"), F.length("y")) * (100 - percent) / 100).cast("int")
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(F.expr(f"levenshtein(x, y, {most}) between 0 and {most}")).select("a", "b")
+    return both.where(within(most, max(1, 70 // max(1, 100 - percent)))).select("a", "b")
 
 
 def ordered(rows: DataFrame, a: str, b: str) -> DataFrame:
@@ -119,55 +165,90 @@ def with_comp(rows: DataFrame, comp: DataFrame) -> DataFrame:
     return rows.join(named, "lid", "left").withColumn("comp", F.coalesce("root", "lid")).drop("root")
 
 
-def across(rows: DataFrame, main: DataFrame, bits: int) -> DataFrame:
+def apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose lines are in different components."""
+    for c in ("a", "b"):
+        named = comp.select(F.col("node").alias(c), F.col("root").alias(f"_{c}"))
+        pairs = pairs.join(named, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+    return pairs.where("_a != _b").select("a", "b")
+
+
+def across(rows: DataFrame, main: DataFrame, bits: int, percent: int) -> DataFrame:
     """Pairs of near lines under a key that are in different components. main: the component that a key's rows need
     not be compared from, since all others are compared with it."""
     outside = rows.join(main, "key").where("comp != main")
-    outside = outside.select("key", F.col("lid").alias("u"), F.col("sim").alias("su"), F.col("comp").alias("cu"))
-    pairs = outside.join(rows, "key").where((F.col("cu") != F.col("comp")) & (far("su", "sim") <= bits))
+    outside = outside.select("key", F.col("lid").alias("u"), F.col("sim").alias("su"), F.col("len").alias("lu"), F.col("comp").alias("cu"))
+    pairs = outside.join(rows, "key").where((F.col("cu") != F.col("comp")) & near(bits, percent, "su", "lu"))
     return ordered(pairs, "u", "lid")
 
 
+def met(lines: DataFrame, bits: int, percent: int) -> DataFrame:
+    """What lines meet under their keys: pairs (no key; a, b) of near lines under keys of at most DIRECT lines, and the
+    lines (key, a, sim, len) of larger keys with the key's leader as b.
+
+    All come from one shuffle of the lines by key, which Spark reuses while its readers ask for the same columns.
+    """
+    sure = [F.coalesce(c, F.lit(0)).alias(c) for c in ("lid", "sim", "len")]  # never null, or each reader would filter
+    rows = lines.select(*sure, F.explode(bands(F.col("len"), percent)).alias("band"))
+    rows = rows.select("lid", "sim", "len", F.explode(block_keys(F.col("sim"), bits, F.col("band"))).alias("key")).repartition("key")
+    shared = rows.groupBy("key").agg(
+        F.count("*").alias("m"), F.min("lid").alias("lead"), F.max("lid").alias("last"), F.min("len").alias("low"),
+        F.max("len").alias("high"), F.bit_or("sim").bitwiseXOR(F.bit_and("sim")).alias("differ"),
+    )
+    two = (F.bit_count("differ") <= bits) & (F.col("high") - F.col("low") <= F.floor(F.col("high") * (100 - percent) / 100))
+    shared = shared.where((F.col("m") > 2) | (F.col("m") == 2) & two).select("key", "m", "lead", "last")
+    few = rows.join(shared.where(F.col("m") <= DIRECT).select("key", "last"), "key").where("lid < last")
+    few = few.select("key", F.col("lid").alias("u"), F.col("sim").alias("su"), F.col("len").alias("lu"))
+    pairs = few.join(rows, "key").where((F.col("u") < F.col("lid")) & near(bits, percent, "su", "lu"))
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("key", "long"), ("sim", "long"), ("len", "int"))]
+    pairs = pairs.select("u", "lid").distinct().select(none[0], F.col("u").alias("a"), F.col("lid").alias("b"), *none[1:])
+    many = rows.join(shared.where(F.col("m") > DIRECT).select("key", "lead"), "key")
+    return pairs.unionByName(many.select("key", F.col("lid").alias("a"), F.col("lead").alias("b"), "sim", "len"))
+
+
 def groups(docs: DataFrame, doc_id: str, text: str, percent: int, bits: int) -> DataFrame:
     """Every different line: lid, root (its group) and first (place of its first occurrence)."""
-    seen = materialize(simhashes(docs.select(doc_id, *KEY, text), text, [doc_id, *KEY]), "lines")
+    seen = simhashes(docs.select(doc_id, *KEY, text), text, [doc_id, *KEY])
     place = F.struct(F.col(doc_id).isNull().alias("z"), F.col(doc_id).alias("id"), *KEY, "at")
-    lines = seen.groupBy("h1", "h2").agg(F.min("sim").alias("sim"), F.count("*").alias("n"), F.min(place).alias("first"))
-    lines = materialize(lines.withColumn("lid", F.monotonically_increasing_id()), "different")
-
-    keys = lines.select("lid", F.explode(block_keys(F.col("sim"), bits)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    live = keys.join(shared, "key").join(lines.select("lid", "sim", "n"), "lid")
-    live = materialize(live, "live")
-    lead = live.groupBy("key").agg(F.max(F.struct("n", (-F.col("lid")).alias("l"), "sim")).alias("x"))
-    lead = lead.select("key", (-F.col("x.l")).alias("lead"), F.col("x.sim").alias("lead_sim"))
-    star = live.join(lead, "key").where((F.col("lid") != F.col("lead")) & (far("sim", "lead_sim") <= bits))
-    star = materialize(ordered(star, "lid", "lead"), "star")
-
-    # lines that may link but not with a leader
-    near = with_comp(live, components(star, "a", "b"))
-    near = materialize(near, "near")
-    main = near.join(lead, "key").where("lid = lead").select("key", F.col("comp").alias("main"))
-    pairs = materialize(star.unionByName(across(near, main, bits)).distinct(), "pairs")
-
-    # texts of the lines in any pair
+    lines = seen.groupBy("h1", "h2").agg(F.min("sim").alias("sim"), F.min("len").alias("len"), F.min(place).alias("first"))
+    lines = materialize(lines.drop("h1", "h2").withColumn("lid", F.monotonically_increasing_id()), "different")
+
+    found = materialize(met(lines, bits, percent), "met")
+    pairs = found.where("key is null").select("a", "b")
+    many = found.where("key is not null").select("key", F.col("a").alias("lid"), F.col("b").alias("lead"), "sim", "len")
+    crowded = not many.isEmpty()
+    if crowded:
+        lead = many.where("lid = lead").select("key", F.col("sim").alias("lead_sim"), F.col("len").alias("lead_len"))
+        star = many.join(lead, "key").where((F.col("lid") != F.col("lead")) & near(bits, percent, "lead_sim", "lead_len"))
+        star = materialize(ordered(star, "lid", "lead"), "star")
+        # lines that may link but not with a leader
+        here = materialize(with_comp(many, components(star, "a", "b")), "here")
+        main = here.where("lid = lead").select("key", F.col("comp").alias("main"))
+        pairs = pairs.unionByName(star).unionByName(across(here, main, bits, percent))
+        pairs = materialize(pairs.distinct(), "pairs")
+
+    # texts of the lines in any pair, each from its first occurrence
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    wanted = materialize(lines.join(wanted, "lid").select("lid", "h1", "h2"), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    texts = occurrences(docs.select(*KEY, text), text, KEY).select("h1", "h2", "norm")
-    texts = texts.join(F.broadcast(wanted) if few else wanted, ["h1", "h2"]).groupBy("lid").agg(F.first("norm").alias("norm"))
-    texts = materialize(texts, "texts")
-
-    links = materialize(alike(pairs, texts, percent), "links")
+    wanted = materialize(lines.join(wanted, "lid").select("lid", *(f"first.{c}" for c in (*KEY, "at"))), "wanted")
+    brief = wanted.count() <= BROADCAST_ROWS
+    texts = docs.select(*KEY, F.posexplode(lines_of(F.col(text))).alias("at", "line"))
+    texts = texts.join(F.broadcast(wanted) if brief else wanted, [*KEY, "at"])
+    texts = materialize(texts.select("lid", normal(F.col("line")).alias("norm")), "texts")
+
+    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = materialize(alike(first, texts, percent), "links")
+    rest = apart(pairs.join(first, ["a", "b"], "left_anti"), components(links, "a", "b"))
+    links = links.unionByName(materialize(alike(rest, texts, percent), "links"))
     comp = components(links, "a", "b")
-    # pairs that the leaders' components hid but whose texts did not link
-    again = materialize(with_comp(near.drop("comp").join(wanted.select("lid"), "lid"), comp), "again")
-    sizes = again.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("z")).where("z > 1")
-    rest = across(again, main.select("key", F.col("x.comp").alias("main")), bits).join(pairs, ["a", "b"], "left_anti")
-    more = materialize(alike(rest, texts, percent), "links")
-    if not more.isEmpty():
-        comp = components(links.unionByName(more), "a", "b")
+    if crowded:
+        # pairs that the leaders' components hid but whose texts did not link
+        again = materialize(with_comp(many.join(wanted.select("lid"), "lid"), comp), "again")
+        sizes = again.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("z")).where("z > 1")
+        more = across(again, main.select("key", F.col("x.comp").alias("main")), bits, percent)
+        more = materialize(alike(more.join(pairs, ["a", "b"], "left_anti"), texts, percent), "links")
+        if not more.isEmpty():
+            comp = components(links.unionByName(more), "a", "b")
     named = comp.select(F.col("node").alias("lid"), "root")
     return lines.join(named, "lid", "left").select("lid", F.coalesce("root", "lid").alias("root"), "first")
 
@@ -179,7 +260,7 @@ def decide(docs: DataFrame, doc_id: str, text: str, percent: int = 90, bits: int
         stay = stay.groupBy(*(F.col(f"x.{c}").alias(c) for c in KEY)).agg(F.collect_list("x.at").alias("_stay"))
         stay = keep(stay, "stay")
     lines = lines_of(F.col(text))
-    blank = F.transform(normal_lines(F.col(text)), lambda x, i: F.when(F.trim(x) == "", i))
+    blank = F.transform(lines, lambda x, i: F.when(~x.rlike(SOLID), i))
     rows = docs.select(
         doc_id,
         *KEY,

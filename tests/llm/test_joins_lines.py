@@ -244,3 +244,50 @@ def test_long_lines_have_the_same_simhash(frame):
     docs = frame([(k, x, None) for k, x in enumerate(lines)])
     got = linededup.simhashes(docs, "text", ["doc_id"]).select("doc_id", F.col("sim")).collect()
     assert {r[0]: r[1] & (1 << 64) - 1 for r in got} == {k: simhash(x) for k, x in enumerate(lines)}
+
+
+def test_near_lines_by_their_texts(spark):
+    rng, texts = random.Random(5), []
+    for k in range(60):
+        words = ["".join(rng.choice("ab\u00e9\U0001f600 ") for _ in range(rng.randint(1, 8))).replace(" ", "c") for _ in range(rng.randint(1, 30))]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            line = list(texts[-1])
+            for _ in range(rng.randint(0, max(1, len(line) // 8))):
+                line[rng.randrange(len(line)) : rng.randrange(len(line)) + 1] = rng.choice(["", "a", "\u00e9b", " "])[: 1 + k % 2]
+                line = line or ["a"]
+            texts.append("".join(line))
+    rows = spark.createDataFrame(list(enumerate(texts)), "lid long, norm string")
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a + 1, min(a + 6, len(texts)))]
+    got = linededup.alike(spark.createDataFrame(pairs, "a long, b long"), rows, 90).collect()
+    near = [(a, b) for a, b in pairs if distance(texts[a], texts[b]) <= max(len(texts[a]), len(texts[b])) // 10]
+    assert sorted(map(tuple, got)) == near and 0 < len(near) < len(pairs)
+
+
+def test_lengths_that_may_link_share_a_band(spark):
+    for percent in (90, 75, 30):
+        rows = spark.range(1, 3000).select("id", linededup.bands(F.col("id"), percent).alias("b")).collect()
+        held = {r.id: set(r.b) for r in rows}
+        assert all(len(b) <= 2 for b in held.values())
+        for n in held:
+            for m in {n - n * (100 - percent) // 100, n - n * (100 - percent) // 200, n - 1} & set(held):
+                assert held[n] & held[m] or 100 * m < percent * n
+
+
+@pytest.mark.parametrize("direct", [1, 2, 64])
+def test_lines_under_large_and_small_keys(frame, monkeypatch, direct):
+    docs = [(k, t, None) for k, t, _ in line_docs() if k is not None]
+    want = sorted(map(tuple, linededup.report(frame(docs), "doc_id", "text").collect()), key=repr)
+    monkeypatch.setattr(linededup, "DIRECT", direct)
+    assert sorted(map(tuple, linededup.report(frame(docs), "doc_id", "text").collect()), key=repr) == want
+
+
+def test_lines_of_unlike_lengths_are_no_pairs(spark):
+    rows = spark.createDataFrame([(k, 7, 100 + 50 * (k % 20)) for k in range(200)], "lid long, sim long, len int")
+    got = linededup.met(rows, 3, 90)
+    assert got._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 5
+    pairs = [(r.a, r.b) for r in got.where("key is null").collect()]
+    assert len(pairs) == len(set(pairs))
+    sizes = [100 + 50 * (k % 20) for k in range(200)]
+    near = {(a, b) for a in range(200) for b in range(a + 1, 200) if abs(sizes[a] - sizes[b]) <= max(sizes[a], sizes[b]) // 10}
+    assert set(pairs) <= near and all(r.a != r.b or r.key is not None for r in got.collect())
