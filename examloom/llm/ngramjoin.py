@@ -9,8 +9,9 @@ sets to a block. A block is a prefix tree: its sets, most frequent shingles firs
 beginnings. Each set walks the tree, adding up overlaps that hold for all sets below a node, and leaves a subtree when
 the shingles left on either side can't reach the overlap that its sizes ask for, or when it holds only sets that are
 known to belong together. Blocks of one large family are tied together through their central sets. Then a set visits
-another block only if it shares a prefix shingle with a set there that isn't in its component yet. So every linked pair
-is compared or already connected, and no pairs of a group are written out.
+another block only if it shares a prefix shingle with a set there that isn't in its component yet, and is itself outside
+the component of most sets with that shingle. So every linked pair is compared or already connected, and no pairs of a
+group are written out.
 
 Defined cases: null or wordless text has an empty set and links with nothing; a text with fewer than k words is one
 shingle; repeated rows and equal texts are one component; null ids are ignored for the smallest id of a component
@@ -360,6 +361,40 @@ def sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
     return total.ravel()
 
 
+def visiting(rows: DataFrame, comp: DataFrame, percent: int) -> DataFrame:
+    """Which set visits which block for which token: (sid, visit, token). rows: those of `pruned` with the set's block.
+
+    A token's main component, that of most of its sets, is visited by all its other sets, so its own stay where they are.
+    Of two others in different components the one of the higher block visits the other's block.
+    """
+    known = rows.join(comp, "sid")
+    mains = known.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.max(F.struct("c", "comp")).alias("x"), F.count("*").alias("z")
+    )
+    known = known.join(mains.where("z > 1").select("token", F.col("x.comp").alias("main")), "token")
+    there = known.groupBy("token", F.col("block").alias("visit"), (F.col("comp") == F.col("main")).alias("is_main")).agg(
+        F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("before").alias("b_high"),
+        F.max(F.col("n") - F.col("pos")).alias("rest_high"), F.max("every").alias("e_high"),
+        F.min("comp").alias("c_low"), F.max("comp").alias("c_high"),
+    )
+    # the least overlap that a partner in the block asks for, and the most that is in reach
+    least = F.greatest("n_low", F.ceil(F.col("n") * percent / 100))
+    most = F.least("n_high", F.floor(F.col("n") * 100 / percent))
+    asks = lambda m: F.ceil(percent * (F.col("n") + m) / (100 + percent))
+    asked = asks(least)
+    shared_asked = shared_least(F.col("n"), least, most, percent)
+    reach = F.least("before", "b_high") + F.least(F.col("n") - F.col("pos"), "rest_high")
+    visits = known.where("comp != main").join(there, "token").where(
+        (reach >= asked)
+        & (F.least("every", "e_high") >= shared_asked)
+        & ((F.col("visit") < F.col("block")) | F.col("is_main") & (F.col("visit") != F.col("block")))
+        & ((F.col("c_low") != F.col("comp")) | (F.col("c_high") != F.col("comp")))
+        & (F.col("n") * percent <= F.col("n_high") * 100)
+        & (F.col("n_low") * percent <= F.col("n") * 100)
+    )
+    return visits.select("sid", "visit", "token").distinct()
+
+
 def link(docs: DataFrame, text: str, keep: list[str], k: int, percent: int, block_rows: int = 200) -> DataFrame:
     """`keep`, the row key, n_shingles and _set (a node; null for an empty set) and _root (its component's node).
 
@@ -453,34 +488,10 @@ def link(docs: DataFrame, text: str, keep: list[str], k: int, percent: int, bloc
         return materialize(lone.select("sid", F.coalesce("root", "sid").alias("comp")), "comps")
 
     comp = roots(edges)
-    # sets that share a prefix shingle with another block's set of another component visit that block
-    known = live.join(home.select("sid", "block"), "sid").join(comp, "sid")
-    there = known.groupBy("token", "block").agg(
-        F.min("n").alias("n_low"), F.max("n").alias("n_high"), F.max("before").alias("b_high"),
-        F.max(F.col("n") - F.col("pos")).alias("rest_high"), F.max("every").alias("e_high"),
-        F.min("comp").alias("c_low"), F.max("comp").alias("c_high"),
-    )
-    several = there.groupBy("token").agg(F.min("c_low").alias("x"), F.max("c_high").alias("y"), F.count("*").alias("z"))
-    open_tokens = several.where("z > 1 and x != y").select("token")
-    there = there.join(open_tokens, "token").withColumnRenamed("block", "visit")
-    # the least overlap that a partner in the block asks for, and the most that is in reach
-    least = F.greatest("n_low", F.ceil(F.col("n") * percent / 100))
-    most = F.least("n_high", F.floor(F.col("n") * 100 / percent))
-    asks = lambda m: F.ceil(percent * (F.col("n") + m) / (100 + percent))
-    asked = asks(least)
-    shared_asked = shared_least(F.col("n"), least, most, percent)
-    reach = F.least("before", "b_high") + F.least(F.col("n") - F.col("pos"), "rest_high")
-    visits = known.join(there, "token").where(
-        (reach >= asked)
-        & (F.least("every", "e_high") >= shared_asked)
-        & (F.col("visit") < F.col("block"))
-        & ((F.col("c_low") != F.col("comp")) | (F.col("c_high") != F.col("comp")))
-        & (F.col("n") * percent <= F.col("n_high") * 100)
-        & (F.col("n_low") * percent <= F.col("n") * 100)
-    )
-    visits = materialize(visits.select("sid", "visit", "token"), "visits")
+    visits = materialize(visiting(live.join(home.select("sid", "block"), "sid"), comp, percent), "visits")
     met = visits.select("token", F.col("visit").alias("block")).distinct()
-    inside = known.join(met, ["token", "block"]).select("block", "sid").distinct()
+    inside = live.select("token", "sid").join(home.select("sid", "block"), "sid").join(met, ["token", "block"])
+    inside = inside.select("block", "sid").distinct()
     probes = visits.select(F.col("visit").alias("block"), "sid").distinct()
     # a block that very many sets visit is copied, so that no task holds more than PROBES of them
     turns = probes.groupBy("block").agg(F.ceil(F.count("*") / PROBES).alias("turns"))
