@@ -7,8 +7,8 @@ lines one occurrence stays, the first by document id, row and line number; blank
 normalising) all stay.
 
 Equal lines become one row first. SimHashes are cut into bits + 2 blocks; two that differ in at most `bits` places
-agree on at least two blocks, so lines meet under the key of each pair of blocks and of a band of lengths. Lines whose
-lengths alone rule out a link are no pair. Under a key of at most `DIRECT` lines all meet. Under a larger one all meet
+agree on at least two blocks, so lines meet under the key of each pair of blocks and of a band of lengths. Lines that meet
+none under all their keys are dropped first. Lines whose lengths alone rule out a link are no pair. Under a key of at most `DIRECT` lines all meet. Under a larger one all meet
 the key's leader (the line with the smallest number) first; only lines that this leaves outside the leader's component
 meet the others, so no key writes all its pairs. Texts are fetched only for lines in a pair; each line is compared with
 one partner first, then with those that this leaves in another component.
@@ -24,6 +24,7 @@ from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import materialize, scratch
@@ -33,6 +34,8 @@ from .graph import components
 #: Words are counted in 8-bit lanes of a long, so many at a time that none overflows.
 LANE_WORDS = 127
 LANES = 0x0101010101010101
+#: Every other lane.
+HALF_LANES = 0x0001000100010001
 #: A list of so many line keys is sent to all tasks; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Under a key of so many lines all of them meet.
@@ -77,31 +80,48 @@ def occurrences(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return rows.select(*keep, "at", "line.*").where("norm != ''")
 
 
-def majority(ones: list[list[Column]], n: Column) -> Column:
-    """The 64-bit hash whose bit 8 j + i is 1 if more than half of n words have it; ones[i][j] counts them."""
-    bits = [
-        F.when(ones[i][j] * 2 > n, F.shiftleft(F.lit(1).cast("long"), 8 * j + i)).otherwise(F.lit(0).cast("long"))
-        for i in range(8)
-        for j in range(8)
-    ]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+def lanes(parts: Column, i: int) -> Column:
+    """Of each part of at most LANE_WORDS hashes: how many have bit 8 j + i, in lane j of a long."""
+    count = lambda n, h: n + F.shiftrightunsigned(h, i).bitwiseAND(F.lit(LANES))
+    return F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast("long"), count))
+
+
+def either(parts: list[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), parts)
+
+
+def majority(counts: list[Column], n: Column) -> Column:
+    """The 64-bit hash whose bit 8 j + i is 1 if more than half of n words have it; lane j of counts[i] counts them.
+
+    n is at most LANE_WORDS. Adding LANE_WORDS - floor(n / 2) to a count sets its bit 7 where it is more than half. Every
+    other lane is added to at a time, so that the top one doesn't reach the sign.
+    """
+    more = (F.lit(LANE_WORDS) - F.floor(n / 2)) * F.lit(HALF_LANES)
+    over = lambda c: F.shiftrightunsigned(c.bitwiseAND(F.lit(255 * HALF_LANES)) + more, 7).bitwiseAND(F.lit(HALF_LANES))
+    return either([F.shiftleft(over(F.shiftrightunsigned(c, 8 * odd)), i + 8 * odd) for i, c in enumerate(counts) for odd in (0, 1)])
+
+
+def long_majority(counts: list[Column], n: Column) -> Column:
+    """The same for any n; counts[i] is an array, of a long for each LANE_WORDS words."""
+    one = lambda c, j: F.aggregate(
+        c, F.lit(0).cast("long"), lambda s, x: s + F.shiftrightunsigned(x, 8 * j).bitwiseAND(F.lit(255))
+    )
+    bit = lambda c, i, j: F.when(one(c, j) * 2 > n, F.shiftleft(F.lit(1).cast("long"), 8 * j + i)).otherwise(F.lit(0).cast("long"))
+    return either([bit(c, i, j) for i, c in enumerate(counts) for j in range(8)])
 
 
 def simhashes(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """keep, at, h1, h2, len and sim per line. Words are counted in the scanning task, 8 counters to a long."""
+    """keep, at, h1, h2, len and sim per line. Words are counted inside their line's row, 8 counters to a long."""
     by = [*keep, "at", "h1", "h2", "len"]
     rows = occurrences(docs, text, keep)
-    rows = rows.select(*by, F.size("words").alias("_all"), F.posexplode_outer("words").alias("_k", "_word"))
-    rows = rows.select(*by, "_all", F.floor(F.col("_k") / LANE_WORDS).alias("_part"), F.xxhash64(F.lit("word"), "_word").alias("_h"))
-    lane = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(LANES))
-    rows = rows.groupBy(*by, "_part").agg(F.max("_all").alias("_all"), *(F.sum(lane(i)).alias(f"_s{i}") for i in range(8)))
-    ones = [[F.shiftrightunsigned(f"_s{i}", 8 * j).bitwiseAND(F.lit(255)) for j in range(8)] for i in range(8)]
-    short = rows.where(F.col("_all") <= LANE_WORDS).select(*by, majority(ones, F.col("_all")).alias("sim"))
-    names = [[f"_o{i}_{j}" for j in range(8)] for i in range(8)]
-    sums = [F.sum(ones[i][j]).alias(names[i][j]) for i in range(8) for j in range(8)]
-    long = rows.where(F.col("_all") > LANE_WORDS).groupBy(*by).agg(F.max("_all").alias("_all"), *sums)
-    long = long.select(*by, majority([[F.col(c) for c in r] for r in names], F.col("_all")).alias("sim"))
-    return short.unionByName(long)
+    rows = rows.select(*by, F.transform("words", lambda w: F.xxhash64(F.lit("word"), w)).alias("_h"))
+    starts = F.sequence(F.lit(1), F.size("_h"), F.lit(LANE_WORDS))
+    parts = F.when(F.size("_h") <= LANE_WORDS, F.array("_h")).otherwise(F.transform(starts, lambda k: F.slice("_h", k, LANE_WORDS)))
+    rows = rows.select(*by, F.size("_h").alias("_all"), parts.alias("_parts"))
+    names = [f"_s{i}" for i in range(8)]
+    rows = rows.select(*by, "_all", *(lanes(F.col("_parts"), i).alias(c) for i, c in enumerate(names)))
+    sim = F.when(F.col("_all") <= LANE_WORDS, majority([F.col(c)[0] for c in names], F.col("_all")))
+    return rows.select(*by, sim.otherwise(long_majority([F.col(c) for c in names], F.col("_all"))).alias("sim"))
 
 
 def bands(length: Column, percent: int) -> Column:
@@ -182,21 +202,42 @@ def across(rows: DataFrame, main: DataFrame, bits: int, percent: int) -> DataFra
     return ordered(pairs, "u", "lid")
 
 
+def keys_of(lines: DataFrame, bits: int, percent: int) -> DataFrame:
+    """lid, sim, len and key, per key of a line."""
+    sure = [F.coalesce(c, F.lit(0)).alias(c) for c in ("lid", "sim", "len")]  # never null, or each reader would filter
+    rows = lines.select(*sure, F.explode(bands(F.col("len"), percent)).alias("band"))
+    return rows.select("lid", "sim", "len", F.explode(block_keys(F.col("sim"), bits, F.col("band"))).alias("key"))
+
+
+def may_link(bits: int, percent: int) -> Column:
+    """Whether lines under a key may link: more than two (m), or two whose SimHashes (differ) and lengths are near."""
+    near_lengths = F.col("high") - F.col("low") <= F.floor(F.col("high") * (100 - percent) / 100)
+    return (F.col("m") > 2) | (F.col("m") == 2) & (F.bit_count("differ") <= bits) & near_lengths
+
+
+def meeting(lines: DataFrame, bits: int, percent: int) -> DataFrame:
+    """The lines (lid, sim, len) that may link with another under one of their keys. Most lines meet none, so all keys
+    are sorted once here, and only those of the lines that are left are counted and joined."""
+    under = W.partitionBy("key")
+    rows = keys_of(lines, bits, percent).select(
+        "*", F.count("*").over(under).alias("m"), F.min("len").over(under).alias("low"), F.max("len").over(under).alias("high"),
+        F.bit_or("sim").over(under).bitwiseXOR(F.bit_and("sim").over(under)).alias("differ"),
+    )
+    return rows.where(may_link(bits, percent)).select("lid", "sim", "len").distinct()
+
+
 def met(lines: DataFrame, bits: int, percent: int) -> DataFrame:
     """What lines meet under their keys: pairs (no key; a, b) of near lines under keys of at most DIRECT lines, and the
     lines (key, a, sim, len) of larger keys with the key's leader as b.
 
     All come from one shuffle of the lines by key, which Spark reuses while its readers ask for the same columns.
     """
-    sure = [F.coalesce(c, F.lit(0)).alias(c) for c in ("lid", "sim", "len")]  # never null, or each reader would filter
-    rows = lines.select(*sure, F.explode(bands(F.col("len"), percent)).alias("band"))
-    rows = rows.select("lid", "sim", "len", F.explode(block_keys(F.col("sim"), bits, F.col("band"))).alias("key")).repartition("key")
+    rows = keys_of(lines, bits, percent).repartition("key")
     shared = rows.groupBy("key").agg(
         F.count("*").alias("m"), F.min("lid").alias("lead"), F.max("lid").alias("last"), F.min("len").alias("low"),
         F.max("len").alias("high"), F.bit_or("sim").bitwiseXOR(F.bit_and("sim")).alias("differ"),
     )
-    two = (F.bit_count("differ") <= bits) & (F.col("high") - F.col("low") <= F.floor(F.col("high") * (100 - percent) / 100))
-    shared = shared.where((F.col("m") > 2) | (F.col("m") == 2) & two).select("key", "m", "lead", "last")
+    shared = shared.where(may_link(bits, percent)).select("key", "m", "lead", "last")
     few = rows.join(shared.where(F.col("m") <= DIRECT).select("key", "last"), "key").where("lid < last")
     few = few.select("key", F.col("lid").alias("u"), F.col("sim").alias("su"), F.col("len").alias("lu"))
     pairs = few.join(rows, "key").where((F.col("u") < F.col("lid")) & near(bits, percent, "su", "lu"))
@@ -213,7 +254,7 @@ def groups(docs: DataFrame, doc_id: str, text: str, percent: int, bits: int) ->
     lines = seen.groupBy("h1", "h2").agg(F.min("sim").alias("sim"), F.min("len").alias("len"), F.min(place).alias("first"))
     lines = materialize(lines.drop("h1", "h2").withColumn("lid", F.monotonically_increasing_id()), "different")
 
-    found = materialize(met(lines, bits, percent), "met")
+    found = materialize(met(materialize(meeting(lines, bits, percent), "meeting"), bits, percent), "met")
     pairs = found.where("key is null").select("a", "b")
     many = found.where("key is not null").select("key", F.col("a").alias("lid"), F.col("b").alias("lead"), "sim", "len")
     crowded = not many.isEmpty()

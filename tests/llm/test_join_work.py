@@ -1,6 +1,10 @@
 """How many rows the joins of near copies and near lines make."""
 
-from examloom.llm import ngramjoin
+import random
+
+from pyspark.sql import functions as F
+
+from examloom.llm import graph, linededup, ngramjoin
 
 
 def test_the_main_component_is_visited_and_does_not_visit(spark):
@@ -29,3 +33,45 @@ def test_tokens_may_have_different_main_components(spark):
         for other, x, *_ in rows:
             if token == other and s < 100 <= x and s % 4 != x % 4:
                 assert (s, x % 4, token) in visits or (x, s % 4, token) in visits
+
+
+def test_edges_inside_a_component_are_read_once(spark, monkeypatch):
+    real, sizes = graph.materialize, []
+
+    def materialize(df, name):
+        out = real(df, name)
+        if name == "edges":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "materialize", materialize)
+    full = [(a, b) for a in range(30) for b in range(a)]
+    chain = [(k, k + 1) for k in range(100, 160)]
+    hubs = [(1000 + k // 5, 300 + k) for k in range(50)] + [(1001 + k, 304 + 5 * k) for k in range(9)]
+    got = graph.components(spark.createDataFrame(full + chain + hubs, "a long, b long"), "a", "b")
+    want = {k: 0 for k in range(30)} | {k: 100 for k in range(100, 161)}
+    want |= {k: 300 for k in [*range(300, 350), *range(1000, 1010)]}
+    assert {r.node: r.root for r in got.collect()} == want
+    assert sizes[0] == len(full + chain + hubs) and sum(sizes) < 1.2 * sizes[0]
+
+
+def test_simhashes_need_no_shuffle(spark):
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[:n]) for n in (1, 2, 126, 127, 128, 254, 255, 400)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = linededup.simhashes(docs, "text", ["doc_id"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64(F.lit("word"), "w").alias("h")).collect()}
+    for r in rows.collect():
+        ws = texts[r.doc_id].split()
+        want = sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in ws) > len(ws))
+        assert r.sim % 2**64 == want
+
+
+def test_lines_that_meet_none_are_dropped_first(spark):
+    rng = random.Random(5)
+    lone = [(k, rng.getrandbits(64) - 2**63, 50) for k in range(40)]
+    rows = [*lone, (100, 7, 50), (101, 6, 50), (102, 7, 90)]
+    got = linededup.meeting(spark.createDataFrame(rows, "lid long, sim long, len int"), 3, 90)
+    left = {r.lid for r in got.collect()}
+    assert {100, 101} <= left and len(left) < 12
